@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes that separate words made of ASCII letters and digits and of everything outside ASCII.
@@ -105,7 +106,7 @@ def find_words(texts: pa.Array, separators: bytes = SPACE, lower: bool = False)
 
 def slices(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many bytes; a longer text is a range of its own."""
-    offsets = np.concatenate([[0], np.cumsum(_lengths(texts))])
+    offsets = np.concatenate([[0], np.cumsum(sizes(texts))])
     a, n = 0, len(texts)
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
@@ -113,9 +114,8 @@ def slices(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _lengths(texts: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
+def sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text; none of a null."""
     return pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
