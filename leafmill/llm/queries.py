@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.licenses import with_licenses
+
+    found = with_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.secrets import joined, with_secrets
 
@@ -37,6 +44,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op6_secret_scans": op6_secret_scans,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
