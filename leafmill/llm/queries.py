@@ -19,6 +19,23 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled urls are those of the table that a rule decides."""
+    from leafmill.llm.urls import judge, train
+
+    urls = _table(spark, sf_dir, "pages").select("page_id", "url")
+    known = judge(urls).filter(F.col("rule").isNotNull()).select("host", "path", (F.col("verdict") == "block").alias("label"))
+    return judge(urls, model=train(known)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.chat import conversations, format_preferences, with_borrowed_replies
+
+    out = format_preferences(with_borrowed_replies(conversations(_table(spark, sf_dir, "conversations"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return out.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans"), spans("rejected_spans"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.secrets import joined, with_secrets
 
@@ -53,6 +70,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
+    "op3_url_filters": op3_url_filters,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_secret_scans": op6_secret_scans,
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
