@@ -19,6 +19,14 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from leafmill.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled urls are those of the table that a rule decides."""
     from leafmill.llm.urls import judge, train
@@ -70,6 +78,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
+    "op2_packing": op2_packing,
     "op3_url_filters": op3_url_filters,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_secret_scans": op6_secret_scans,
