@@ -44,6 +44,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans"), spans("rejected_spans"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.brown import score
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    out = score(_table(spark, sf_dir, "documents"), held_out)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.secrets import joined, with_secrets
 
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_url_filters": op3_url_filters,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_secret_scans": op6_secret_scans,
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
