@@ -192,7 +192,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     return learn(rows[list(FEATURES)].to_numpy(float), rows["bad"].to_numpy(bool)) if len(rows) else []
 
 
-def judge(docs: DataFrame, rules: list[list[Test]], text: str = "text", into: str = "kept", stats: str = "stats") -> DataFrame:
-    """docs with their statistics, base_failed and the verdict in three more columns: stats, base_failed, into."""
-    out = with_statistics(docs, text, stats)
-    return out.withColumn("base_failed", base_failed(stats)).withColumn(into, ~F.col("base_failed") & verdict(rules, stats))
+def judge(docs: DataFrame, rules: list[list[Test]], text: str = "text", into: str = "kept", stats: str = "stats", failed: str = "base_failed") -> DataFrame:
+    """docs with their statistics, whether the base rules fail, and the verdict, in three more columns of these names."""
+    fails = base_failed(stats)
+    return with_statistics(docs, text, stats).withColumns({failed: fails, into: ~fails & verdict(rules, stats)})

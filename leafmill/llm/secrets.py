@@ -113,7 +113,7 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", least_cost: float = 10.0) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_cost: float = 10.0) -> DataFrame:
     """docs with each secret in text replaced by mark. Overlapping spans become one. Texts without secrets stay as they are."""
     at = docs.columns.index(text)
 
