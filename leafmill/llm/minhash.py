@@ -4,12 +4,15 @@
    second one, shifted by one place for each coordinate, gives all coordinates. Rows of coordinates become band keys.
 2. Texts with equal shingle sets form one class; only the class's smallest document goes on.
 3. Documents that share a band key are candidates. Each is first compared with the smallest document that it shares a
-   key with; links are confirmed on the full sets and their components found.
-4. Buckets whose members are all in one component are done, however large. In the others one member after the other is
-   compared with those in other components, until none is left to compare: no pair that shares a key and could join two
-   components goes unchecked, and pairs within a component are never made.
-
-Work on a group grows with its members, not with their pairs. Between rounds tables are written to the shared folder.
+   key with, its home; links are confirmed on the full sets.
+4. Documents that aren't linked with their home are joined with those of the same home on prefixes of their sets: first
+   the shingles that the home lacks, then the others. A link needs a common shingle so early in both that what follows
+   can still make up the overlap. Copies of one text that changed in different places share only what comes too late.
+5. Buckets whose members are all in one component or of one home are done, however large. In the others one member after
+   the other is compared with those of other homes and components, until none is left to compare.
+
+So no pair that shares a key and could join two components goes unchecked, and work on a group grows with its members,
+not with their pairs. Between rounds tables are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from leafmill.llm.store import stored
 from leafmill.llm.words import find_words, mix, slices, whole, windows
 
 _BASE = 0x9E3779B97F4A7C15
-#: Rounds in which each bucket has one leader; from then on each of its components but the largest has one.
-_SINGLE = 3
+#: Rounds in which each bucket has one leader; from then on each of its homes but the largest has one.
+_SINGLE = 2
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +102,12 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[key].dataType), *longs, T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """pairs (a, b) with linked: whether 100 * intersection >= percent * union of their full shingle sets."""
+def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int, prefixes: bool = False) -> DataFrame:
+    """pairs (a, b) with linked: whether 100 * intersection >= percent * union of their full shingle sets.
+
+    With prefixes also size, that of b's set, and early: the first shingles of b's set, those that a lacks ahead of the
+    others, and else by hash; as many as a set must have for one of them to be in any set that it is linked with.
+    """
     left = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
@@ -108,16 +115,44 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in slices(batch.column(3)):
-                sets = [shingle_sets(batch.column(i).slice(at, to - at), n) for i in (2, 3)]
-                row, value = (np.concatenate([sets[0][i], sets[1][i]]) for i in range(2))
-                order = np.lexsort((value, row))
-                row, value = row[order], value[order]
-                same = row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])]
-                common = np.bincount(same, minlength=to - at)
-                union = np.bincount(row, minlength=to - at) - common
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, to - at) for i in range(2)] + [pa.array((100 * common >= percent * union) & (common > 0))], names=["a", "b", "linked"])
-
-    return both.mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"], T.StructField("linked", T.BooleanType())]))
+                part, rows = batch.slice(at, to - at), to - at
+                (row_a, value_a), (row_b, value_b) = (shingle_sets(part.column(i), n) for i in (2, 3))
+                row, value, mine = np.concatenate([row_a, row_b]), np.concatenate([value_a, value_b]), np.repeat([False, True], [len(row_a), len(row_b)])
+                order = np.lexsort((mine, value, row))
+                row, value, mine = row[order], value[order], mine[order]
+                same = np.zeros(len(row), bool)
+                same[1:] = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+                common = np.bincount(row[same], minlength=rows)
+                size_b = np.bincount(row_b, minlength=rows)
+                union = np.bincount(row, minlength=rows) - common
+                columns = [part.column(0), part.column(1), pa.array((100 * common >= percent * union) & (common > 0))]
+                if prefixes:
+                    row, value, same = row[mine], value[mine], same[mine]
+                    order = np.lexsort((value, same, row))
+                    first = np.concatenate([[0], np.cumsum(size_b)])
+                    early = size_b - -(-percent * size_b // 100) + 1
+                    kept = order[np.arange(len(row)) - first[row] < early[row]]
+                    ends = np.concatenate([[0], np.cumsum(np.minimum(early, size_b))])
+                    columns += [pa.array(size_b), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[kept].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "size", "early"][: len(columns)])
+
+    extra = [T.StructField("size", T.LongType()), T.StructField("early", T.ArrayType(T.LongType()))]
+    return both.mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"], T.StructField("linked", T.BooleanType()), *extra[: 2 * prefixes]]))
+
+
+def pairs_of_homes(links: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of one home that may be linked, at least one of them not linked with the home.
+
+    A common shingle at places i and j (from 0) of sets of m and n can be the first one only of sets with at most
+    1 + min(m - i - 1, n - j - 1) in common; linked sets have percent / (100 + percent) of m + n in common.
+    """
+    lost = links.filter("not linked")
+    some = links.join(lost.select("a").distinct(), "a", "left_semi")
+    one = lost.select("a", F.col("b").alias("x"), F.col("size").alias("m"), F.posexplode("early").alias("i", "shingle"))
+    two = some.select("a", F.col("b").alias("y"), F.col("size").alias("n"), "linked", F.posexplode("early").alias("j", "shingle"))
+    reach = (100 + percent) * F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= percent * (F.col("m") + F.col("n"))
+    met = one.join(two, (one["a"] == two["a"]) & (one["shingle"] == two["shingle"]) & reach & ((F.col("x") < F.col("y")) | (F.col("linked") & (F.col("x") != F.col("y")))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,6 +172,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links (a, b) between documents."""
+    of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
+    ends = links.join(of("a", "u"), "a", "left").join(of("b", "v"), "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v"))
+    moved = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    fresh = moved.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
+    return stored(labels.unionByName(fresh).join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of docs.
 
@@ -155,33 +199,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     needed = buckets.select("id").distinct()
     texts = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi"), "texts")
 
-    pairs = buckets.filter("leader < id").groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b"))
-    links = stored(confirm(stored(pairs, "pairs"), texts, n, percent), "links")
-    tested = links.filter("not linked").select("a", "b")
-    labels = components(links.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    nearest = buckets.filter("leader < id").groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b"))
+    links = stored(confirm(stored(nearest, "pairs"), texts, n, percent, prefixes=True), "links")
+    inner = stored(confirm(stored(pairs_of_homes(links, percent), "pairs"), texts, n, percent), "links")
+    edges = links.select("a", "b", "linked").unionByName(inner).filter("linked")
+    labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    homes = links.select(F.col("b").alias("id"), F.col("a").alias("home"))
+    tested: DataFrame | None = None
 
-    open_, turn = buckets.select("band", "id", "size"), 0
+    open_, turn = stored(buckets.select("band", "id", "size").join(homes, "id", "left").withColumn("home", F.coalesce("home", "id")), "open"), 0
     while True:
         placed = open_.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        groups = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("members"), F.min_by(F.struct("id", "size"), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("first"))
-        mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label")).alias("largest"), F.min(F.struct("members", "label")).alias("smallest")).filter("labels > 1")
-        chosen = F.col("label") == F.col("smallest.label") if turn < _SINGLE else F.col("label") != F.col("largest.label")
-        leaders = stored(groups.join(mixed, "band").filter(chosen).select("band", F.col("label").alias("leader_label"), F.col("first.id").alias("leader"), F.col("first.size").alias("leader_size")), "leaders")
+        member = F.struct("id", "size", "label")
+        groups = placed.groupBy("band", "home").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(member, F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("first"))
+        mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("homes"), F.min("low").alias("least"), F.max("high").alias("most"), F.max(F.struct("members", "home")).alias("largest"), F.min(F.struct("members", "home")).alias("smallest")).filter("homes > 1 and least <> most")
+        chosen = F.col("home") == F.col("smallest.home") if turn < _SINGLE else F.col("home") != F.col("largest.home")
+        leaders = groups.join(mixed.select("band", "largest", "smallest"), "band").filter(chosen)
+        leaders = stored(leaders.select("band", F.col("home").alias("leader_home"), *[F.col(f"first.{c}").alias(n) for c, n in (("id", "leader"), ("size", "leader_size"), ("label", "leader_label"))]), "leaders")
         if leaders.isEmpty():
             break
         placed = stored(placed.join(leaders.select("band").distinct(), "band", "left_semi"), "open")
         fits = 100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size")
-        pairs = placed.join(leaders, "band").filter((F.col("label") != F.col("leader_label")) & fits).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        unseen = (F.col("home") != F.col("leader_home")) & (F.col("home") != F.col("leader")) & (F.col("leader_home") != F.col("id")) & (F.col("label") != F.col("leader_label"))
+        met = placed.join(leaders, (placed["band"] == leaders["band"]) & unseen & fits)
+        pairs = met.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.isEmpty():
-            links = stored(confirm(pairs, texts, n, percent), "links")
-            tested = tested.unionByName(links.filter("not linked").select("a", "b"))
-            of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
-            joined = links.filter("linked").join(of("a", "u"), "a", "left").join(of("b", "v"), "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v"))
-            merged = components(joined)
-            nodes = labels.unionByName(merged.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
-            labels = stored(nodes.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        open_ = placed.select("band", "id", "size").join(leaders.select("band", F.col("leader").alias("id")), ["band", "id"], "left_anti")
+            found_links = stored(confirm(pairs, texts, n, percent), "links").filter("linked")
+            if not found_links.isEmpty():
+                labels = _merged(labels, found_links)
+        open_ = placed.select("band", "id", "size", "home").join(leaders.select("band", F.col("leader").alias("id")), ["band", "id"], "left_anti")
         turn += 1
 
     owner = classes.select("low", "high", F.col("n_shingles").alias("size"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "size", F.coalesce("label", "rep").alias("component_id"))
