@@ -12,6 +12,7 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CUT, _HELD = "\u0001", "\u0002"
 
@@ -98,7 +99,7 @@ def split_exactly(text: str | None, language: str | None) -> list[str] | None:
     return joined
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentences_exact(texts: pd.Series, languages: pd.Series) -> pd.Series:
     return pd.Series([split_exactly(t, lang) for t, lang in zip(texts, languages, strict=True)])
 
@@ -123,7 +124,7 @@ def chunk(text: str | None, most: int) -> list[str] | None:
 def chunks(text: Column, most: int) -> Column:
     """chunk() of each text, as an array."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(partial(chunk, most=most))
 
@@ -153,7 +154,7 @@ def halve(text: str | None, most: int, deepest: int = 8) -> list[str] | None:
 def halves(text: Column, most: int, deepest: int = 8) -> Column:
     """halve() of each text, as an array."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(partial(halve, most=most, deepest=deepest))
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Suffixes by language, the longest that fits goes first; what takes their place stands behind the colon.
 SUFFIXES = {
@@ -28,7 +29,7 @@ def stem(word: str, language: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stems(words: pd.Series, languages: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else stem(w, lang or "en") for w, lang in zip(words, languages, strict=True)])
 

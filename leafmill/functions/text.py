@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of any script.
 SPACES = r"[\x{0009}-\x{000D}\p{Z}]+"
@@ -34,7 +35,7 @@ def _map_of_accents(keep: str = "") -> tuple[str, str]:
 _ALL, _KEEPING = _map_of_accents(), _map_of_accents("ñ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

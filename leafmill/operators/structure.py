@@ -6,7 +6,7 @@ heading_ratio are optional. Everything is one pass of expressions and windows ov
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import citation, excerpt, fold_keep_enye, ordinal
@@ -35,8 +35,14 @@ TITLES = {
 }
 _END = r"(?:$|[^\p{L}\p{N}_])"
 _FIRST = rf"^(?:(?:chapter|capitulo)\s+(?:1|i|one|uno|primero){_END}|i[.]?$)"
-_BOOK = Window.partitionBy("doc_id")
-_ORDER = _BOOK.orderBy("section")
+
+
+def _book() -> WindowSpec:
+    return Window.partitionBy("doc_id")
+
+
+def _order() -> WindowSpec:
+    return _book().orderBy("section")
 
 
 def _keyword(title: Column) -> Column:
@@ -58,7 +64,7 @@ def _prepared(sections: DataFrame) -> DataFrame:
     words = F.aggregate(texts, F.lit(0), lambda n, s: n + F.size(F.filter(F.split(F.coalesce(s, F.lit("")), r"[\x{0009}-\x{000D}\p{Z}]+"), lambda w: w != "")))
     folded = F.trim(fold_keep_enye(F.coalesce("title", F.lit(""))))
     out = out.withColumns({"sentences": texts, "words": words, "folded": folded, "n_sentences": F.size(texts), "excerpt": excerpt(texts)})
-    return out.withColumns({"place": F.row_number().over(_ORDER) - 1, "n_sections": F.count(F.lit(1)).over(_BOOK), "n_title": F.count(F.lit(1)).over(Window.partitionBy("doc_id", "folded"))})
+    return out.withColumns({"place": F.row_number().over(_order()) - 1, "n_sections": F.count(F.lit(1)).over(_book()), "n_title": F.count(F.lit(1)).over(Window.partitionBy("doc_id", "folded"))})
 
 
 def _signal(kind: Column | str, weight: int, reason: str, when: Column) -> Column:
@@ -85,7 +91,7 @@ def votes(sections: DataFrame) -> DataFrame:
     chapter_like = title.rlike(r"^(?:(?:chapter|capitulo)\s+\S+|[ivxlcdm]+[.]?$)")
     numbered = chapter_like | title.rlike(r"^[0-9]+[.)]\s+\S+")
     part = title.rlike(r"^(?:part|parte)\s+\S+")
-    first = F.min(F.when(title.rlike(_FIRST) & (evidence != "spine"), F.col("place"))).over(_BOOK)
+    first = F.min(F.when(title.rlike(_FIRST) & (evidence != "spine"), F.col("place"))).over(_book())
     signals = F.array_compact(F.array(
         _signal(F.col("kw_kind"), 6, "section_title", F.col("keyword").isNotNull()),
         _signal("chapter", 3, "structural_boundary", evidence.isin("table-of-contents", "outline", "manual")),
@@ -116,7 +122,7 @@ def numbering_gaps(voted: DataFrame) -> DataFrame:
     """
     label = F.regexp_extract("folded", r"^(?:(?:chapter|capitulo)\s+)?([0-9]+|[ivxlcdm]+)(?:[.]|$|\s)", 1)
     df = voted.withColumn("number", F.when((F.col("kind") == "chapter") & (label != ""), ordinal(label)))
-    df = df.withColumn("part_no", F.sum(F.col("is_part").cast("int")).over(_ORDER))
+    df = df.withColumn("part_no", F.sum(F.col("is_part").cast("int")).over(_order()))
     before = Window.partitionBy("doc_id", "part_no").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("previous_number", F.last("number", ignorenulls=True).over(before))
     return df.withColumn("gap", F.coalesce(F.col("number") != F.col("previous_number") + 1, F.lit(False))).drop("part_no")
@@ -144,7 +150,7 @@ def classify_by_cascade(sections: DataFrame) -> DataFrame:
     named = {kind: [k for subs in subs_.values() for k in subs] for kind, subs_ in TITLES.items()}
     word = F.when(title.isin(*named["front_matter"]), "front_matter").when(title.isin(*named["back_matter"]), "back_matter").when(title.rlike(r"^(?:chapter|capitulo|part|parte)\s+\S+"), "chapter")
     evidence = F.coalesce("evidence", F.lit("spine"))
-    first = F.min(F.when(title.rlike(rf"^(?:chapter|capitulo)\s+(?:1|i|one|uno|primero){_END}"), F.col("place"))).over(_BOOK)
+    first = F.min(F.when(title.rlike(rf"^(?:chapter|capitulo)\s+(?:1|i|one|uno|primero){_END}"), F.col("place"))).over(_book())
     reviewed, role = F.col("reviewed_kind"), F.when(F.col("role").isin(*KINDS), F.col("role"))
     nav, heading = evidence.isin("navigation", "outline", "bookmark"), (evidence == "heading") & title.rlike(r"^(?:[0-9]+[.)]\s+\S+|[ivxlcdm]+\.?$)")
     df = df.withColumn("word", word).withColumn("first_chapter", first)

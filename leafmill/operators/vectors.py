@@ -61,7 +61,7 @@ def embed_by_hashing(texts: DataFrame, key: str, text: str = "text", size: int =
     """(key, hash, model, embedding): a vector of signed word counts at hashed places, at length 1. It stands for a model
     where there is none; the vectors of a model come from predict_batch_udf or a table of the same columns."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(values: pd.Series) -> pd.Series:
         import zlib
 
