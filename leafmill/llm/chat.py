@@ -5,9 +5,11 @@ Only DataFrame functions: conversations become arrays of turns, and the rest is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.store import stored
+
 #: What stands around a turn's text.
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
@@ -66,15 +68,32 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     return out.select(*others, "n_prompt_turns", render(F.col("_prompt")).alias("prompt"), render(F.col("_a")).alias("chosen"), render(F.col("_b")).alias("rejected"), trained_spans(F.col("_a"), role).alias("chosen_spans"), trained_spans(F.col("_b"), role).alias("rejected_spans"))
 
 
+def following(keys: DataFrame, key: str) -> DataFrame:
+    """(key, next): the least key above each one, null for the greatest. Keys may be sparse; keys has a column _range, by
+    which its rows are dealt into ranges of keys, and each key once.
+
+    Within a range by a window, and over its end by the ranges' least keys, of which there are as many as ranges.
+    """
+    starts = keys.groupBy("_range").agg(F.min(key).alias("_start")).agg(F.sort_array(F.collect_list("_start")).alias("_starts"))
+    inside = keys.select(key, F.lead(key).over(Window.partitionBy("_range").orderBy(key)).alias("_inside"))
+    beyond = F.array_min(F.filter("_starts", lambda x: x > F.col(key)))
+    return inside.crossJoin(F.broadcast(starts)).select(key, F.coalesce("_inside", beyond).alias("next"))
+
+
 def with_borrowed_replies(held: DataFrame, key: str = "conv_id", role: str = "assistant") -> DataFrame:
-    """(key, chosen, rejected): each conversation up to the role's last turn, and the same turns with that turn's text
-    taken from the conversation of the next key. Conversations with no such turn, or without a next one, are left out.
+    """(key, chosen, rejected), a row for each conversation: all its turns, and the same turns with the text of the role's
+    last one taken from the last such turn of the next conversation, in the order of the key, that has one.
 
-    One equi-join on the key, which holds each conversation's last reply once, so no group is larger than two rows.
+    Where no later conversation has one, rejected ends before the turn, so that its completion is empty. Without a turn of
+    the role both are all turns: all is prompt. Equi-joins on the key, which is unique on both sides.
     """
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"].eqNullSafe(F.lit(role)))), True) + 1
-    ends = held.select(key, "turns", last.cast("int").alias("n")).filter(F.exists("turns", lambda t: t["role"].eqNullSafe(F.lit(role))))
-    chosen = ends.select(key, F.slice("turns", F.lit(1), F.col("n")).alias("chosen"))
-    replies = ends.select((F.col(key) - 1).alias(key), F.element_at("turns", F.col("n")).alias("_reply"))
-    both = chosen.join(replies, key)
-    return both.select(key, "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("_reply")).alias("rejected"))
+    is_role = lambda t: t["role"].eqNullSafe(F.lit(role))
+    at = F.size("turns") - F.array_position(F.reverse(F.transform("turns", is_role)), True) + 1
+    ends = held.select(key, "turns", F.when(F.exists("turns", is_role), at.cast("int")).alias("_n"))
+    replies = ends.filter(F.col("_n").isNotNull()).select(key, F.element_at("turns", F.col("_n")).alias("_reply"))
+    ranged = stored(replies.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "replies")
+    borrowed = following(ranged.select(key, "_range"), key).join(ranged.select(F.col(key).alias("next"), "_reply"), "next").select(key, "_reply")
+    n = F.col("_n")
+    before, after = F.slice("turns", F.lit(1), n - 1), F.slice("turns", n + 1, F.size("turns") - n)
+    changed = F.when(n.isNull(), F.col("turns")).when(F.col("_reply").isNull(), before).otherwise(F.concat(before, F.array("_reply"), after))
+    return ends.join(borrowed, key, "left").select(key, F.col("turns").alias("chosen"), changed.alias("rejected"))
