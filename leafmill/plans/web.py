@@ -49,10 +49,14 @@ def markup_sentences(spark, d):
 
 
 def layout_lines(spark, d):
-    """Words of the documents' lines, set on pages: y falls from line to line and x grows from word to word."""
-    words = lines(spark, d).filter("line_no < 20").select("doc_id", "line_no", F.posexplode(F.slice(F.split("line", " "), 1, 12)).alias("i", "text"))
-    items = words.select("doc_id", F.lit(1).alias("page"), (F.col("i") * 10.0).alias("x"), (700.0 - 12 * F.col("line_no") + F.col("i") % 3).alias("y"), (10.0 + F.col("line_no") % 2).alias("h"), "text")
-    return lines_of(items).select("doc_id", "line_no", "line", "height")
+    """All words of the documents' lines, twenty lines a page: y falls from line to line and x grows from word to word.
+
+    Lines are dealt by page before they become words, so that words aren't shuffled.
+    """
+    rows = lines(spark, d).select("doc_id", (F.floor(F.col("line_no") / 20) + 1).cast("int").alias("page"), (F.col("line_no") % 20).alias("n"), "line")
+    words = rows.repartition("doc_id", "page").select("doc_id", "page", "n", F.posexplode(F.split("line", " ")).alias("i", "text"))
+    items = words.select("doc_id", "page", (F.col("i") * 10.0).alias("x"), (700.0 - 12 * F.col("n") + F.col("i") % 3).alias("y"), (10.0 + F.col("n") % 2).alias("h"), "text")
+    return lines_of(items).select("doc_id", "page", "line_no", "line", "height")
 
 
 def typographic_headings(spark, d):

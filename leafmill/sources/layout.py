@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -15,15 +16,20 @@ def layout_lines(items: DataFrame, key: list[str] | None = None, gap: float = 3.
     """
     key = key or ["doc_id", "page"]
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def run(page: pa.Table) -> pa.Table:
         rows: list[list] = []
-        for item in page.sort_values(["y", "x"], ascending=[False, True], kind="stable").itertuples():
-            if not rows or abs(rows[-1][0] - item.y) >= gap:
-                rows.append([item.y, [], item.h])
-            rows[-1][1].append((item.x, item.text or ""))
-            rows[-1][2] = max(rows[-1][2], item.h)
-        out = [(*(page[k].iloc[0] for k in key), i, " ".join(" ".join(t for _, t in sorted(texts, key=lambda t: t[0])).split()), y, h) for i, (y, texts, h) in enumerate(rows)]
-        return pd.DataFrame(out, columns=[*key, "line_no", "line", "y", "height"])
+        x, y, h = (page.column(c).to_numpy().astype(float) for c in "xyh")
+        order = np.lexsort((x, -y))
+        texts = page.column("text").to_pylist()
+        for i, x_, y_, h_ in zip(order.tolist(), x[order].tolist(), y[order].tolist(), h[order].tolist(), strict=True):
+            if not rows or abs(rows[-1][0] - y_) >= gap:
+                rows.append([y_, [], h_])
+            rows[-1][1].append((x_, texts[i] or ""))
+            rows[-1][2] = max(rows[-1][2], h_)
+        joined = [" ".join(" ".join(t for _, t in sorted(row, key=lambda t: t[0])).split()) for _, row, _ in rows]
+        first = pa.array([0] * len(rows), pa.int64())
+        columns = [*(page.column(k).combine_chunks().take(first) for k in key), pa.array(range(len(rows)), pa.int32()), pa.array(joined, pa.string()), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())]
+        return pa.Table.from_arrays(columns, names=[*key, "line_no", "line", "y", "height"])
 
     kinds = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in key)
-    return items.groupBy(*key).applyInPandas(run, f"{kinds}, line_no int, line string, y double, height double")
+    return items.groupBy(*key).applyInArrow(run, f"{kinds}, line_no int, line string, y double, height double")
