@@ -7,10 +7,15 @@ threshold is a secret; words of ordinary prose cost less.
 
 from __future__ import annotations
 
+import json
 import re
+from base64 import b64decode
 from collections.abc import Iterator
+from functools import cache
 from math import log10
+from pathlib import Path
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +28,10 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What makes the text after it a credential value, for the method.
-CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|client[_-]?secret|bearer)\b)["']?\s{0,4}(?:[:=]|:=|=>)\s{0,4}["']?(?:(?ai:bearer|basic)\s)?([^\s"'<>,;]{6,})""")
+# What makes the text after it a credential value, for the method: a name that holds a credential word at any place, but not
+# as the start of another word, as in author, passage or secretary. The name is taken as a whole, so each is read once.
+_CREDENTIAL = r"""pass(?:word|wd|phrase|code|key)|pass(?-i:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))|pwd|secret(?!ar[iy]|ion|ive)|token(?!i[sz])|api[_-]?key|access[_-]?key|auth(?:ori[sz]ation)?(?!or|ent)|credential|private[_-]?key|bearer"""
+CONTEXT = re.compile(rf"""(?<![A-Za-z0-9_-])(?ai:(?=[a-z0-9_-]*?(?:{_CREDENTIAL}))[a-z0-9_-]++)["']?\s{{0,4}}(?:[:=]|:=|=>)\s{{0,4}}["']?(?:(?ai:bearer|basic)\s)?([^\s"'<>,;]{{6,}})""")
 
 # Words that guessers try first, in the order in which they try them.
 COMMON = ("password", "123456", "qwerty", "admin", "welcome", "letmein", "monkey", "dragon", "master", "login", "abc", "iloveyou", "sunshine", "princess", "football", "baseball", "shadow", "superman", "trustno", "hello", "freedom", "whatever", "secret", "token", "changeme", "default", "example", "test", "user", "root", "guest", "pass", "key", "api", "none", "null", "true", "false", "your", "here", "placeholder", "redacted", "unknown", "required", "missing", "string", "value", "field", "reset", "the", "and", "for", "with", "that", "this", "from", "of", "to", "in", "is", "it", "on", "or", "be", "are", "was", "not", "you", "der", "die", "und", "les", "des", "que", "los", "las", "una")
@@ -36,20 +43,39 @@ _RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
 _LONGEST = max(map(len, COMMON))
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._](?:0[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
-#: Words of prose: a letter costs fewer guesses in a run of letters of one case than on its own.
+#: Where words of prose can stand.
 _PROSE = re.compile(r"[a-zA-ZÀ-￿]+")
+#: Letters of the longest and, as a part of a run of letters, of the shortest word that is looked up.
+_WORD_MOST, _PART_LEAST = 24, 4
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value takes. Linear in its length but for short words."""
-    n, low = len(value), value.lower()
+@cache
+def known_words() -> frozenset[str]:
+    """Words of three letters and more that the tokenizers' vocabularies, English and multilingual, hold with a space
+    before them, that is the frequent words of large corpora; in lower case. No value of the scanned texts gets in."""
+    vocabulary = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text("utf-8"))["model"]["vocab"]
+    held = [" " + t[1:] for t in vocabulary if t[0] == "Ġ" and t[1:].isascii()]
+    for line in Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_text("ascii").splitlines():
+        held.append(b64decode(line.partition(" ")[0]).decode("utf-8", "replace"))
+    return frozenset(t[1:].lower() for t in held if 3 < len(t) <= _WORD_MOST + 1 and t[0] == " " and _PROSE.fullmatch(t, 1) and "\ufffd" not in t)
+
+
+def guess_cost(value: str, words: frozenset[str] = frozenset()) -> float:
+    """log10 of the guesses that the cheapest segmentation of value takes. Linear in its length but for short words.
+
+    A letter costs fewer guesses in one of words, in one case, than on its own. Other runs of letters are brute force.
+    """
+    n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by start: (end, cost)
     for m in _DATE.finditer(value):
         ends[m.start()].append((m.end(), log10(365 * 120)))
     for m in _PROSE.finditer(value):
-        if len(m[0]) >= 3 and (m[0][1:].islower() or m[0].isupper()):
-            ends[m.start()].append((m.end(), 1.0 + 0.45 * len(m[0])))
+        a, b = m.span()
+        for i in range(a, b):
+            for j in range(i + 3, min(b, i + _WORD_MOST) + 1):
+                if (j - i >= _PART_LEAST or (i, j) == (a, b)) and low[i:j] in words and (value[i + 1 : j].islower() or value[i:j].isupper()):
+                    ends[i].append((j, 1.0 + 0.45 * (j - i)))
     i = 0
     while i < n:  # repeats of one character, and walks
         j = i + 1
@@ -78,13 +104,13 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def find_spans(text: str, least_cost: float) -> list[tuple[int, int, int]]:
+def find_spans(text: str, least_cost: float, words: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
     """(start, kind as a place in KINDS, end), sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= least_cost]
+    found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], words) >= least_cost]
     return sorted(found)
 
 
@@ -98,11 +124,12 @@ def with_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", lea
     Null and empty texts have no spans. Whole texts are scanned, whatever their length.
     """
     at = docs.columns.index(text)
+    words = docs.sparkSession.sparkContext.broadcast(known_words())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[(KINDS[k], a, b) for a, k, b in find_spans(x, least_cost)] if x else [] for x in batch.column(at).to_pylist()]
+            spans = [[(KINDS[k], a, b) for a, k, b in find_spans(x, least_cost, words.value)] if x else [] for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, _ITEM)]))
@@ -116,10 +143,11 @@ def joined(spans: str) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_cost: float = 10.0) -> DataFrame:
     """docs with each secret in text replaced by mark. Overlapping spans become one. Texts without secrets stay as they are."""
     at = docs.columns.index(text)
+    words = docs.sparkSession.sparkContext.broadcast(known_words())
 
     def clean(x: str) -> str:
         out, done, last = [], 0, -1
-        for a, _, b in find_spans(x, least_cost):
+        for a, _, b in find_spans(x, least_cost, words.value):
             if a < last:
                 last = max(last, b)
             else:
