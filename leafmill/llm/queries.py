@@ -28,12 +28,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled urls are those of the table that a rule decides."""
-    from leafmill.llm.urls import judge, train
+    """The model learns from a labelled table of its own, not from the rules' verdicts."""
+    from leafmill.llm.labelled_urls import labelled_urls
+    from leafmill.llm.urls import host_and_path, judge, train
 
-    urls = _table(spark, sf_dir, "pages").select("page_id", "url")
-    known = judge(urls).filter(F.col("rule").isNotNull()).select("host", "path", (F.col("verdict") == "block").alias("label"))
-    return judge(urls, model=train(known)).select("page_id", "host", "path", "rule", "verdict")
+    host, path = host_and_path(F.col("url"))
+    known = labelled_urls(spark).select(host.alias("host"), path.alias("path"), "label")
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), model=train(known)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

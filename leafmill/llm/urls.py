@@ -66,12 +66,14 @@ def ngrams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4)) -> Colum
 
 
 def train(labelled: DataFrame, host: str = "host", path: str = "path", label: str = "label", buckets: int = 1 << 14, max_rows: int = 20_000, iterations: int = 20) -> Transformer | None:
-    """A model of label (1.0: block) from at most max_rows labelled rows, those with the least hashes; none without rows.
+    """A model of label (1.0: block) from at most max_rows distinct labelled rows, half of them of each label, those with
+    the least hashes; none without rows.
 
-    Rows with a null in any of the three columns are left out.
+    Rows with a null in any of the three columns are left out. Copies of a row count once.
     """
-    rows = labelled.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(label).cast("double").alias("label")).dropna()
-    rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path", "label").limit(max_rows).withColumn("ngrams", ngrams(F.col("host"), F.col("path")))
+    rows = labelled.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(label).cast("double").alias("label")).dropna().distinct()
+    blocked, allowed = (rows.filter((F.col("label") > 0) == b).orderBy(F.xxhash64("host", "path"), "host", "path", "label").limit(max_rows // 2) for b in (True, False))
+    rows = blocked.union(allowed).withColumn("ngrams", ngrams(F.col("host"), F.col("path")))
     if rows.isEmpty():
         return None
     steps = [HashingTF(inputCol="ngrams", outputCol="features", numFeatures=buckets, binary=True), LogisticRegression(maxIter=iterations, regParam=0.01)]
