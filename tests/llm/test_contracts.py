@@ -36,7 +36,7 @@ def sha(text):
 def folder(tmp_path_factory):
     out = tmp_path_factory.mktemp("tables")
     for path in Path("/root/testdata/sf0.001").glob("*.parquet"):
-        shutil.copy(path, out)
+        shutil.copyfile(path, out / path.name)
     docs = pd.read_parquet(out / "documents.parquet")
     more = pd.DataFrame({"doc_id": range(10**6, 10**6 + len(ADDED)), "text": ADDED}).reindex(columns=docs.columns)
     more["n_chars"] = 0
