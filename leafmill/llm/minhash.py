@@ -3,16 +3,17 @@
 1. One pass over the texts hashes their shingles and makes the signatures: one permutation scatters the shingles, a
    second one, shifted by one place for each coordinate, gives all coordinates. Rows of coordinates become band keys.
 2. Texts with equal shingle sets form one class; only the class's smallest document goes on.
-3. Documents that share a band key are candidates. Each is first compared with the smallest document that it shares a
-   key with, its home; links are confirmed on the full sets.
-4. Documents that aren't linked with their home are joined with those of the same home on prefixes of their sets: first
-   the shingles that the home lacks, then the others. A link needs a common shingle so early in both that what follows
-   can still make up the overlap. Copies of one text that changed in different places share only what comes too late.
-5. Buckets whose members are all in one component or of one home are done, however large. In the others one member after
-   the other is compared with those of other homes and components, until none is left to compare.
-
-So no pair that shares a key and could join two components goes unchecked, and work on a group grows with its members,
-not with their pairs. Between rounds tables are written to the shared folder.
+3. Documents that share a band key form a bucket. Those in any bucket have their shingle sets stored, once.
+4. Each document is compared with the smallest one of each of its buckets. A link needs the full sets to overlap.
+5. A bucket whose members are all in one component is done, however large. In one with at most _LEADERS members outside
+   its largest component each of those is compared with the members of other components.
+6. The members of all other buckets are dealt anew, by the rarest of their shingles: linked sets have one in common among
+   as many of each as may be missing from the other. Copies that changed in different places share none of those.
+7. Step 5 goes on with the new buckets, but for pairs that share too late what they share. Where more than _MOST would
+   be compared with all, that many are, then four times as many, and so on, as each turn joins components.
+
+So no pair that shares a key and could join two components goes unchecked, and a group of copies costs its members, not
+their pairs. Groups with many rows are dealt over tasks. Between steps tables are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +30,12 @@ from leafmill.llm.store import stored
 from leafmill.llm.words import find_words, mix, slices, whole, windows
 
 _BASE = 0x9E3779B97F4A7C15
-#: Rounds in which each bucket has one leader; from then on each of its homes but the largest has one.
-_SINGLE = 2
+#: Members of a bucket that are compared with all its others in the first turn.
+_LEADERS = 16
+#: The same for buckets of rare shingles.
+_MOST = 256
+#: Rows of one key that a task takes.
+_PART = 256
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,81 +107,100 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[key].dataType), *longs, T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int, prefixes: bool = False) -> DataFrame:
-    """pairs (a, b) with linked: whether 100 * intersection >= percent * union of their full shingle sets.
-
-    With prefixes also size, that of b's set, and early: the first shingles of b's set, those that a lacks ahead of the
-    others, and else by hash; as many as a set must have for one of them to be in any set that it is linked with.
-    """
-    left = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
+def shingle_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(id, set): the hashes of each text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in slices(batch.column(3)):
-                part, rows = batch.slice(at, to - at), to - at
-                (row_a, value_a), (row_b, value_b) = (shingle_sets(part.column(i), n) for i in (2, 3))
-                row, value, mine = np.concatenate([row_a, row_b]), np.concatenate([value_a, value_b]), np.repeat([False, True], [len(row_a), len(row_b)])
-                order = np.lexsort((mine, value, row))
-                row, value, mine = row[order], value[order], mine[order]
-                same = np.zeros(len(row), bool)
-                same[1:] = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-                common = np.bincount(row[same], minlength=rows)
-                size_b = np.bincount(row_b, minlength=rows)
-                union = np.bincount(row, minlength=rows) - common
-                columns = [part.column(0), part.column(1), pa.array((100 * common >= percent * union) & (common > 0))]
-                if prefixes:
-                    row, value, same = row[mine], value[mine], same[mine]
-                    order = np.lexsort((value, same, row))
-                    first = np.concatenate([[0], np.cumsum(size_b)])
-                    early = size_b - -(-percent * size_b // 100) + 1
-                    kept = order[np.arange(len(row)) - first[row] < early[row]]
-                    ends = np.concatenate([[0], np.cumsum(np.minimum(early, size_b))])
-                    columns += [pa.array(size_b), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[kept].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "size", "early"][: len(columns)])
-
-    extra = [T.StructField("size", T.LongType()), T.StructField("early", T.ArrayType(T.LongType()))]
-    return both.mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"], T.StructField("linked", T.BooleanType()), *extra[: 2 * prefixes]]))
-
-
-def pairs_of_homes(links: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents of one home that may be linked, at least one of them not linked with the home.
-
-    A common shingle at places i and j (from 0) of sets of m and n can be the first one only of sets with at most
-    1 + min(m - i - 1, n - j - 1) in common; linked sets have percent / (100 + percent) of m + n in common.
+            for a, b in slices(batch.column(1)):
+                owner, values = shingle_sets(batch.column(1).slice(a, b - a), n)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b - a))])
+                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["id", "set"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("set", T.ArrayType(T.LongType(), False))])
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def parts(members: Column) -> Column:
+    """Tasks that share a group: a power of two, so that no task has many more than _PART of its members."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(members / _PART, F.lit(1.0))))).cast("int")
+
+
+def _dealt(node: Column, parts_: Column) -> Column:
+    return F.pmod(F.xxhash64(node), parts_).cast("int")
+
+
+def joined(many: DataFrame, one: DataFrame, key: str, spread: str, total: int, members: str | None = None) -> DataFrame:
+    """many, each row with its row of one; keys with many rows are dealt over several tasks by a hash of spread.
+
+    one has a row for each key; members, if given, is its column that counts the rows of many. Of total rows at most
+    100,000 keys can have more than the 100,000th part of them: that bounds the list of large keys, which is broadcast.
     """
-    lost = links.filter("not linked")
-    some = links.join(lost.select("a").distinct(), "a", "left_semi")
-    one = lost.select("a", F.col("b").alias("x"), F.col("size").alias("m"), F.posexplode("early").alias("i", "shingle"))
-    two = some.select("a", F.col("b").alias("y"), F.col("size").alias("n"), "linked", F.posexplode("early").alias("j", "shingle"))
-    reach = (100 + percent) * F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= percent * (F.col("m") + F.col("n"))
-    met = one.join(two, (one["a"] == two["a"]) & (one["shingle"] == two["shingle"]) & reach & ((F.col("x") < F.col("y")) | (F.col("linked") & (F.col("x") != F.col("y")))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    at_least = max(_PART, -(-total // 100_000))
+    counts = one.select(key, F.col(members).alias("_n")) if members else many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    large = F.broadcast(counts.filter(F.col("_n") > at_least).select(key, parts(F.col("_n")).alias("_parts")))
+    copies = one.join(large, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    placed = many.join(large, key, "left").withColumn("_part", _dealt(F.col(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    return placed.join(copies, [key, "_part"]).drop("_part")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for the ends of edges (u, v): the smallest node that can be reached.
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, members) with linked: whether 100 * intersection >= percent * union of their sets.
 
-    Labels go to neighbours and then jump to the label of the label, until none changes.
+    The pairs of one a, which may be many, are dealt over as many tasks as members asks for; each gets a's set once.
+    """
+    dealt = pairs.withColumn("parts", parts(F.col("members"))).withColumn("part", _dealt(F.col("b"), F.col("parts")))
+    first = dealt.select("a", "parts", "part").distinct().join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    both = dealt.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(first, ["a", "parts", "part"])
+    common = F.size(F.array_intersect("set_a", "set_b")).alias("common")
+    sized = both.select("a", "b", common, (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    return sized.select("a", "b", ((100 + percent) * F.col("common").cast("long") >= percent * F.col("sizes")).alias("linked"))
+
+
+def components(edges: DataFrame, total: int) -> DataFrame:
+    """(node, label) for the ends of at most total edges (u, v): the smallest node that can be reached.
+
+    Labels go to neighbours, and labels that turn out to lead further are replaced, until none changes.
     """
     both = stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label"), F.count(F.lit(1)).alias("degree")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        new = stored(step.join(jump, "to").select("node", "old", F.least("to", "further").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.filter(F.col("old") != F.col("label")).isEmpty():
-            return labels
+        near = joined(both, labels.withColumnRenamed("node", "v"), "v", "u", 2 * total, members="degree").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        nearer = labels.join(near, "node").filter("near < label").groupBy("label").agg(F.min("near").alias("near"))
+        nearer = stored(nearer.select(F.col("label").alias("node"), F.col("near").alias("label")), "moved")
+        if nearer.isEmpty():
+            return labels.select("node", "label")
+        moved = _followed(nearer).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"), "degree"), "labels")
+
+
+def _followed(moved: DataFrame) -> DataFrame:
+    """(node, label) with the label of each label in place of it, where there is one."""
+    further = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return moved.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels after more links (a, b) between documents."""
+def rarest(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(band, id, size, place): the rarest shingles of each of docs (id, size), as keys that linked ones share.
+
+    Of a set of m shingles at most m - percent * m / 100 may be missing from a linked one; in the order of the shingles'
+    counts in all of docs, then of their hashes, one of the first that are more than that is among the other's first too.
+    """
+    total = docs.agg(F.sum("size")).first()[0] or 0
+    all_ = sets.join(docs, "id").select("id", "size", F.explode("set").alias("band"))
+    counts = all_.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "band"))
+    first = joined(all_, counts, "band", "id", total, members="n").withColumn("place", place)
+    return first.filter((F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1) & (F.col("n") > 1)).select("band", "id", "size", "place")
+
+
+def _merged(labels: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """labels after more links (a, b) between documents that may have none yet."""
     of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
     ends = links.join(of("a", "u"), "a", "left").join(of("b", "v"), "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v"))
-    moved = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = components(ends.distinct(), total).select(F.col("node").alias("label"), F.col("label").alias("to"))
     fresh = moved.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
     return stored(labels.unionByName(fresh).join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
@@ -189,51 +213,58 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     ASCII white space, and a text of fewer than n words is one shingle. Texts without words and rows without a key are
     linked with nothing and kept. Rows that repeat a key count as linked, and are all kept if it is the smallest.
     A pair at the threshold shares no key, and so goes unseen, with a chance of (1 - 0.8**rows)**bands: 1 in 8 million.
+    An empty table gives an empty one; other columns of docs are not read, whatever their names.
     """
     found = stored(signatures(docs, key, text, n, bands, rows), "signatures")
+    total = bands * found.count()
     full = found.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    classes = full.groupBy("low", "high", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = stored(full.groupBy("low", "high", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "classes")
     keys = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = stored(keys.join(shared.select("band", "leader"), "band"), "buckets")
-    needed = buckets.select("id").distinct()
-    texts = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi"), "texts")
-
-    nearest = buckets.filter("leader < id").groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b"))
-    links = stored(confirm(stored(nearest, "pairs"), texts, n, percent, prefixes=True), "links")
-    inner = stored(confirm(stored(pairs_of_homes(links, percent), "pairs"), texts, n, percent), "links")
-    edges = links.select("a", "b", "linked").unionByName(inner).filter("linked")
-    labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    homes = links.select(F.col("b").alias("id"), F.col("a").alias("home"))
-    tested: DataFrame | None = None
-
-    open_, turn = stored(buckets.select("band", "id", "size").join(homes, "id", "left").withColumn("home", F.coalesce("home", "id")), "open"), 0
+    shared = stored(keys.groupBy("band").agg(F.min(F.struct("id", "size")).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared")
+    leaders = shared.select("band", F.col("first.id").alias("leader"), F.col("first.size").alias("leader_size"), "members")
+    buckets = stored(joined(keys, leaders, "band", "id", total, members="members"), "buckets")
+    wanted = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(buckets.select("id").distinct(), "id", "left_semi")
+    sets = stored(shingle_table(wanted.distinct(), "id", "text", n), "sets")
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    nearest = buckets.filter((F.col("leader") < F.col("id")) & fits(F.col("size"), F.col("leader_size")))
+    nearest = nearest.groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.max("members").alias("members"))
+    links = stored(confirm(stored(nearest, "pairs"), sets, percent), "links")
+    labels = components(links.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), total)
+
+    open_, known, turn = buckets.select("band", "id", "size", F.lit(1).alias("place")), stored(links.select("a", "b"), "tested"), 0
     while True:
+        most = _MOST << 2 * (turn - 1) if turn else _LEADERS
         placed = open_.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        member = F.struct("id", "size", "label")
-        groups = placed.groupBy("band", "home").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(member, F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("first"))
-        mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("homes"), F.min("low").alias("least"), F.max("high").alias("most"), F.max(F.struct("members", "home")).alias("largest"), F.min(F.struct("members", "home")).alias("smallest")).filter("homes > 1 and least <> most")
-        chosen = F.col("home") == F.col("smallest.home") if turn < _SINGLE else F.col("home") != F.col("largest.home")
-        leaders = groups.join(mixed.select("band", "largest", "smallest"), "band").filter(chosen)
-        leaders = stored(leaders.select("band", F.col("home").alias("leader_home"), *[F.col(f"first.{c}").alias(n) for c, n in (("id", "leader"), ("size", "leader_size"), ("label", "leader_label"))]), "leaders")
-        if leaders.isEmpty():
-            break
-        placed = stored(placed.join(leaders.select("band").distinct(), "band", "left_semi"), "open")
-        fits = 100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size")
-        unseen = (F.col("home") != F.col("leader_home")) & (F.col("home") != F.col("leader")) & (F.col("leader_home") != F.col("id")) & (F.col("label") != F.col("leader_label"))
-        met = placed.join(leaders, (placed["band"] == leaders["band"]) & unseen & fits)
-        pairs = met.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        groups = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("largest"), F.sum("n").alias("members"))
+        mixed = groups.select("band", "members", F.col("largest.label").alias("largest"), (F.col("members") - F.col("largest.n")).alias("others")).filter("others > 0")
+        placed = stored(joined(placed, mixed, "band", "id", total, members="members"), "open")
+        some = F.pmod(F.xxhash64("id"), F.col("others")) < most if turn else F.col("others") <= most
+        leads = placed.filter((F.col("label") != F.col("largest")) & some)
+        part = F.explode(F.sequence(F.lit(0), parts(F.col("members")) - 1)).alias("part")
+        leads = leads.select("band", F.col("id").alias("lead"), F.col("size").alias("lead_size"), F.col("place").alias("lead_place"), F.col("label").alias("lead_label"), part)
+        met = placed.withColumn("part", _dealt(F.col("id"), parts(F.col("members")))).join(leads, ["band", "part"])
+        rest = F.least(F.col("size") - F.col("place"), F.col("lead_size") - F.col("lead_place")) + 1  # most that can be common from here on
+        met = met.filter((F.col("label") != F.col("lead_label")) & ((100 + percent) * rest >= percent * (F.col("size") + F.col("lead_size"))))
+        met = met.groupBy(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).agg(F.max("lead").alias("lead"), F.max("members").alias("members"))
+        pairs = stored(met.join(known, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            found_links = stored(confirm(pairs, texts, n, percent), "links").filter("linked")
-            if not found_links.isEmpty():
-                labels = _merged(labels, found_links)
-        open_ = placed.select("band", "id", "size", "home").join(leaders.select("band", F.col("leader").alias("id")), ["band", "id"], "left_anti")
+            known = stored(known.unionByName(pairs.select("a", "b")), "tested")
+            other = F.when(F.col("a") == F.col("lead"), F.col("b")).otherwise(F.col("a"))
+            more = stored(confirm(pairs.select(F.col("lead").alias("a"), other.alias("b"), "members"), sets, percent), "links").filter("linked")
+            if not more.isEmpty():
+                labels = _merged(labels, more, total)
+        open_ = placed.filter(F.col("others") > most).select("band", "id", "size", "place")
+        if open_.isEmpty():
+            break
+        if not turn:
+            open_ = stored(rarest(open_.select("id", "size").distinct(), sets, percent), "open")
         turn += 1
 
-    owner = classes.select("low", "high", F.col("n_shingles").alias("size"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "size", F.coalesce("label", "rep").alias("component_id"))
-    own = found.select("id", "n_shingles", "low", "high").join(owner.withColumnRenamed("size", "n_shingles"), ["low", "high", "n_shingles"], "left")
-    linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
-    component = F.when(linked, F.col("component_id")).otherwise(F.col("id"))
-    return own.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    owner = classes.select("low", "high", F.col("n_shingles"), "copies", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    owner = owner.select(F.struct("low", "high", "n_shingles").alias("class"), "copies", F.coalesce("label", "rep").alias("component_id"))
+    own = found.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).select("id", F.struct("low", "high", "n_shingles").alias("class"))
+    linked = joined(own, owner, "class", "id", total, members="copies").select("id", F.col("class.n_shingles").alias("n_shingles"), "component_id")
+    alone = found.filter(F.col("id").isNull() | (F.col("n_shingles") == 0)).select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -11,8 +11,10 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests on one machine, a new temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a new temporary one in local mode, as in tests, else an error."""
     if not (folder := spark.conf.get(_SETTING, None)):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set(_SETTING, folder)
     return folder
