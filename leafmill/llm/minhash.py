@@ -31,7 +31,7 @@ from leafmill.llm.words import find_words, mix, slices, whole, windows
 
 _BASE = 0x9E3779B97F4A7C15
 #: Members of a bucket that are compared with all its others in the first turn.
-_LEADERS = 16
+_LEADERS = 4
 #: The same for buckets of rare shingles.
 _MOST = 256
 #: Rows of one key that a task takes.
