@@ -25,6 +25,6 @@ def block_count(chars: int, block_chars: int) -> int:
 
 
 def in_blocks(docs: DataFrame, blocks: int, key: str, text: str) -> DataFrame:
-    """(block, key, text), dealt by block. Rows without a key share a block with others."""
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
+    """(block, key, text), dealt by block: by key and text, so that rows without a key or with the same one spread."""
+    block = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).cast("int")
     return docs.select(block.alias("block"), F.col(key).alias("key"), F.col(text).alias("text")).repartition("block")

@@ -92,10 +92,11 @@ def _large(x: bytes, offset: int = 0) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[offset : offset + 1].decode()}", offset=offset + 1).astype(np.int64)
 
 
-def _rows(columns: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+def _rows(columns: str, rows: list[tuple], key: pa.DataType | None = None) -> pa.Table:
+    """rows under a schema that Spark reads as columns; one named key has the type given."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
     named = [c.split() for c in columns.split(", ")]
-    return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(named)})
+    return pa.table({n: pa.array([r[i] for r in rows], key if n == "key" else kinds[k]) for i, (n, k) in enumerate(named)})
 
 
 def _joined(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
@@ -122,7 +123,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         raise ValueError("classes must be from 2 to 254")
     blocks = block_count(text_size(docs, text), block_chars)
     shard_bits, end, kind = max(5, (blocks - 1).bit_length()), classes, docs.schema[key].dataType
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).cast("int")
     texts = docs.select(block.alias("block"), F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")).repartition("block").groupBy("block")
 
     def count(table: pa.Table) -> pa.Table:
@@ -167,7 +168,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
         def both(t: pa.Table, told: pa.Table) -> pa.Table:
             if not t.num_rows:
-                return _rows(columns, [])
+                return _rows(columns, [], t.schema.field("key").type)
             b = _Block(t, shard_bits)
             of = {k: _side(told.filter(pc.equal(told["kind"], k))) for k in (_COUNTS, _CLASSES, _FACTS, _GRID)}
             top = np.frombuffer(of[_FACTS][0], np.uint64, offset=32)

@@ -159,7 +159,9 @@ def with_matches(docs: DataFrame, tests: DataFrame, text: str = "text", item: st
     has the longest verbatim matches as (item, item_start, start, words), counted in words from 0. Words are runs of
     ASCII letters and digits and of characters outside ASCII, A-Z in lower case. Null texts and items have none; items
     without a name or words match nothing. Test texts of more than part_bytes are searched for in several parts.
+    A column of the new one's name is replaced.
     """
+    docs = docs.drop(into)
     rows = tests.select(F.col(item).cast("string").alias("name"), F.col(item_text).alias("text")).dropna()
     total = rows.agg(F.sum(F.octet_length("text") + F.octet_length("name")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // part_bytes))

@@ -29,6 +29,9 @@ TEMPLATES = {
     "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "cc-by-4.0": """This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.""",
+    "bsl-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
 }
 
 _SPACES = bytes(0x20 if b in NOT_ALNUM else b for b in range(256))
@@ -42,35 +45,45 @@ def words_of(text: str | None) -> list[bytes]:
 
 class Automaton:
     """Generalised suffix automaton of sequences of words. For each state: longest length, suffix link, edges by word,
-    and where its longest run ends first, as (sequence, place)."""
+    and for each sequence the longest suffix of its runs that stands there: (words, or None for all; its first end)."""
 
     def __init__(self, sequences: list[list[bytes]]):
-        self.length, self.link, self.edges, self.first = [0], [-1], [{}], [(-1, -1)]
+        self.length, self.link, self.edges = [0], [-1], [{}]
+        ends: dict[int, dict[int, int]] = defaultdict(dict)
         for s, words in enumerate(sequences):
             last = 0
             for i, w in enumerate(words):
-                last = self._extend(last, w, (s, i))
-
-    def _state(self, length: int, link: int, edges: dict[bytes, int], first: tuple[int, int]) -> int:
+                last = self._extend(last, w)
+                ends[last].setdefault(s, i)
+        order = sorted(range(1, len(self.length)), key=lambda v: self.length[v])
+        for v in reversed(order):  # what ends in a state ends in those of its suffixes
+            for s, i in ends[v].items():
+                ends[self.link[v]][s] = min(i, ends[self.link[v]].get(s, i))
+        self.reach: list[dict[int, tuple[int | None, int]]] = [{} for _ in self.length]
+        for v in order:
+            up = self.link[v]
+            shorter = {s: (self.length[up] if n is None else n, i) for s, (n, i) in self.reach[up].items()}
+            self.reach[v] = shorter | {s: (None, i) for s, i in ends[v].items()}
+
+    def _state(self, length: int, link: int, edges: dict[bytes, int]) -> int:
         self.length.append(length)
         self.link.append(link)
         self.edges.append(edges)
-        self.first.append(first)
         return len(self.length) - 1
 
     def _split(self, p: int, q: int, w: bytes) -> int:
         """The part of q that p leads to, as a state of its own."""
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.edges[q]), self.first[q])
+        clone = self._state(self.length[p] + 1, self.link[q], dict(self.edges[q]))
         self.link[q] = clone
         while p >= 0 and self.edges[p].get(w) == q:
             self.edges[p][w] = clone
             p = self.link[p]
         return clone
 
-    def _extend(self, p: int, w: bytes, at: tuple[int, int]) -> int:
+    def _extend(self, p: int, w: bytes) -> int:
         if (q := self.edges[p].get(w)) is not None:  # an earlier sequence has it
             return q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
-        new = self._state(self.length[p] + 1, 0, {}, at)
+        new = self._state(self.length[p] + 1, 0, {})
         while p >= 0 and w not in self.edges[p]:
             self.edges[p][w] = new
             p = self.link[p]
@@ -118,7 +131,8 @@ class Scanner:
         return sorted(out)
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
-        """Longest runs of at least `least` words that also stand in a template: (template, place there, place, words)."""
+        """Longest runs of at least `least` words that also stand in a template, for each template that has them:
+        (template, place there, place, words)."""
         known = [w in self.vocabulary for w in words]
         out, i, n = [], 0, len(words)
         while i < n:
@@ -131,11 +145,14 @@ class Scanner:
             except ValueError:
                 j = n
             if j - i >= self.least:
-                run = list(self.automaton.statistics(words[i:j]))
-                for k, (size, state) in enumerate(run):
-                    if size >= self.least and (k + 1 == len(run) or run[k + 1][0] <= size):  # it ends here
-                        template, end = self.automaton.first[state]
-                        out.append((template, end - size + 1, i + k - size + 1, size))
+                run = [
+                    {t: (size if n is None else n, end) for t, (n, end) in self.automaton.reach[state].items()} if size >= self.least else {}
+                    for size, state in self.automaton.statistics(words[i:j])
+                ]
+                for k, (here, after) in enumerate(zip(run, [*run[1:], {}], strict=True)):
+                    for template, (size, end) in here.items():
+                        if size >= self.least and after.get(template, (0, 0))[0] <= size:  # it ends here
+                            out.append((template, end - size + 1, i + k - size + 1, size))
             i = j
         return out
 
@@ -168,8 +185,10 @@ def with_licenses(docs: DataFrame, text: str = "text", into: str = "license", te
     n_base counts the places of phrases; first_word and last_word are the smallest and largest of them, counted in words
     from 0, null without any. labels also holds templates of which a chain of matches of `least` words or more, at most
     `gap` words apart, covers `share` or more. score is the largest share covered, and 1 where a phrase stands. Labels
-    are distinct, sorted and comma-joined, empty without any. Null texts have no words.
+    are distinct, sorted and comma-joined, empty without any. Null texts have no words. Wording that several templates
+    share counts for each. A column of the new one's name is replaced.
     """
+    docs = docs.drop(into)
     at = docs.columns.index(text)
     templates, phrases = templates or TEMPLATES, phrases or BASE
     span_type = pa.list_(pa.struct([(n, a) for n, a, _ in _SPAN]))

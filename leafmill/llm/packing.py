@@ -107,12 +107,11 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 class Plan:
     """Places for pieces by length: rows (length, from rank, to rank, sequence of the first, offset), and sequences used."""
 
-    def __init__(self, counts: dict[int, int], room: int, reduce: bool = True):
+    def __init__(self, counts: dict[int, int], room: int):
         self.room, self.rows, self.sequences = room, [], 0
         self.left = {n: c for n, c in counts.items() if c}
         self.used: dict[int, int] = defaultdict(int)
-        if reduce:
-            self._reduce()
+        self._reduce()
         self._best_fit()
 
     def _take(self, length: int, n: int, sequence: int, offset: int) -> None:
@@ -196,12 +195,13 @@ def pack(parts: DataFrame, room: int = 1024, slice_rows: int = 100_000) -> DataF
     """parts, which have a column length from 1 to room, with sequence_id and offset of each.
 
     The pieces of a sequence stand gapless from offset 0. Null lengths and lengths out of range give nulls. parts are
-    read three times, so they should be a written table.
+    read three times, so they should be a written table. Columns of parts with the results' names are replaced.
     """
+    parts = parts.drop("sequence_id", "offset")
     counts = parts.filter(F.col("length").between(1, room)).groupBy("length").count().collect()  # at most `room` rows
     slices = max(32, -(-sum(r["count"] for r in counts) // slice_rows))
     by_length = {int(r["length"]): r["count"] for r in counts}
-    plan = min((Plan(by_length, room, reduce) for reduce in (True, False)), key=lambda p: p.sequences)  # best-fit alone wins rarely
+    plan = Plan(by_length, room)
     order = [F.col(c) for c in parts.columns if c != "length" and not isinstance(parts.schema[c].dataType, T.MapType)]
     sliced = parts.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     ahead = sliced.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n"))

@@ -72,7 +72,9 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "stats") ->
 
     word_chars: code points in words; n_symbols: characters of #*$%&|<>; n_dup_lines: lines with a word that equal an
     earlier line; n_repeat_words: words in three-word windows found twice or more in the text. Null texts count as empty.
+    A column of the new one's name is replaced.
     """
+    docs = docs.drop(into)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,8 +121,10 @@ def with_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", lea
     """docs with an array of (kind, start, end) in one more column: code points from 0, end exclusive, by start and kind.
 
     assign, access and hex are fixed patterns; guess is a credential value that takes 10**least_cost guesses or more.
-    Null and empty texts have no spans. Whole texts are scanned, whatever their length.
+    Null and empty texts have no spans. Whole texts are scanned, whatever their length. A column of the new one's name is
+    replaced.
     """
+    docs = docs.drop(into)
     at = docs.columns.index(text)
     words = docs.sparkSession.sparkContext.broadcast(known_words())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
