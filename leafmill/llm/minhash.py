@@ -139,7 +139,9 @@ def joined(many: DataFrame, one: DataFrame, key: str, spread: str, total: int, m
     """
     at_least = max(_PART, -(-total // 100_000))
     counts = one.select(key, F.col(members).alias("_n")) if members else many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = F.broadcast(counts.filter(F.col("_n") > at_least).select(key, parts(F.col("_n")).alias("_parts")))
+    large = counts.filter(F.col("_n") > at_least).select(key, parts(F.col("_n")).alias("_parts"))
+    none = many.sparkSession.range(1).select(F.lit(None).cast(many.schema[key].dataType).alias(key), F.lit(1).alias("_parts"))
+    large = F.broadcast(large.unionByName(none))  # a null key meets nothing; with it the plan is one where no key is large
     copies = one.join(large, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     placed = many.join(large, key, "left").withColumn("_part", _dealt(F.col(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
