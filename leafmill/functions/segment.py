@@ -1,7 +1,7 @@
 """Cutting text: into sentences, into chunks of bounded size, and evenly.
 
-`sentences` works with built-in functions and covers what can be shielded in place; `sentences_exact` covers every rule
-in Arrow batches. They are two functions on purpose: a table holds results of one of them.
+A text is taken apart behind each run of end marks; what stands around a mark decides whether the sentence ends there.
+All of it is built-in functions, so the index, the searches and the features share one set of rules.
 """
 
 from __future__ import annotations
@@ -14,94 +14,111 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CUT, _HELD = "\u0001", "\u0002"
+#: Stands for an end mark that is part of an address or an abbreviation; in texts it is a private-use character.
+KEPT = "\ue000\ue001\ue002"
+_CUT = "\ue003"
+MARKS = ".!?"
 
-# Titles before names, words that a lower-case word may follow, and months before a day, by language or for all.
+# Titles before names, words that a lower-case word may follow, months before a day, abbreviations of two
+# parts (with a space between them or not), what ends a site's name, closing marks, and marks that don't belong to an address.
 TITLES = {
     "en": "mr mrs ms dr prof rev st jr sr vs no fig pp vol".split(),
     "es": "sr sra srta dr dra prof profa d dña ud uds núm num pág págs pag pags art arts vol fig aprox".split(),
 }
 OPEN_ENDED = "etc cf incl".split()
 MONTHS = "jan feb mar apr jun jul aug sep sept oct nov dec ene abr ago dic".split()
+PAIRS = (("e", "g", ""), ("i", "e", ""), ("p", "ej", " ?"), ("a", "m", ""), ("p", "m", ""), ("EE", "UU", " ?"))
+SITES = "com org net edu gov es io".split()
 CLOSERS = "”»\"'’)]"
-
-#: (pattern, replacement with $n): a space after an end mark that ends no sentence becomes _HELD.
-SHIELDS = (
-    (r"(^|[^\p{L}\p{N}])(Mr|Mrs|Ms|Dr|Prof|Rev|St|Jr|Sr|Sra|Srta|Dra|Profa|Ud|Uds|núm|pág|fig|vol)\. ", f"$1$2.{_HELD}"),
-    (r"(^|[^\p{L}\p{N}])(\p{Lu})\. (\p{Lu})", f"$1$2.{_HELD}$3"),
-    (r"(^|[^\p{L}\p{N}])(etc|cf|incl)\. (\p{Ll})", f"$1$2.{_HELD}$3"),
-    (r"\.\.\. (\p{Ll})", f"...{_HELD}$1"),
-)
-END = r"([.!?]+[”»\"'’)\]]*) "
-
-
-def sentences(clean: Column) -> Column:
-    """Sentences of a clean text, as an array. An end mark, with closing quotes, and a space end one."""
-    out = clean
-    for pattern, put in SHIELDS:
-        out = F.regexp_replace(out, pattern, put)
-    out = F.split(F.regexp_replace(out, END, f"$1{_CUT}"), _CUT)
-    return F.filter(F.transform(out, lambda s: F.trim(F.translate(s, _HELD, " "))), lambda s: s != "")
-
-
-_PHRASES = re.compile(r"\b(?:e\.g\.|i\.e\.|p\.\s?ej\.|a\.m\.|p\.m\.|EE\.\s?UU\.)", re.IGNORECASE)
-_ADDRESS = re.compile(r"(?:https?://|www\.)[^\s<>]+|[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|\b[\w-]+\.(?:com|org|net|edu|gov|es|io)(?:/[^\s<>]*)?")
-_MARKS = re.compile(rf"[.!?]+[{re.escape(CLOSERS)}]*")
-
-
-def _protected(text: str) -> list[tuple[int, int]]:
-    """Spans in which no mark ends a sentence. Marks that trail an address don't belong to it."""
-    spans = [m.span() for m in _PHRASES.finditer(text)]
-    return spans + [(m.start(), m.start() + len(m[0].rstrip('.!?;,:”»"'))) for m in _ADDRESS.finditer(text)]
-
-
-def _ends(text: str, begin: int, mark: re.Match, titles: list[str]) -> bool:
-    """Whether the marks end the sentence that begins at begin."""
-    at, end = mark.span()
-    after = text[end:].lstrip()
-    if after[:1] in tuple(",;:"):
-        return False
-    if mark[0][0] != "." or not after:
-        return True
-    before = re.search(r"\w+$", text[max(0, at - 40) : at])
-    word = before[0] if before else ""
-    tests = (
-        text[at - 1 : at].isdigit() and text[at + 1 : at + 2].isdigit(),  # decimals
-        re.fullmatch(r"(?:\d+|[IVXLCDM]+)\.", text[begin:end].strip()),  # list marks
-        word.lower() in titles,
-        re.search(r"\b(?:[A-Z]\.)+[A-Z]$", text[max(0, at - 20) : at]),  # acronyms
-        word.lower() in MONTHS and after[0].isdigit(),
-        len(word) == 1 and word.isupper() and after[0].isupper(),  # initials
-        word.lower() in OPEN_ENDED and after[0].islower(),
-        mark[0].startswith("...") and after[0].islower(),
-    )
-    return not any(tests)
-
-
-def split_exactly(text: str | None, language: str | None) -> list[str] | None:
-    """Sentences under all rules; null stays null. Parts without letters or digits stay with the sentence before."""
-    if text is None:
-        return None
-    text = re.sub(r"\s+", " ", text).strip()
-    titles = TITLES.get(language or "en", TITLES["en"])
-    spans, begin, out = _protected(text), 0, []
-    for mark in _MARKS.finditer(text):
-        if any(a <= mark.start() < b for a, b in spans) or not _ends(text, begin, mark, titles):
-            continue
-        out.append(text[begin : mark.end()].strip())
-        begin = mark.end()
-    joined: list[str] = []
-    for part in filter(None, [*out, text[begin:].strip()]):
-        if joined and not any(c.isalnum() for c in part):
-            joined[-1] += part
-        else:
-            joined.append(part)
-    return joined
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentences_exact(texts: pd.Series, languages: pd.Series) -> pd.Series:
-    return pd.Series([split_exactly(t, lang) for t, lang in zip(texts, languages, strict=True)])
+TRAILING = ".!?;,:”»\""
+
+_CLOSING = "[" + CLOSERS.replace("]", "\\]") + "]*"
+PIECE = rf"[^.!?]*[.!?]+{_CLOSING}|[^.!?]+"
+PAIR = "(?i)" + "|".join(rf"{a}\.{gap}{b}\." for a, b, gap in PAIRS)
+SITE = rf"\.(?<=[\p{{L}}\p{{N}}_-]\.)({'|'.join(SITES)})"
+LINK, MAIL = r"https?://|www\.", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _shielded(clean: Column) -> Column:
+    """clean with end marks of addresses and abbreviations replaced by those of KEPT."""
+    keep = lambda x: F.translate(x, MARKS, KEPT)
+
+    def word(w: Column) -> Column:
+        """A link or an e-mail address, but for marks that trail it."""
+        cut = F.length(w) - F.length(F.regexp_extract(w, f"[{TRAILING}]+$", 0))
+        begin = F.greatest(F.length(F.regexp_extract(w, f"^(.*?)(?:{LINK})", 1)), F.lit(0))
+        inside = F.when(w.rlike(LINK), F.concat(F.substring(w, F.lit(1), begin), keep(F.substring(w, begin + 1, F.greatest(cut - begin, F.lit(0))))))
+        return F.concat(F.coalesce(inside, F.when(w.rlike(MAIL), keep(F.substring(w, F.lit(1), cut))), F.substring(w, F.lit(1), cut)), F.substring(w, cut + 1, F.length(w)))
+
+    def pairs(x: Column) -> Column:
+        out = x
+        for a, b, gap in PAIRS:
+            out = F.regexp_replace(out, rf"(?i)(^|[^\p{{L}}\p{{N}}_])({a})\.({gap})({b})\.", f"$1$2{KEPT[0]}$3$4{KEPT[0]}")
+        return F.when(x.rlike(PAIR), out).otherwise(x)
+
+    linked = clean.contains("@") | clean.contains("://") | clean.contains("www.")
+    links = F.when(linked, F.array_join(F.transform(F.split(clean, " "), word), " ")).otherwise(clean)
+    return _let(F.regexp_replace(links, SITE, f"{KEPT[0]}$1"), pairs)
+
+
+def _code(piece: Column, before: Column, rest: Column, titles: list[str]) -> Column:
+    """What a piece is to its sentence, given the pieces around it: e if it ends it, h if what follows belongs to it, l if
+    it is the number of a list item, which ends none that begins with it."""
+    first = F.substring(F.ltrim(F.substring(rest, 1, 2)), 1, 1)
+    lower_case, upper_case, digit = first.rlike(r"\p{Ll}"), first.rlike(r"\p{Lu}"), first.rlike("[0-9]")
+
+    def at(x: Column) -> Column:
+        """x: what stands before the closing marks, and before the end marks; then the last word, and the end marks."""
+        word, marks = x["word"], x["marks"]
+        low = F.lower(word)
+        held = (
+            low.isin(titles)
+            | (low.isin(MONTHS) & digit)
+            | (low.isin(OPEN_ENDED) & lower_case)
+            | ((F.length(word) == 1) & upper_case & word.rlike(r"\p{Lu}"))
+            | (piece.rlike("^[A-Z][.]") & before.rlike(r"(^|[^\p{L}\p{N}_])[A-Z]\.$"))  # the next letter of A.B.
+            | (digit & (marks == ".") & piece.endswith(".") & word.rlike("[0-9]$") & ~rest.startswith(" "))
+            | (marks.startswith("...") & lower_case)
+        )
+        listed = F.trim(piece).rlike(r"^([0-9]+|[IVXLCDM]+)\.$")
+        return F.when(first.isin(",", ";", ":"), "h").when((first == "") | ~marks.startswith("."), "e").when(held, "h").when(listed, "l").otherwise("e")
+
+    bare = F.rtrim(F.right(piece, F.lit(40)), F.lit(CLOSERS))
+    parts = _let(bare, lambda x: F.struct(x.alias("bare"), F.rtrim(x, F.lit(MARKS)).alias("base")))
+    found = _let(parts, lambda x: F.struct(F.regexp_extract(F.substring_index(x["base"], " ", -1), r"[\p{L}\p{N}_]+$", 0).alias("word"), F.substring(x["bare"], F.length(x["base"]) + 1, F.lit(40)).alias("marks")))
+    return _let(found, at)
+
+
+def sentences(clean: Column, language: Column | None = None) -> Column:
+    """Sentences of a clean text, as an array; empty for an empty text, null for null.
+
+    Runs of end marks with closing quotes end one, but for those of titles, initials, acronyms, months before a day,
+    decimals, numbers of list items, addresses and abbreviations, before `,;:`, and open-ended words or three dots before
+    a lower-case letter. Parts without letters or digits stay with the sentence before. Titles are those of Spanish where
+    language starts with es, else of English.
+    """
+
+    def codes(pieces: Column, titles: list[str]) -> Column:
+        around = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+        return F.array_join(F.transform(pieces, lambda p, i: _code(p, around(i - 1), around(i + 1), titles)), "")
+
+    def cut(pieces: Column) -> Column:
+        found = codes(pieces, TITLES["en"])
+        if language is not None:
+            found = F.when(F.lower(language).startswith("es"), codes(pieces, TITLES["es"])).otherwise(found)
+        for pair, put in (("hl", "he"), ("ll", "he"), ("l", "h")):  # a number goes on only where a sentence begins
+            found = F.regexp_replace(found, pair, put)
+        marked = _let(found, lambda c: F.array_join(F.transform(pieces, lambda p, i: F.when(F.substring(c, i + 1, F.lit(1)) == "e", F.concat(p, F.lit(_CUT))).otherwise(p)), ""))
+        glued = F.regexp_replace(marked, rf"{_CUT} ?([^\p{{L}}\p{{N}}{_CUT}]+?) ?(?={_CUT}|$)", "$1")
+        return F.split(F.translate(glued, KEPT, MARKS), _CUT)
+
+    split = F.transform(_let(F.regexp_extract_all(_shielded(clean), F.lit(PIECE), F.lit(0)), cut), lambda s: F.trim(s))
+    return F.filter(F.when(clean.rlike(rf"[.!?]{_CLOSING}[^.!?]"), split).when(clean.isNotNull(), F.array(F.trim(clean))), lambda s: s != "")
 
 
 def chunk(text: str | None, most: int) -> list[str] | None:

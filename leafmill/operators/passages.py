@@ -18,10 +18,13 @@ def explode_passages(books: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "section", "sentence", citation(F.col("section"), F.col("sentence")).alias("citation"), "text", "title", "source")
 
 
-def passages_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Passages of plain documents: each line is a section, its sentences the passages; the title is the line's start."""
-    lines = page_lines(docs, key, text)
-    rows = lines.select(key, F.col("line_no").alias("section"), F.col("line"), F.posexplode(sentences(F.col("line"))).alias("sentence", "text"))
+def passages_of(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
+    """Passages of plain documents: each line is a section, its sentences the passages; the title is the line's start.
+    Sentences follow the rules of language, where docs have that column."""
+    known = language in docs.columns
+    lines = page_lines(docs, key, text, *[language] * known)
+    cut = sentences(F.col("line"), F.col(language) if known else None)
+    rows = lines.select(key, F.col("line_no").alias("section"), F.col("line"), F.posexplode(cut).alias("sentence", "text"))
     title = F.array_join(F.slice(F.split("line", " "), 1, 4), " ")
     return rows.select(key, "section", "sentence", citation(F.col("section"), F.col("sentence")).alias("citation"), "text", title.alias("title"), F.concat(F.lit("line:"), F.col("section")).alias("source"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.functions import segment
 from leafmill.functions.text import STOPWORDS
 from leafmill.operators.passages import passages_of
 from leafmill.operators.search import as_queries
@@ -52,24 +53,56 @@ def content(x: str, least: int = 1) -> str:
     return f"list_filter({x}, lambda w: NOT list_contains({STOP}, w) AND length(w) >= {least})"
 
 
-_HONORIFICS = r"'(^|[^\p{L}\p{N}])(Mr|Mrs|Ms|Dr|Prof|Rev|St|Jr|Sr|Sra|Srta|Dra|Profa|Ud|Uds|núm|pág|fig|vol)\. '"
-_MARKED = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line,
-  {_HONORIFICS}, '\1\2.' || chr(2), 'g'),
-  '(^|[^\p{{L}}\p{{N}}])(\p{{Lu}})\. (\p{{Lu}})', '\1\2.' || chr(2) || '\3', 'g'),
-  '(^|[^\p{{L}}\p{{N}}])(etc|cf|incl)\. (\p{{Ll}})', '\1\2.' || chr(2) || '\3', 'g'),
-  '\.\.\. (\p{{Ll}})', '...' || chr(2) || '\1', 'g'),
-  '([.!?]+[”»"''’)\]]*) ', '\1' || chr(1), 'g')"""
-
 LINES = f"""lines AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS line_no, line FROM (
   SELECT doc_id, i, {clean("l")} AS line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE line <> '')"""
 
+_CLOSERS = segment.CLOSERS.replace("'", "''")
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _kept(x: str) -> str:
+    return f"translate({x}, '.!?', chr(57344) || chr(57345) || chr(57346))"
+
+
+def shielded(line: str) -> str:
+    """line with the end marks of addresses and abbreviations replaced, to be taken back by `unshielded`."""
+    cut, begin = rf"(length(w) - length(regexp_extract(w, '[{segment.TRAILING}]+$', 0)))", rf"length(regexp_extract(w, '^(.*?)(?:{segment.LINK})', 1))"
+    link = f"substring(w, 1, {begin}) || {_kept(f'substring(w, {begin} + 1, greatest({cut} - {begin}, 0))')}"
+    word = f"CASE WHEN regexp_matches(w, '{segment.LINK}') THEN {link} WHEN regexp_matches(w, '{segment.MAIL}') THEN {_kept(f'substring(w, 1, {cut})')} ELSE substring(w, 1, {cut}) END || substring(w, {cut} + 1)"
+    out = f"array_to_string(list_transform(string_split({line}, ' '), lambda w: {word}), ' ')"
+    out = rf"regexp_replace({out}, '([\p{{L}}\p{{N}}_-])\.({'|'.join(segment.SITES)})', '\1' || chr(57344) || '\2', 'g')"
+    for a, b, gap in segment.PAIRS:
+        out = rf"regexp_replace({out}, '(^|[^\p{{L}}\p{{N}}_])({a})\.({gap})({b})\.', '\1\2' || chr(57344) || '\3\4' || chr(57344), 'gi')"
+    return out
+
+
+#: Sentences of lines: pieces behind each run of end marks, whether each goes on, and runs of those that end one.
+SENTENCES = rf"""s_pieces AS (SELECT doc_id, line_no, es, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+  SELECT doc_id, line_no, coalesce(starts_with(lower(lang), 'es'), false) AS es, regexp_extract_all({shielded("line")}, '[^.!?]*[.!?]+[{_CLOSERS.replace("]", chr(92) + "]")}]*|[^.!?]+') AS ps FROM lines JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))),
+s_near AS (SELECT *, coalesce(lag(p) OVER w, '') AS before, coalesce(lead(p) OVER w, '') AS rest, rtrim(right(p, 40), '{_CLOSERS}') AS bare FROM s_pieces WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)),
+s_words AS (SELECT *, regexp_extract(rtrim(bare, '.!?'), '{_WORD}+$', 0) AS word, substring(bare, length(rtrim(bare, '.!?')) + 1) AS marks, substring(ltrim(rest), 1, 1) AS nxt FROM s_near),
+s_held AS (SELECT *, nxt IN (',', ';', ':') OR nxt <> '' AND starts_with(marks, '.') AND (
+    CASE WHEN es THEN lower(word) IN ({quoted(segment.TITLES["es"])}) ELSE lower(word) IN ({quoted(segment.TITLES["en"])}) END
+    OR lower(word) IN ({quoted(segment.MONTHS)}) AND regexp_matches(nxt, '[0-9]')
+    OR lower(word) IN ({quoted(segment.OPEN_ENDED)}) AND regexp_matches(nxt, '\p{{Ll}}')
+    OR length(word) = 1 AND regexp_matches(word, '\p{{Lu}}') AND regexp_matches(nxt, '\p{{Lu}}')
+    OR regexp_matches(p, '^[A-Z][.]') AND regexp_matches(before, '(^|[^\p{{L}}\p{{N}}_])[A-Z]\.$')
+    OR regexp_matches(p, '[0-9]\.$') AND regexp_matches(rest, '^[0-9]')
+    OR starts_with(marks, '...') AND regexp_matches(nxt, '\p{{Ll}}')) AS held,
+  nxt <> '' AND regexp_matches(trim(p), '^([0-9]+|[IVXLCDM]+)\.$') AS listed FROM s_words),
+s_alone AS (SELECT *, listed AND NOT held AS alone, coalesce(lag(held) OVER w, false) AS after_held, i - row_number() OVER (PARTITION BY doc_id, line_no, listed AND NOT held ORDER BY i) AS run FROM s_held WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)),
+s_ended AS (SELECT *, CASE WHEN held THEN false WHEN alone THEN ((row_number() OVER r) % 2 = 0) = NOT (first_value(after_held) OVER r) ELSE true END AS ended FROM s_alone WINDOW r AS (PARTITION BY doc_id, line_no, alone, run ORDER BY i)),
+s_parts AS (SELECT doc_id, line_no, n, trim(string_agg(p, '' ORDER BY i)) AS part FROM (
+  SELECT *, coalesce(sum(CAST(ended AS INTEGER)) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM s_ended) GROUP BY ALL),
+s_glued AS (SELECT *, sum(CASE WHEN regexp_matches(part, '[\p{{L}}\p{{N}}]') THEN 1 ELSE 0 END) OVER w AS own, row_number() OVER w AS k FROM s_parts WHERE part <> '' WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY n)),
+sentences AS (SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY least_n) - 1 AS INTEGER) AS sentence, text FROM (
+  SELECT doc_id, line_no, min(n) AS least_n, translate(string_agg(part, '' ORDER BY n), chr(57344) || chr(57345) || chr(57346), '.!?') AS text FROM (
+    SELECT *, CASE WHEN own = 0 THEN 0 WHEN first_value(own) OVER (PARTITION BY doc_id, line_no ORDER BY n) = 0 THEN own ELSE own - 1 END AS whole FROM s_glued) GROUP BY doc_id, line_no, whole))"""
+
 PASSAGES = f"""{LINES},
-passages AS (SELECT doc_id, section, sentence, printf('%04d-%05d', section, sentence) AS citation, text, title, 'line:' || section AS source FROM (
-  SELECT doc_id, section, CAST(row_number() OVER (PARTITION BY doc_id, section ORDER BY i) - 1 AS INTEGER) AS sentence, s AS text, title FROM (
-    SELECT doc_id, section, i, title, trim(replace(s0, chr(2), ' ')) AS s FROM (
-      SELECT doc_id, section, title, unnest(string_split(marked, chr(1))) AS s0, generate_subscripts(string_split(marked, chr(1)), 1) AS i FROM (
-        SELECT doc_id, line_no AS section, array_to_string(string_split(line, ' ')[1:4], ' ') AS title, {_MARKED} AS marked FROM lines))) WHERE s <> ''))"""
+{SENTENCES},
+passages AS (SELECT doc_id, line_no AS section, sentence, printf('%04d-%05d', line_no, sentence) AS citation, text, array_to_string(string_split(line, ' ')[1:4], ' ') AS title, 'line:' || line_no AS source FROM sentences JOIN lines USING (doc_id, line_no))"""
 
 QUERIES_CTE = f"""queries AS (SELECT query_id, terms, len(terms) AS n FROM (
   SELECT item_id AS query_id, list_distinct({content(tokens("text") + "[1:6]", 2)}) AS terms FROM benchmark) WHERE len(terms) > 0),

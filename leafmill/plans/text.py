@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import segment, stem
 from leafmill.functions import text as tx
 from leafmill.operators import language, margins, passages as pg
-from leafmill.plans.common import LINES, PASSAGES, SPACES, clean, content, fold, lines, passages, quoted, table, tokens
+from leafmill.plans.common import LINES, PASSAGES, SENTENCES, SPACES, clean, content, fold, lines, passages, quoted, table, tokens
 from leafmill.sources import corpus
 
 
@@ -116,7 +116,7 @@ def language_codes(spark, d):
 def highlights(spark, d):
     parts = tx.highlight_parts(F.col("text"), F.lit("tion"))
     marked = F.array_join(F.transform(parts, lambda p: F.when(p["match"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "")
-    return passages(spark, d).filter(F.col("sentence") == 0).select("doc_id", "citation", marked.alias("marked"))
+    return passages(spark, d).select("doc_id", "citation", marked.alias("marked"))
 
 
 def excerpts(spark, d):
@@ -184,7 +184,7 @@ def detect_language(spark, d):
 
 def split_sentences_exact(spark, d):
     rows = lines(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id")
-    return rows.select("doc_id", "line_no", F.posexplode(segment.sentences_exact(F.col("line"), F.col("lang"))).alias("sentence", "text"))
+    return rows.select("doc_id", "line_no", F.posexplode(segment.sentences(F.col("line"), F.col("lang"))).alias("sentence", "text"))
 
 
 def chunk_text(spark, d):
@@ -225,6 +225,7 @@ ORACLE_SQL = {
     "margin_forms": f"WITH {LINES} SELECT form, count(*) AS n FROM (SELECT regexp_replace(lower(line), '[0-9]+', '#', 'g') AS form FROM lines) GROUP BY ALL HAVING count(*) > 1",
     "page_lines": f"WITH {LINES} SELECT * FROM lines",
     "explode_passages": f"WITH {PASSAGES} SELECT * FROM passages",
+    "split_sentences_exact": f"WITH {LINES}, {SENTENCES} SELECT doc_id, line_no, sentence, text FROM sentences",
     "list_sentences": f"WITH {PASSAGES} SELECT doc_id, citation, text FROM passages",
     "citations": f"WITH {PASSAGES} SELECT doc_id, citation AS sentence_id, section AS chapter, title, text, source || '#sentence=' || sentence AS anchor FROM passages",
     "admission_checks": "SELECT doc_id, concat_ws(',', CASE WHEN length(trim(text)) < 40 THEN 'empty' END, CASE WHEN octet_length(encode(text)) > 5000 THEN 'too large' END, CASE WHEN len(string_split(text, chr(10))) > 20 THEN 'too many lines' END, CASE WHEN contains(text, chr(65533)) THEN 'broken encoding' END) AS reasons FROM documents",
@@ -233,7 +234,7 @@ ORACLE_SQL = {
     "needs_ocr": "SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) < 24 AS needs_ocr FROM documents",
     "content_signatures": f"WITH {PASSAGES} SELECT doc_id, citation, sha256(concat_ws(chr(1), text, title, '1')) AS signature FROM passages",
     "language_codes": "SELECT page_id, CASE WHEN c = '' THEN 'en' WHEN c IN ('en', 'es', 'fr', 'de') THEN c END AS language FROM (SELECT page_id, string_split(replace(lower(trim(regexp_extract(html, '<html[^>]*[^\\w]lang=\"([^\"]*)\"', 1))), '_', '-'), '-')[1] AS c FROM pages)",
-    "highlights": f"WITH {PASSAGES} SELECT doc_id, citation, regexp_replace(text, '([tT][iIíìîïÍÌÎÏ][oOóòôöÓÒÔÖ][nNñÑ])', '[\\1]', 'g') AS marked FROM passages WHERE sentence = 0",
+    "highlights": f"WITH {PASSAGES} SELECT doc_id, citation, regexp_replace(text, '([tT][iIíìîïÍÌÎÏ][oOóòôöÓÒÔÖ][nNñÑ])', '[\\1]', 'g') AS marked FROM passages",
     "excerpts": f"WITH {PASSAGES} SELECT doc_id, section, substring(string_agg(text, ' ' ORDER BY sentence), 1, 600) AS excerpt FROM passages WHERE sentence < 2 GROUP BY ALL",
     "ordinals": f"""WITH words AS (SELECT numeral, count(*) AS n FROM (SELECT unnest({tokens("text")}) AS numeral FROM documents) WHERE regexp_full_match(numeral, '[ivxlcdm]{{1,6}}|[0-9]{{1,9}}') GROUP BY ALL),
       digits AS (SELECT numeral, i, CASE numeral[i] WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 WHEN 'm' THEN 1000 END AS v FROM (SELECT numeral, unnest(range(1, length(numeral) + 1)) AS i FROM words)),

@@ -89,7 +89,7 @@ def incremental_index(spark, d):
     """The index that a stream of the documents leaves behind."""
     at = _scratch(spark)
     table_ = jobs.VersionedTable(spark, f"{at}/index", jobs.INDEX)
-    jobs.drain(_stream(spark, d, "documents").select("doc_id", "text").writeStream.foreachBatch(jobs.update_index(table_)), f"{at}/checkpoint")
+    jobs.drain(_stream(spark, d, "documents").select("doc_id", "text", "lang").writeStream.foreachBatch(jobs.update_index(table_)), f"{at}/checkpoint")
     return table_.read().select("doc_id", "section", "sentence", "citation", "text")
 
 

@@ -26,10 +26,10 @@ def read_corpus(spark: SparkSession, path: str, form: str = "parquet", schema: T
     return docs.filter(F.length(F.trim(F.col(text))) > 0)
 
 
-def page_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no, line): the lines of a text that have characters, clean and numbered from 0."""
+def page_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *others: str) -> DataFrame:
+    """(key, line_no, line): the lines of a text that have characters, clean and numbered from 0; and other columns."""
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: clean_text(x, compose=False)), lambda x: x != "")
-    return docs.select(key, F.posexplode(lines).alias("line_no", "line"))
+    return docs.select(key, *others, F.posexplode(lines).alias("line_no", "line"))
 
 
 def admission_checks(docs: DataFrame, text: str = "text", most_bytes: int = 20_000, least_chars: int = 1, most_lines: int = 200) -> DataFrame:
