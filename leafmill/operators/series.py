@@ -40,14 +40,32 @@ def change_snapshots(rows: DataFrame, key: str, order: list[str], *payload: Colu
 
 
 def undo_outcomes(rows: DataFrame, key: str, time: Column, order: str, kind: Column, seconds: int = 8) -> DataFrame:
-    """(key, order, outcome) of each delete among rows whose kind is delete or restore: restored if the key's next row is a
-    restore within the seconds, else purged. A delete while one is open within the seconds is repeated and changes nothing."""
+    """(key, order, outcome) of each delete among rows whose kind is delete or restore.
+
+    A delete opens a window of so many seconds. A restore in it makes the delete restored and closes the window, without
+    one it is purged; a delete in an open window is repeated and changes nothing. Rows of a key are replayed in order,
+    apart from those before a longer silence, as no window spans one.
+    """
+    limit = seconds * 1_000_000
     w = Window.partitionBy(key).orderBy("_micros", order)
     marked = rows.withColumns({"_micros": F.unix_micros(time), "_kind": kind}).filter(F.col("_kind").isin("delete", "restore"))
-    marked = marked.withColumns({"_before": F.lag("_kind").over(w), "_since": F.col("_micros") - F.lag("_micros").over(w), "_next": F.lead("_kind").over(w), "_until": F.lead("_micros").over(w) - F.col("_micros")})
-    near = lambda c: F.col(c) <= seconds * 1_000_000
-    outcome = F.when((F.col("_before") == "delete") & near("_since"), "repeated").when((F.col("_next") == "restore") & near("_until"), "restored").otherwise("purged")
-    return marked.filter("_kind = 'delete'").select(key, order, outcome.alias("outcome"))
+    marked = marked.withColumn("_silent", (F.col("_micros") - F.lag("_micros").over(w) > limit).cast("int")).withColumn("_burst", F.coalesce(F.sum("_silent").over(w), F.lit(0)))
+    bursts = marked.groupBy(key, "_burst").agg(F.sort_array(F.collect_list(F.struct("_micros", order, "_kind"))).alias("_rows"))
+    id_ = rows.schema[order].dataType.simpleString()
+    state = f"struct<at:bigint,id:{id_},out:array<struct<id:{id_},outcome:string>>>"
+    outcome = lambda id_, what: F.array(F.struct(id_.alias("id"), F.lit(what).alias("outcome")))
+
+    def step(s: Column, x: Column) -> Column:
+        open_ = s["at"].isNotNull()
+        live = open_ & (x["_micros"] - s["at"] <= limit)
+        closed = F.when(open_ & ~live, F.concat(s["out"], outcome(s["id"], "purged"))).otherwise(s["out"])
+        deleted = F.when(live, F.struct(s["at"], s["id"], F.concat(s["out"], outcome(x[order], "repeated"))).cast(state)).otherwise(F.struct(x["_micros"], x[order], closed).cast(state))
+        out = F.when(live, F.concat(s["out"], outcome(s["id"], "restored"))).otherwise(closed)
+        return F.when(x["_kind"] == "delete", deleted).otherwise(F.struct(F.lit(None), F.lit(None), out).cast(state))
+
+    start = F.struct(F.lit(None), F.lit(None), F.array()).cast(state)
+    done = F.aggregate("_rows", start, step, lambda s: F.when(s["at"].isNotNull(), F.concat(s["out"], outcome(s["id"], "purged"))).otherwise(s["out"]))
+    return bursts.select(key, F.explode(done).alias("_o")).select(key, F.col("_o.id").alias(order), "_o.outcome")
 
 
 def without_late(updates: DataFrame, deletes: DataFrame, key: str, time: str) -> DataFrame:

@@ -270,6 +270,11 @@ def regression_check(spark, d):
 
 QUERIES = {f.__name__: f for f in (section_votes, section_flags, numbering_gap, section_cascade, duplicate_titles, start_section, review_rollup, section_edits, split_remap, merge_remap, edit_sentences, library_sort, shelf_filter, continue_reading, latest_position, latest_job, extents, usage_quota, progress, readiness, contiguous_ready, ready_run, rotated_order, timeline_offsets, median_height, index_diff, index_status, missing_vectors, stale_vectors, reusable_items, shared_sources, collectible, manual_override, owner_rows, toggled_marks, cast_voices, clean_names, signal_stats, active_bounds, rolling_eta, rate_limit, change_snapshots, undo_ttl, late_updates, dedupe_requests, latency_percentiles, regression_check)}
 
+_NUMERAL = r"regexp_extract(t, '^(?:(?:chapter|capitulo)\s+)?([0-9]+|[ivxlcdm]+)(?:[.]|$|\s)', 1)"
+_LETTER = "CASE substring(x.s, i, 1) WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 WHEN 'm' THEN 1000 ELSE 0 END"
+#: The value of a numeral in SQL: digits, or letters of which each counts against the next one if that is larger.
+_VALUE = f"""CASE WHEN {_NUMERAL} = '' THEN NULL WHEN regexp_matches({_NUMERAL}, '^[0-9]') THEN TRY_CAST({_NUMERAL} AS INTEGER) ELSE
+  CAST(list_sum(list_transform(range(1, length({_NUMERAL}) + 1), lambda i: CASE WHEN {_LETTER.replace("x.s", _NUMERAL)} < {_LETTER.replace("x.s", _NUMERAL).replace(", i, 1)", ", i + 1, 1)")} THEN -1 ELSE 1 END * {_LETTER.replace("x.s", _NUMERAL)})) AS INTEGER) END"""
 _SECTIONS = f"""{LINES}, raw AS (SELECT doc_id, line_no, line, length(line) AS n_chars, string_split(line, ' ')[1] AS first_word FROM lines),
 sections AS (SELECT doc_id, line_no AS section, line, {_TITLE.replace("STRING", "VARCHAR")} AS title, {_EVIDENCE} AS evidence, {_ROLE} AS role,
   len(string_split(line, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS n_sections FROM raw),
@@ -289,7 +294,7 @@ votes AS (SELECT *, CASE WHEN role <> '' THEN role WHEN top > second THEN winner
   CASE WHEN role <> '' THEN 'high' WHEN top = 0 OR top = second THEN 'low' WHEN top >= 6 AND top - second >= 3 THEN 'high' WHEN top >= 3 AND top - second >= 2 THEN 'medium' ELSE 'low' END AS level,
   CASE WHEN role <> '' THEN 'document' WHEN top > 0 AND kw IS NULL AND evidence IN ('table-of-contents', 'outline') THEN 'document' ELSE 'inferred' END AS confidence,
   CASE WHEN role <> '' THEN 100 ELSE top END AS score, CASE WHEN role <> '' THEN 100 ELSE top - second END AS margin FROM tops),
-numbered AS (SELECT *, CASE WHEN kind = 'chapter' THEN CASE regexp_extract(t, '^(?:(?:chapter|capitulo)\s+)?([0-9]+|[ivxlcdm]+)(?:[.]|$|\s)', 1) WHEN '' THEN NULL WHEN 'iv' THEN 4 ELSE TRY_CAST(regexp_extract(t, '^(?:(?:chapter|capitulo)\s+)?([0-9]+|[ivxlcdm]+)(?:[.]|$|\s)', 1) AS INTEGER) END END AS number,
+numbered AS (SELECT *, CASE WHEN kind = 'chapter' THEN {_VALUE} END AS number,
   sum(CAST(is_part AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY section) AS part_no FROM votes),
 gaps AS (SELECT *, last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id, part_no ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_number FROM numbered),
 flagged AS (SELECT *, coalesce(number <> previous_number + 1, false) AS gap,
@@ -347,9 +352,11 @@ ORACLE_SQL = {
     "rolling_eta": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM events",
     "rate_limit": "SELECT event_id, n AS recent, n > 3 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events)",
     "change_snapshots": "SELECT event_id, user_id, event_type FROM events QUALIFY coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type, true)",
-    "undo_ttl": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, CASE event_type WHEN 'error' THEN 'delete' ELSE 'restore' END AS k FROM events WHERE event_type IN ('error', 'click')),
-      w AS (SELECT *, lag(k) OVER o AS b, t - lag(t) OVER o AS s, lead(k) OVER o AS n, lead(t) OVER o - t AS u FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t, event_id))
-      SELECT user_id, event_id, CASE WHEN b = 'delete' AND s <= 3600000000 THEN 'repeated' WHEN n = 'restore' AND u <= 3600000000 THEN 'restored' ELSE 'purged' END AS outcome FROM w WHERE k = 'delete'""",
+    "undo_ttl": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS gone, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('error', 'click')),
+back AS (SELECT d.user_id, d.r, d.t, min(b.r) AS back FROM e AS d LEFT JOIN e AS b ON b.user_id = d.user_id AND NOT b.gone AND b.r > d.r AND b.t - d.t <= 3600000000 WHERE d.gone GROUP BY ALL),
+after AS (SELECT o.user_id, o.r, o.back, min(d.r) AS after FROM back AS o LEFT JOIN e AS d ON d.user_id = o.user_id AND d.gone AND CASE WHEN o.back IS NULL THEN d.r > o.r AND d.t - o.t > 3600000000 ELSE d.r > o.back END GROUP BY ALL),
+opened AS (SELECT user_id, min(r) AS r FROM e WHERE gone GROUP BY ALL UNION ALL SELECT opened.user_id, after.after FROM opened JOIN after USING (user_id, r) WHERE after.after IS NOT NULL)
+SELECT user_id, event_id, CASE WHEN opened.r IS NULL THEN 'repeated' WHEN back IS NULL THEN 'purged' ELSE 'restored' END AS outcome FROM e LEFT JOIN opened USING (user_id, r) LEFT JOIN after USING (user_id, r) WHERE gone""",
     "late_updates": "WITH g AS (SELECT user_id, min(ts) AS g FROM events WHERE event_type = 'error' GROUP BY ALL) SELECT event_id FROM events LEFT JOIN g USING (user_id) WHERE event_type = 'view' AND (g IS NULL OR ts < g)",
     "dedupe_requests": "SELECT event_id, user_id FROM events",
     "latency_percentiles": "SELECT event_type, count(value) AS n, round(median(value), 6) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL",

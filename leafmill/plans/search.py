@@ -272,6 +272,11 @@ distinct_words AS (SELECT doc_id, section, sentence, citation, unnest(list_disti
 overlap AS (SELECT query_id, n, doc_id, section, sentence, citation, count(*) AS matched FROM distinct_words JOIN asked USING (term) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, section, sentence, citation, CASE WHEN matched = n THEN 'exact' ELSE 'partial' END AS match, matched, CASE WHEN matched = n THEN CAST(100 + matched AS DOUBLE) ELSE round(20 + CAST(matched AS DOUBLE) / n, 6) END AS score FROM overlap),
 found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, section, sentence) AS rank FROM scored)"""
+def _single(x: str) -> str:
+    """x with letters outside ASCII that folding leaves as one byte each, since the SQL engine's edit distance counts bytes."""
+    return f"translate({x}, 'ñßæœøłđðþ', '#$%&*+<=>')"
+
+
 _FUZZY = f"""{PASSAGES}, {QUERIES_CTE},
 changed AS (SELECT DISTINCT term[1:2] || 'x' || substring(term, 4) AS term FROM asked WHERE length(term[1:2] || 'x' || substring(term, 4)) >= 4),
 known AS (SELECT DISTINCT candidate FROM (SELECT unnest({tokens('text')}) AS candidate FROM passages) WHERE NOT list_contains({STOP}, candidate)),
@@ -319,7 +324,7 @@ ORACLE_SQL = {
     "match_type_filter": f"WITH {_TIERS} SELECT query_id, rank, doc_id, section, sentence FROM best WHERE match_type = 'exact'",
     "answer_passages": f"WITH {_TIERS} SELECT query_id, CASE WHEN n > 0 THEN 'supported' ELSE 'no supporting passage found' END AS status, n AS n_passages FROM (SELECT query_id, CAST(sum(CAST(coverage >= 0.8 AND match_type = 'exact' AND rank <= 5 AS INTEGER)) AS BIGINT) AS n FROM best GROUP BY ALL)",
     "fuzzy_blocks": f"WITH {_FUZZY} SELECT term, count(*) AS n FROM blocks GROUP BY ALL",
-    "closest_terms": f"WITH {_FUZZY}, near AS (SELECT *, round(1 - CAST(levenshtein(term, candidate) AS DOUBLE) / greatest(length(term), length(candidate)), 6) AS similarity FROM blocks) SELECT term, candidate, similarity FROM near WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, candidate) = 1",
+    "closest_terms": f"WITH {_FUZZY}, near AS (SELECT *, round(1 - CAST(levenshtein({_single("term")}, {_single("candidate")}) AS DOUBLE) / greatest(length(term), length(candidate)), 6) AS similarity FROM blocks) SELECT term, candidate, similarity FROM near WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, candidate) = 1",
     "summaries": f"""WITH {_TOKENED}, base AS (SELECT *, {content('w')} AS terms FROM tokened), s AS (SELECT doc_id, section, count(*) AS s FROM base GROUP BY ALL),
       f AS (SELECT doc_id, section, sentence, term, count(*) AS f FROM (SELECT doc_id, section, sentence, unnest(terms) AS term FROM base) GROUP BY ALL),
       c AS (SELECT doc_id, section, term, count(*) AS c FROM f GROUP BY ALL),
