@@ -79,10 +79,13 @@ def of_match_type(hits: DataFrame, match_type: str) -> DataFrame:
 
 
 def find_substring(passages: DataFrame, wanted: str, key: str = "doc_id", most: int = 5_000) -> DataFrame:
-    """The first `most` passages, in reading order, that hold the wanted letters; at least two are asked for."""
+    """The first `most` passages of each document, in reading order, that hold the wanted letters; at least two are asked
+    for."""
     if len(wanted.strip()) < 2:
         return passages.limit(0)
-    return passages.filter(F.contains(fold_all(F.col("text")), fold_all(F.lit(wanted.strip())))).orderBy(key, "section", "sentence").limit(most)
+    found = passages.filter(F.contains(fold_all(F.col("text")), fold_all(F.lit(wanted.strip()))))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("section", "sentence"))
+    return found.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
 
 
 def shelf_filter(books: DataFrame, wanted: str, *columns: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +47,23 @@ def vocabulary(index: DataFrame, key: str = "doc_id") -> DataFrame:
     return index.select(key, "term").distinct()
 
 
+def hinted(queries: DataFrame, most: int = 100_000) -> Callable[[DataFrame], DataFrame]:
+    """What to do with tables made of queries, a few rows for each: broadcast them if a count finds at most so many queries,
+    else leave the join to the optimizer."""
+    return F.broadcast if queries.limit(most + 1).count() <= most else lambda rows: rows
+
+
 def bm25(passages: DataFrame, index: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, key, section, sentence, bm25) for passages with a term of a query (query_id, term).
 
     Statistics are those of each document; larger is better. Rare terms' weight has a small positive floor.
     """
+    hint = hinted(queries)
     n, df, length = F.col("n_passages"), F.col("df"), F.col("length")
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("column")], F.lit(1.0))
-    hits = index.join(F.broadcast(queries.select("query_id", "term").distinct()), "term")
+    hits = index.join(hint(queries.select("query_id", "term").distinct()), "term")
     tf = hits.groupBy("query_id", key, "section", "sentence", "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
-    asked = index.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
+    asked = index.join(hint(queries.select("term").distinct()), "term", "left_semi")
     idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / F.col("mean_length")))
     rows = tf.join(document_frequencies(asked, key), [key, "term"]).join(statistics(passages, key), key).join(lengths(passages, key), [key, "section", "sentence"])

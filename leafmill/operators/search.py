@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.stem import with_stems
 from leafmill.functions.text import content_terms, tokens
 from leafmill.operators.filters import all_terms, any_terms
-from leafmill.operators.index import bm25, closest_terms, fuzzy_blocks, postings
+from leafmill.operators.index import bm25, closest_terms, fuzzy_blocks, hinted, postings
 from leafmill.operators.passages import with_context
 
 #: Points of a tier.
@@ -21,18 +21,25 @@ TIERS = {"phrase": 40, "exact": 40, "stem": 30, "partial": 20, "fuzzy": 10}
 _PLACE = ["section", "sentence"]
 
 
-def as_queries(rows: DataFrame, key: str, text: str, words: int = 6, least: int = 2) -> DataFrame:
-    """(query_id, terms): distinct content terms of the first words of a text."""
-    found = content_terms(F.slice(tokens(F.col(text)), 1, words), least=least)
-    return rows.select(F.col(key).alias("query_id"), F.array_distinct(found).alias("terms")).filter(F.size("terms") > 0)
+def as_queries(rows: DataFrame, key: str, text: str, letters: int = 500, terms: int = 24, least: int = 2) -> DataFrame:
+    """(query_id, terms): the distinct content terms of a question. A question has at most so many letters and terms; what
+    is longer is not asked for."""
+    found = content_terms(tokens(F.substring(F.col(text), 1, letters)), least=least)
+    return rows.select(F.col(key).alias("query_id"), F.slice(F.array_distinct(found), 1, terms).alias("terms")).filter(F.size("terms") > 0)
+
+
+def embedded(passages: DataFrame, vectors: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
+    """passages with the vector that one model has made of each, by citation; passages without one are left out."""
+    made = vectors.filter(F.col("model") == model).select(key, "citation", "embedding")
+    return passages.join(made, [key, "citation"])
 
 
 def search_overlap(passages: DataFrame, queries: DataFrame, key: str = "doc_id", most: int = 100, least: int = 2) -> DataFrame:
     """(query_id, rank, key, section, sentence, citation, match, matched, score): passages by the terms that they share
     with a query. All of them: 100 and their number; else 20 and the share. Passages that have none are no hits."""
     words = passages.select(key, *_PLACE, "citation", F.explode(F.array_distinct(content_terms(tokens(F.col("text")), least=least))).alias("term"))
-    asked = queries.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    hits = words.join(F.broadcast(asked), "term").groupBy("query_id", "n", key, *_PLACE, "citation").agg(F.count(F.lit(1)).alias("matched"))
+    asked, hint = queries.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term")), hinted(queries)
+    hits = words.join(hint(asked), "term").groupBy("query_id", "n", key, *_PLACE, "citation").agg(F.count(F.lit(1)).alias("matched"))
     exact = F.col("matched") == F.col("n")
     score = F.when(exact, 100.0 + F.col("matched")).otherwise(F.round(20.0 + F.col("matched") / F.col("n"), 6))
     scored = hits.select("query_id", key, *_PLACE, "citation", F.when(exact, "exact").otherwise("partial").alias("match"), "matched", score.alias("score"))
@@ -53,7 +60,7 @@ def tier_candidates(passages: DataFrame, queries: DataFrame, key: str = "doc_id"
     operators has no hit at all, with each term of four letters or more changed into the closest one. Required terms and
     phrases must be there and excluded terms mustn't. The `cap` best of a tier by BM25 go on, for each query.
     """
-    asked = _with_defaults(queries).filter(F.size("terms") > 0)
+    asked, hint = _with_defaults(queries).filter(F.size("terms") > 0), hinted(queries)
     index = postings(passages, key)
     pairs = asked.select("query_id", F.explode(F.array_distinct(F.concat("terms", "required"))).alias("term"))
     starts = asked.select("query_id", F.explode("prefixes").alias("start"))
@@ -61,15 +68,15 @@ def tier_candidates(passages: DataFrame, queries: DataFrame, key: str = "doc_id"
         index_stems = with_stems(index.select("term").distinct(), language=language)
         pair_stems = with_stems(pairs, language=language).withColumnRenamed("term", "asked")
     places = index.select(key, *_PLACE, "term").distinct()
-    plain = places.join(F.broadcast(pairs), "term").select("query_id", key, *_PLACE, F.col("term").alias("asked"), F.lit(True).alias("surface"))
-    led = places.join(F.broadcast(starts), F.col("term").startswith(F.col("start"))).select("query_id", key, *_PLACE, F.col("start").alias("asked"), F.lit(True).alias("surface"))
+    plain = places.join(hint(pairs), "term").select("query_id", key, *_PLACE, F.col("term").alias("asked"), F.lit(True).alias("surface"))
+    led = places.join(hint(starts), (F.left("term", F.lit(1)) == F.left("start", F.lit(1))) & F.col("term").startswith(F.col("start"))).select("query_id", key, *_PLACE, F.col("start").alias("asked"), F.lit(True).alias("surface"))
     hits = plain.unionByName(led)
     if stems:
-        of_stem = places.join(index_stems, "term").join(F.broadcast(pair_stems), "stem").select("query_id", key, *_PLACE, "asked", F.lit(False).alias("surface"))
+        of_stem = places.join(index_stems, "term").join(hint(pair_stems), "stem").select("query_id", key, *_PLACE, "asked", F.lit(False).alias("surface"))
         hits = hits.unionByName(of_stem)
     best = hits.groupBy("query_id", key, *_PLACE).agg(F.collect_set(F.when(F.col("surface"), F.col("asked"))).alias("plain"), F.collect_set("asked").alias("any"))
     tokens_of = passages.select(key, *_PLACE, tokens(F.concat_ws(" ", "text", "title")).alias("tokens"))
-    rows = best.join(F.broadcast(asked), "query_id").join(tokens_of, [key, *_PLACE])
+    rows = best.join(hint(asked), "query_id").join(tokens_of, [key, *_PLACE])
     has_phrases = F.forall("phrases", lambda p: F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" "))))
     rows = rows.filter(~any_terms(F.col("tokens"), F.col("excluded")) & has_phrases & all_terms(F.col("any"), F.col("required")))
     all_plain = all_terms(F.col("plain"), F.col("terms")) & all_terms(F.col("plain"), F.col("required"))
@@ -93,7 +100,7 @@ def _fuzzy(asked: DataFrame, found: DataFrame, index: DataFrame, places: DataFra
     lost = plain.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     close = closest_terms(fuzzy_blocks(lost, index.select("term")), least=0.78)
     fixed = lost.join(close, "term").select("query_id", "n", F.col("term").alias("asked"), F.col("candidate").alias("term"))
-    hits = places.join(F.broadcast(fixed), "term").groupBy("query_id", "n", key, *_PLACE).agg(F.collect_set("asked").alias("matched"))
+    hits = places.join(fixed, "term").groupBy("query_id", "n", key, *_PLACE).agg(F.collect_set("asked").alias("matched"))
     return hits.filter(F.size("matched") == F.col("n")).select("query_id", key, *_PLACE, F.lit("fuzzy").alias("match_type"), F.lit(TIERS["fuzzy"]).alias("tier"), "matched", "n", F.lit(0).alias("n_phrases"))
 
 

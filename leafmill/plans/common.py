@@ -105,5 +105,6 @@ PASSAGES = f"""{LINES},
 passages AS (SELECT doc_id, line_no AS section, sentence, printf('%04d-%05d', line_no, sentence) AS citation, text, array_to_string(string_split(line, ' ')[1:4], ' ') AS title, 'line:' || line_no AS source FROM sentences JOIN lines USING (doc_id, line_no))"""
 
 QUERIES_CTE = f"""queries AS (SELECT query_id, terms, len(terms) AS n FROM (
-  SELECT item_id AS query_id, list_distinct({content(tokens("text") + "[1:6]", 2)}) AS terms FROM benchmark) WHERE len(terms) > 0),
+  SELECT query_id, list_filter(t, lambda w, i: list_position(t, w) = i)[1:24] AS terms FROM (
+    SELECT item_id AS query_id, {content(tokens("substring(text, 1, 500)"), 2)} AS t FROM benchmark)) WHERE len(terms) > 0),
 asked AS (SELECT query_id, n, unnest(terms) AS term FROM queries)"""

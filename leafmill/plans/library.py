@@ -85,9 +85,9 @@ def edit_sentences(spark, d):
 
 
 def library_sort(spark, d):
-    """The hundred books opened last, of customers as authors and orders as books."""
+    """All books by when they were opened last, of customers as authors and orders as books."""
     books = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Book "), F.col("o_custkey")).alias("title"), F.col("o_orderstatus").alias("author"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).cast("timestamp").alias("last_opened"), F.col("o_orderdate").cast("timestamp").alias("created"), F.col("o_totalprice").alias("progress"))
-    return library.shelf_order(books, "opened").limit(100).select("doc_id", "title")
+    return library.shelf_order(books, "opened").select("doc_id", "title")
 
 
 def shelf_filter(spark, d):
@@ -216,7 +216,7 @@ def cast_voices(spark, d):
 
 
 def clean_names(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", text_clean_name(F.concat(F.lit("— "), F.substring("text", 1, 30))).alias("name"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text_clean_name(F.concat(F.lit("— "), F.col("text"))).alias("name"))
 
 
 # ---- series of events
@@ -321,7 +321,7 @@ ORACLE_SQL = {
     "split_remap": f"WITH {PASSAGES}, s AS (SELECT doc_id, max(sentence) AS m FROM passages WHERE section = 2 GROUP BY ALL), r AS (SELECT p.doc_id, text, section + CASE WHEN m >= 1 AND (section > 2 OR section = 2 AND sentence >= 1) THEN 1 ELSE 0 END AS ns, sentence - CASE WHEN m >= 1 AND section = 2 AND sentence >= 1 THEN 1 ELSE 0 END AS nt FROM passages p LEFT JOIN s USING (doc_id)) SELECT doc_id, ns AS section, nt AS sentence, printf('%04d-%05d', ns, nt) AS citation, text FROM r",
     "merge_remap": f"WITH {PASSAGES}, s AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS m FROM passages WHERE section = 0 GROUP BY ALL), r AS (SELECT doc_id, text, CASE WHEN section > 0 THEN section - 1 ELSE 0 END AS ns, sentence + CASE WHEN section = 1 THEN m ELSE 0 END AS nt FROM passages JOIN s USING (doc_id)) SELECT doc_id, ns AS section, nt AS sentence, printf('%04d-%05d', ns, nt) AS citation, text FROM r",
     "edit_sentences": f"WITH {PASSAGES}, r AS (SELECT doc_id, section, sentence + CASE WHEN section = 0 THEN 1 ELSE 0 END AS sentence, sentence AS old_sentence, text, section = 0 AND sentence = 0 AS changed FROM passages) SELECT * FROM r UNION ALL SELECT doc_id, section, 0, 0, 'new', true FROM passages WHERE section = 0 AND sentence = 0",
-    "library_sort": "SELECT o_orderkey AS doc_id, 'Book ' || o_custkey AS title FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
+    "library_sort": "SELECT o_orderkey AS doc_id, 'Book ' || o_custkey AS title FROM orders ORDER BY o_orderdate DESC, o_orderkey",
     "shelf_filter": "SELECT c_custkey, c_mktsegment FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build')",
     "continue_reading": "SELECT user_id, event_id FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "latest_position": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
@@ -346,7 +346,7 @@ ORACLE_SQL = {
     "owner_rows": "SELECT event_id, event_type FROM events WHERE user_id = 8 AND event_type <> 'error'",
     "toggled_marks": "SELECT user_id, value, count(*) AS toggles FROM events WHERE event_type = 'click' GROUP BY ALL HAVING count(*) % 2 = 1",
     "cast_voices": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'alto' WHEN 'system' THEN 'bass' ELSE 'default' END AS voice FROM conversations",
-    "clean_names": "SELECT conv_id, turn, CASE WHEN n <> '' AND n NOT IN ('The', 'This', 'That', 'He', 'She', 'They', 'El', 'Ella', 'Él', 'Los', 'La', 'It', 'I', 'We', 'You') THEN n END AS name FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace('— ' || text[1:30], '^[ \\t\\n—–\"“«]+', ''), '[ \\t\\n”».,:;!?\"]+$', '')) AS n FROM conversations)",
+    "clean_names": "SELECT conv_id, turn, CASE WHEN n <> '' AND length(n) <= 50 AND n NOT IN ('The', 'This', 'That', 'He', 'She', 'They', 'El', 'Ella', 'Él', 'Los', 'La', 'It', 'I', 'We', 'You') THEN n END AS name FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace('— ' || text, '^[ \\t\\n—–\"“«]+', ''), '[ \\t\\n”».,:;!?\"]+$', '')) AS n FROM conversations)",
     "signal_stats": "SELECT user_id, count(value) AS n, round(sqrt(sum((value - 25) * (value - 25)) / count(value)), 6) AS rms, max(abs(value - 25)) AS peak FROM events GROUP BY ALL",
     "active_bounds": "SELECT user_id, coalesce(greatest(min(event_id), min(CASE WHEN value > 60 THEN event_id END) - 100), min(event_id)) AS first, coalesce(least(max(event_id), max(CASE WHEN value > 60 THEN event_id END) + 100), max(event_id)) AS last FROM events GROUP BY ALL",
     "rolling_eta": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM events",

@@ -189,16 +189,21 @@ def pooled_vectors(spark, d):
 
 
 def rrf_fusion(spark, d):
-    """The ranks by likeness to vector 0 and to vector 1, fused."""
+    """For each query, a vector whose id 50 divides: the ranks by likeness to it and to the next vector, fused."""
     rows = table(spark, d, "embeddings")
-    lists = [ov.cosine_topk(rows, rows.filter(F.col("vec_id") == i).select(F.lit(0).alias("query_id"), "embedding"), least=-1.0) for i in (0, 1)]
-    return search.fuse(*lists, ["query_id", "vec_id"]).select("vec_id", "rank_a", "rank_b", F.round("rrf", 6).alias("rrf"))
+    lists = [ov.cosine_topk(rows, rows.filter(F.col("vec_id") % 50 == i).select((F.col("vec_id") - i).alias("query_id"), "embedding"), least=-1.0) for i in (0, 1)]
+    return search.fuse(*lists, ["query_id", "vec_id"]).select("query_id", "vec_id", "rank_a", "rank_b", F.round("rrf", 6).alias("rrf"))
 
 
 def hybrid_ranks(spark, d):
-    """Lexical ranks against those by length of passages that hold a term, standing for the vectors' ranks."""
+    """Lexical ranks fused with those by vectors. The vector table's ids are taken as documents, whose first sentences the
+    vectors stand for, its labels as models, and the vector of an item's id as the question's."""
     lexical = search.search_overlap(passages(spark, d), benchmark_queries(spark, d), most=20).select("query_id", *_HIT, "rank")
-    semantic = lexical.withColumn("rank", 21 - F.col("rank")).filter(F.col("rank") % 2 == 0)
+    rows = table(spark, d, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("doc_id"), F.lit("0000-00000").alias("citation"), F.concat(F.lit("m"), F.col("label") % 2).alias("model"), "embedding")
+    known = search.embedded(passages(spark, d), vectors, "m0").select(*_HIT, "embedding")
+    asked = rows.join(table(spark, d, "benchmark"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "embedding")
+    semantic = ov.cosine_topk(known, asked, key="doc_id", least=-1.0).join(known.select(*_HIT), "doc_id").select("query_id", *_HIT, "rank")
     return search.hybrid_search(lexical, semantic).select("query_id", "rank", *_HIT, "source")
 
 
@@ -234,7 +239,7 @@ def _scored_queries(spark, d):
     hits = search.search_overlap(rows, queries, most=10).withColumns({"context_start": F.col("sentence") - 1, "context_end": F.col("sentence") + 1})
     first = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text_tokens(F.col("text")), 1, 3), " ").alias("phrase"))
     shingles = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - 2), lambda i: F.array_join(F.slice("tokens", i, 3), " "))))
-    gold = rows.withColumn("tokens", text_tokens(F.col("text"))).filter(F.size("tokens") >= 3).select(*_HIT, shingles.alias("phrase")).join(F.broadcast(first), "phrase").select("query_id", *_HIT).distinct()
+    gold = rows.withColumn("tokens", text_tokens(F.col("text"))).filter(F.size("tokens") >= 3).select(*_HIT, shingles.alias("phrase")).join(first, "phrase").select("query_id", *_HIT).distinct()
     relevant = evaluate.relevance(hits, gold)
     return evaluate.query_scores(queries.select("query_id", F.when(F.size("terms") > 4, "long").otherwise("short").alias("category")), relevant, gold, hits)
 
@@ -301,7 +306,7 @@ per_query AS (SELECT q.query_id, CASE WHEN q.n > 4 THEN 'long' ELSE 'short' END
 _RECALL = lambda k: f"round(avg(CASE WHEN answerable THEN CAST(coalesce(first_rank <= {k}, false) AS INTEGER) END), 5)"
 _MRR = "round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 5)"
 _COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-_TO = lambda i, name: f"{name} AS (SELECT b.vec_id, row_number() OVER (ORDER BY round({_COSINE}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id = {i} QUALIFY rank <= 20)"
+_TO = lambda i, name: f"{name} AS (SELECT a.vec_id - {i} AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COSINE}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = {i} QUALIFY rank <= 20)"
 
 ORACLE_SQL = {
     "postings": f'WITH {_WORDS} SELECT * FROM postings',
@@ -317,7 +322,7 @@ ORACLE_SQL = {
     "prefix_search": f"WITH {_TOKENED} SELECT doc_id, citation FROM tokened WHERE len(list_filter(w, lambda x: starts_with(x, 'thst'))) > 0",
     "near_search": f"WITH {_TOKENED}, places AS (SELECT doc_id, section, sentence, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM tokened) SELECT DISTINCT doc_id, section, sentence FROM places a JOIN places b USING (doc_id, section, sentence) WHERE a.term = 'thing' AND b.term = 'with' AND abs(a.p - b.p) - 1 <= 8",
     "scoped_passages": f"WITH {PASSAGES} SELECT doc_id, citation FROM passages WHERE section = 1",
-    "find_substring": f"WITH {PASSAGES} SELECT doc_id, citation FROM passages WHERE contains(strip_accents(lower(text)), 'nasta') ORDER BY doc_id, section, sentence LIMIT 5000",
+    "find_substring": f"WITH {PASSAGES} SELECT doc_id, citation FROM passages WHERE contains(strip_accents(lower(text)), 'nasta') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY section, sentence) <= 5000",
     "search_overlap": f"WITH {_OVERLAP} SELECT query_id, rank, doc_id, section, sentence, citation, match, matched, score FROM found WHERE rank <= 100",
     "tier_union": f"WITH {_TIERS} SELECT query_id, match_type, tier, count(*) AS n, CAST(sum(m) AS BIGINT) AS n_matched FROM capped GROUP BY ALL",
     "ranked_tiers": f"WITH {_TIERS} SELECT query_id, rank, doc_id, section, sentence, match_type, coverage, score FROM best",
@@ -349,8 +354,9 @@ ORACLE_SQL = {
     "cosine_topk": f"SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_COSINE}, 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COSINE}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND {_COSINE} >= 0.2 QUALIFY rank <= 20",
     "normalized_vectors": "SELECT vec_id, round(n, 5) AS norm, CAST(1 AS DOUBLE) AS unit_norm, round(CAST(embedding[1] AS DOUBLE) / n, 5) AS first FROM (SELECT vec_id, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)",
     "pooled_vectors": "SELECT label, vec_id % 16 AS part, round(avg(CASE WHEN vec_id % 3 > 0 THEN CAST(embedding[1] AS DOUBLE) END), 5) AS first, round(avg(CASE WHEN vec_id % 3 > 0 THEN CAST(embedding[64] AS DOUBLE) END), 5) AS last FROM embeddings GROUP BY ALL",
-    "rrf_fusion": f"WITH {_TO(0, 'a')}, {_TO(1, 'b')} SELECT vec_id, a.rank AS rank_a, b.rank AS rank_b, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 6) AS rrf FROM a FULL JOIN b USING (vec_id)",
-    "hybrid_ranks": f"""WITH {_OVERLAP}, a AS (SELECT * FROM found WHERE rank <= 20), b AS (SELECT query_id, doc_id, section, sentence, 21 - rank AS rank FROM a WHERE (21 - rank) % 2 = 0),
+    "rrf_fusion": f"WITH {_TO(0, 'a')}, {_TO(1, 'b')} SELECT query_id, vec_id, a.rank AS rank_a, b.rank AS rank_b, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 6) AS rrf FROM a FULL JOIN b USING (query_id, vec_id)",
+    "hybrid_ranks": f"""WITH {_OVERLAP}, a AS (SELECT * FROM found WHERE rank <= 20), known AS (SELECT doc_id, section, sentence, embedding FROM passages JOIN embeddings ON doc_id = vec_id AND citation = '0000-00000' AND label % 2 = 0),
+      b AS (SELECT a.vec_id AS query_id, b.doc_id, b.section, b.sentence, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COSINE}, 6) DESC, b.doc_id) AS rank FROM embeddings a JOIN benchmark ON item_id = a.vec_id, known b QUALIFY rank <= 20),
       f AS (SELECT query_id, doc_id, section, sentence, a.rank AS x, b.rank AS y, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS rrf FROM a FULL JOIN b USING (query_id, doc_id, section, sentence))
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id, section, sentence) AS rank, doc_id, section, sentence, CASE WHEN y IS NULL THEN 'lexical' WHEN x IS NULL THEN 'semantic' ELSE 'both' END AS source FROM f QUALIFY rank <= 8""",
     "confusion": f"WITH {_JUDGED} SELECT gold, predicted, count(*) AS n FROM judged GROUP BY ALL",
