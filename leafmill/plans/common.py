@@ -15,12 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores, where their files give fewer partitions than that; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_lines(table(spark, sf_dir, "documents"))
+    return page_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages_of(table(spark, sf_dir, "documents"))
+    return passages_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
