@@ -241,15 +241,15 @@ def _scored_queries(spark, d):
     shingles = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - 2), lambda i: F.array_join(F.slice("tokens", i, 3), " "))))
     gold = rows.withColumn("tokens", text_tokens(F.col("text"))).filter(F.size("tokens") >= 3).select(*_HIT, shingles.alias("phrase")).join(first, "phrase").select("query_id", *_HIT).distinct()
     relevant = evaluate.relevance(hits, gold)
-    return evaluate.query_scores(queries.select("query_id", F.when(F.size("terms") > 4, "long").otherwise("short").alias("category")), relevant, gold, hits)
+    return evaluate.query_scores(queries.select("query_id", F.when(F.size("terms") > 20, "long").otherwise("short").alias("category")), relevant, gold, hits)
 
 
 def retrieval_metrics(spark, d):
-    return evaluate.retrieval_metrics(_scored_queries(spark, d)).select("n", *[F.round(c, 5).alias(c) for c in ("recall_1", "recall_5", "recall_10", "mrr", "ndcg_10", "abstain_precision", "abstain_recall")])
+    return evaluate.retrieval_metrics(_scored_queries(spark, d)).select("n", "recall_1", "recall_5", "recall_10", "mrr", "ndcg_10", "abstain_precision", "abstain_recall")
 
 
 def metrics_by_category(spark, d):
-    return evaluate.retrieval_metrics(_scored_queries(spark, d), "category").select("category", "n", *[F.round(c, 5).alias(c) for c in ("recall_5", "mrr")])
+    return evaluate.retrieval_metrics(_scored_queries(spark, d), "category").select("category", "n", "recall_5", "mrr")
 
 
 QUERIES = {f.__name__: f for f in (postings, index_stats, document_frequencies, vocabulary, bm25, all_terms_filter, any_terms_filter, excluded_terms, phrase_search, prefix_search, near_search, scoped_passages, find_substring, search_overlap, tier_union, ranked_tiers, match_type_filter, search_tiered, greedy_diversity, answer_passages, fuzzy_blocks, closest_terms, summaries, entities, keywords, quotes, repetitions, corpus_repetitions, speakers, character_counts, distinct_terms, cosine_topk, normalized_vectors, pooled_vectors, rrf_fusion, hybrid_ranks, confusion, class_scores, overall_scores, calibration, retrieval_metrics, metrics_by_category)}
@@ -301,10 +301,10 @@ relevant AS (SELECT DISTINCT t.query_id, rank FROM top10 t JOIN gold g ON t.quer
 firsts AS (SELECT query_id, min(rank) AS first_rank, sum(1 / log2(rank + 1)) AS dcg FROM relevant GROUP BY ALL),
 labelled AS (SELECT query_id, least(count(*), 10) AS k FROM gold GROUP BY ALL),
 ideal AS (SELECT query_id, sum(1 / log2(i + 1)) AS ideal FROM (SELECT query_id, unnest(range(1, k + 1)) AS i FROM labelled) GROUP BY ALL),
-per_query AS (SELECT q.query_id, CASE WHEN q.n > 4 THEN 'long' ELSE 'short' END AS category, l.k IS NOT NULL AS answerable, t.query_id IS NULL AS abstained, first_rank, CASE WHEN l.k IS NOT NULL THEN least(1.0::DOUBLE, coalesce(dcg, 0) / ideal) END AS ndcg
+per_query AS (SELECT q.query_id, CASE WHEN q.n > 20 THEN 'long' ELSE 'short' END AS category, l.k IS NOT NULL AS answerable, t.query_id IS NULL AS abstained, first_rank, CASE WHEN l.k IS NOT NULL THEN least(1.0::DOUBLE, coalesce(dcg, 0) / ideal) END AS ndcg
   FROM queries q LEFT JOIN labelled l USING (query_id) LEFT JOIN ideal USING (query_id) LEFT JOIN firsts USING (query_id) LEFT JOIN (SELECT DISTINCT query_id FROM top10) t USING (query_id))"""
-_RECALL = lambda k: f"round(avg(CASE WHEN answerable THEN CAST(coalesce(first_rank <= {k}, false) AS INTEGER) END), 5)"
-_MRR = "round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 5)"
+_RECALL = lambda k: f"round(avg(CASE WHEN answerable THEN CAST(coalesce(first_rank <= {k}, false) AS INTEGER) END), 6)"
+_MRR = "round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 6)"
 _COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 _TO = lambda i, name: f"{name} AS (SELECT a.vec_id - {i} AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COSINE}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = {i} QUALIFY rank <= 20)"
 
@@ -363,6 +363,6 @@ ORACLE_SQL = {
     "class_scores": f"WITH {_CLASSES} SELECT * FROM classes",
     "overall_scores": f"WITH {_CLASSES} SELECT (SELECT round(avg(CAST(gold = predicted AS INTEGER)), 6) FROM judged) AS accuracy, (SELECT count(*) FROM judged) AS n, (SELECT round(avg(f1), 6) FROM classes) AS macro_f1",
     "calibration": f"WITH {_JUDGED} SELECT level, count(*) AS n, round(avg(CAST(gold = predicted AS INTEGER)), 6) AS accuracy FROM judged GROUP BY ALL",
-    "retrieval_metrics": f"WITH {_SCORED} SELECT count(*) AS n, {_RECALL(1)} AS recall_1, {_RECALL(5)} AS recall_5, {_RECALL(10)} AS recall_10, {_MRR} AS mrr, round(avg(ndcg), 5) AS ndcg_10, CAST(CASE WHEN sum(CAST(abstained AS INTEGER)) > 0 THEN round(sum(CAST(abstained AND NOT answerable AS INTEGER)) * 1.0::DOUBLE / sum(CAST(abstained AS INTEGER)), 5) ELSE 0 END AS DOUBLE) AS abstain_precision, CAST(CASE WHEN sum(CAST(NOT answerable AS INTEGER)) > 0 THEN round(sum(CAST(abstained AND NOT answerable AS INTEGER)) * 1.0::DOUBLE / sum(CAST(NOT answerable AS INTEGER)), 5) ELSE 0 END AS DOUBLE) AS abstain_recall FROM per_query",
+    "retrieval_metrics": f"WITH {_SCORED} SELECT count(*) AS n, {_RECALL(1)} AS recall_1, {_RECALL(5)} AS recall_5, {_RECALL(10)} AS recall_10, {_MRR} AS mrr, round(avg(ndcg), 6) AS ndcg_10, CAST(CASE WHEN sum(CAST(abstained AS INTEGER)) > 0 THEN round(sum(CAST(abstained AND NOT answerable AS INTEGER)) * 1.0::DOUBLE / sum(CAST(abstained AS INTEGER)), 6) ELSE 0 END AS DOUBLE) AS abstain_precision, CAST(CASE WHEN sum(CAST(NOT answerable AS INTEGER)) > 0 THEN round(sum(CAST(abstained AND NOT answerable AS INTEGER)) * 1.0::DOUBLE / sum(CAST(NOT answerable AS INTEGER)), 6) ELSE 0 END AS DOUBLE) AS abstain_recall FROM per_query",
     "metrics_by_category": f"WITH {_SCORED} SELECT category, count(*) AS n, {_RECALL(5)} AS recall_5, {_MRR} AS mrr FROM per_query GROUP BY ALL",
 }
