@@ -136,12 +136,13 @@ def joined(many: DataFrame, one: DataFrame, key: str, spread: str, total: int, m
 
     one has a row for each key; members, if given, is its column that counts the rows of many. Of total rows at most
     100,000 keys can have more than the 100,000th part of them: that bounds the list of large keys, which is broadcast.
+    The largest key is listed in any case, so the plan is the same whether or not a key is large.
     """
     at_least = max(_PART, -(-total // 100_000))
     counts = one.select(key, F.col(members).alias("_n")) if members else many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.filter(F.col("_n") > at_least).select(key, parts(F.col("_n")).alias("_parts"))
-    none = many.sparkSession.range(1).select(F.lit(None).cast(many.schema[key].dataType).alias(key), F.lit(1).alias("_parts"))
-    large = F.broadcast(large.unionByName(none))  # a null key meets nothing; with it the plan is one where no key is large
+    most = counts.agg(F.max_by(F.struct(F.col(key).alias("key"), "_n"), "_n").alias("_m")).filter(F.col("_m._n") <= at_least)
+    large = counts.filter(F.col("_n") > at_least).unionByName(most.select(F.col("_m.key").alias(key), F.col("_m._n").alias("_n")))
+    large = F.broadcast(large.select(key, parts(F.col("_n")).alias("_parts")))
     copies = one.join(large, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     placed = many.join(large, key, "left").withColumn("_part", _dealt(F.col(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
