@@ -1,9 +1,10 @@
 """LM scoring with Brown's class-based bigrams, learned over all training texts.
 
 Every word has one class. The chance of a word is that of its class after the class before, times that of the word in
-its class; exchange clustering moves each word to the class that makes the training texts most likely. All words move
-at once, given the class bigrams of the round before, so a round is one exchange between blocks of documents and shards
-of words: blocks send what stands left and right of each word, by class, and shards answer with the new classes.
+its class; exchange clustering moves each word to the class that makes the training texts most likely. Words move at once,
+given the class bigrams of the round before, so a round is one exchange between blocks of documents and shards of
+words: blocks send what stands left and right of each word, by class, and shards answer with the new classes. Moves made
+at once can spoil one another, so the likelihood of each round's classes is worked out, and the most likely ones are used.
 The class bigrams, whose number is fixed, go to every shard. All of it is one plan, so the texts are shuffled once
 and nothing passes through the driver but the size of the corpus.
 """
@@ -23,8 +24,9 @@ from leafmill.llm.words import find_words, mix, slices
 
 _WORD = "shard int, block int, words binary, values binary"
 _ANSWER = "block int, shard int, bits binary"
-#: Kinds of what a block is told.
+#: Kinds of what a block is told; classes and class bigrams of round r have _ROUND * r added.
 _COUNTS, _CLASSES, _FACTS, _GRID = range(4)
+_ROUND = 4
 
 
 class _Block:
@@ -82,6 +84,13 @@ def _first_classes(words: np.ndarray, top: np.ndarray, classes: int) -> np.ndarr
     return out
 
 
+def likelihood(grid: np.ndarray) -> float:
+    """Log-likelihood of the training texts under the class bigrams of grid (from row to column), but for the sum of
+    n * log n over all words, which doesn't hang on their classes."""
+    part = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return part(grid) - part(grid.sum(axis=0)) - part(grid.sum(axis=1))
+
+
 def _small(x: np.ndarray) -> bytes:
     """Whole numbers in as few bytes each as the largest needs."""
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(x) or int(x.max()) <= np.iinfo(k).max)
@@ -164,15 +173,19 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     known_everywhere = side(everywhere(facts, blocks, "block"), _FACTS)
 
     def over_blocks(run: Callable[[_Block, int, np.ndarray, dict], pa.Table], columns: str, *sides: DataFrame) -> DataFrame:
-        """run on each block that has documents, with the classes of its words and all that sides have for it."""
+        """run on each block that has documents, with all that sides have for it and the classes of its words: those of
+        the most likely round, if the class bigrams of rounds are among it, else those of the last round."""
 
         def both(t: pa.Table, told: pa.Table) -> pa.Table:
             if not t.num_rows:
                 return _rows(columns, [], t.schema.field("key").type)
             b = _Block(t, shard_bits)
-            of = {k: _side(told.filter(pc.equal(told["kind"], k))) for k in (_COUNTS, _CLASSES, _FACTS, _GRID)}
+            of = {k: _side(told.filter(pc.equal(told["kind"], k))) for k in told["kind"].unique().to_pylist()}
+            grids = {k // _ROUND: np.frombuffer(of[k][0], np.float64).reshape(end + 1, end + 1) for k in sorted(of) if k % _ROUND == _GRID}
+            step = max(grids, key=lambda r: likelihood(grids[r])) if grids else max(k // _ROUND for k in of)
+            of[_GRID] = grids.get(step)
             top = np.frombuffer(of[_FACTS][0], np.uint64, offset=32)
-            own = b.gathered(of[_CLASSES], "u1") if of[_CLASSES] else _first_classes(b.words, top, classes)
+            own = b.gathered(of.get(_ROUND * step + _CLASSES, {}), "u1") if step else _first_classes(b.words, top, classes)
             return run(b, t["block"][0].as_py(), own, of)
 
         told = known_everywhere
@@ -222,16 +235,18 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         return _summed(over_blocks(pairs, "block int, counts binary", *sides), end + 1)
 
     sides: list[DataFrame] = []
-    for _ in range(rounds):
-        grid = everywhere(grid_of(*sides), 1 << shard_bits, "shard")
-        moved = over_blocks(contexts, _WORD, *sides).groupBy("shard").cogroup(grid.groupBy("shard")).applyInArrow(exchange, _ANSWER)
-        sides = [side(moved, _CLASSES)]
+    grids = [grid_of()]
+    for step in range(rounds):
+        grid = everywhere(grids[-1], 1 << shard_bits, "shard")
+        moved = over_blocks(contexts, _WORD, *sides[-1:]).groupBy("shard").cogroup(grid.groupBy("shard")).applyInArrow(exchange, _ANSWER)
+        sides.append(side(moved, _ROUND * (step + 1) + _CLASSES))
+        grids.append(grid_of(sides[-1]))
 
     def result(b: _Block, _: int, own: np.ndarray, of: dict) -> pa.Table:
         tokens, known, once, trained = np.frombuffer(of[_FACTS][0], np.int64, 4).tolist()
         unseen = (once + 1) / (tokens + 1)
         n = b.gathered(of[_COUNTS], "<i8")
-        grid = np.frombuffer(of[_GRID][0], np.float64).reshape(end + 1, end + 1)
+        grid = of[_GRID]
         used = (grid.sum(axis=0) > 0).astype(float)
         chance = (grid + 0.5 * used) / np.maximum(1e-9, grid.sum(axis=1, keepdims=True) + 0.5 * used.sum())
         size = np.maximum(1, grid.sum(axis=0))
@@ -250,8 +265,8 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         return pa.table({"key": b.keys, "held_out": pa.array(b.held_out), "n_tokens": pa.array(b.counts + 1), "n_known": pa.array(per(c > 0).astype(np.int64) + bool(trained)), "train_tokens": pa.array(np.full(len(total), tokens, np.int64)), "base_score": pa.array(per(base) + end_base), "score": pa.array(total), "perplexity": pa.array(10.0 ** np.minimum(300, -total / (b.counts + 1)))})
 
     columns = f"key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    last = everywhere(grid_of(*sides), blocks, "block")
-    return over_blocks(result, columns, side(counted.filter("block >= 0"), _COUNTS), side(last, _GRID), *sides).withColumnRenamed("key", key)
+    told = [side(everywhere(grid, blocks, "block"), _ROUND * step + _GRID) for step, grid in enumerate(grids)]
+    return over_blocks(result, columns, side(counted.filter("block >= 0"), _COUNTS), *told, *sides).withColumnRenamed("key", key)
 
 
 def _summed(parts: DataFrame, n: int) -> DataFrame:
