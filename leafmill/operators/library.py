@@ -63,10 +63,20 @@ def progress_percent(sizes: DataFrame, positions: DataFrame, key: str = "doc_id"
     return positions.select(key).join(sums, key, "left").select(key, F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(percent, F.lit(0)))).cast("int").alias("percent"))
 
 
-def timeline(rows: DataFrame, key: list[str], order: list[str], length: Column) -> DataFrame:
-    """rows with start and end: sums of the lengths before a row, and with it."""
-    upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("end", F.sum(length).over(upto)).withColumn("start", F.col("end") - length)
+def timeline(rows: DataFrame, key: list[str], order: list[str], length: Column, block: Column) -> DataFrame:
+    """rows with start and end: sums of the lengths before a row, and with it.
+
+    block must not fall as the order rises. Its sums are added up first, one row for each block of a key, so that a task
+    that goes through rows has those of one block, and not all of a large key.
+    """
+    upto = Window.partitionBy(*key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.withColumn("_block", block)
+    sums = held.groupBy(*key, "_block").agg(F.sum(length).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*key, "_block")]
+    inside = held.withColumn("_inside", F.sum(length).over(upto))
+    placed = inside.alias("r").join(sums.drop("_sum").alias("s"), same).select("r.*", "_before")
+    return placed.withColumn("end", F.col("_before") + F.col("_inside")).withColumn("start", F.col("end") - length).drop("_block", "_before", "_inside")
 
 
 def readiness(items: DataFrame, ready: Column, *group: str) -> DataFrame:

@@ -29,9 +29,9 @@ def strip_margins(lines: DataFrame, book: str = "source", page: str = "doc_id",
     that end a page, in books of three pages or more."""
     edges = edge_lines(lines, book, page, normal)
     held = repeated_margins(lines, book, page, share, least, normal)
-    hits = edges.join(held, [book, "edge", "margin"], "left_semi")
-    first = F.row_number().over(Window.partitionBy(book, "edge", "margin").orderBy(page))
-    gone = hits.withColumn("_first", first).filter((F.col("edge") == "bottom") | (F.col("_first") > 1)).select(book, page, "line_no", F.lit(True).alias("_gone")).distinct()
+    first = edges.groupBy(book, "edge", "margin").agg(F.min(page).alias("_first"))
+    hits = edges.join(held.join(first, [book, "edge", "margin"]), [book, "edge", "margin"])
+    gone = hits.filter((F.col("edge") == "bottom") | (F.col(page) > F.col("_first"))).select(book, page, "line_no", F.lit(True).alias("_gone")).distinct()
     pages = lines.groupBy(book).agg(F.countDistinct(page).alias("_pages"))
     last = Window.partitionBy(book, page)
     flagged = lines.join(gone, [book, page, "line_no"], "left").join(pages, book).withColumns({"_last": F.max("line_no").over(last), "_n": F.count(F.lit(1)).over(last)})

@@ -143,7 +143,7 @@ def rotated_order(spark, d):
 
 
 def timeline_offsets(spark, d):
-    return library.timeline(table(spark, d, "documents"), ["source"], ["doc_id"], F.col("n_chars")).select("doc_id", "start", "end")
+    return library.timeline(table(spark, d, "documents"), ["source"], ["doc_id"], F.col("n_chars"), F.floor(F.col("doc_id") / 4096)).select("doc_id", "start", "end")
 
 
 def median_height(spark, d):

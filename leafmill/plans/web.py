@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,9 +70,10 @@ def typographic_headings(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-")
+    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="leafmill-")
     return f"{folder}/stream-{uuid.uuid4().hex}"
 
 
@@ -88,37 +90,37 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
 def incremental_index(spark, d):
     """The index that a stream of the documents leaves behind."""
     at = _scratch(spark)
-    table_ = jobs.VersionedTable(spark, f"{at}/index", jobs.INDEX)
+    table_ = jobs.BatchLog(spark, f"{at}/index", jobs.INDEX)
     jobs.drain(_stream(spark, d, "documents").select("doc_id", "text", "lang").writeStream.foreachBatch(jobs.update_index(table_)), f"{at}/checkpoint")
-    return table_.read().select("doc_id", "section", "sentence", "citation", "text")
+    return jobs.current_index(table_).select("doc_id", "section", "sentence", "citation", "text")
 
 
 def position_upserts(spark, d):
     at = _scratch(spark)
-    table_ = jobs.VersionedTable(spark, f"{at}/positions", "user_id long, event_type string, ts timestamp, event_id long, value double")
+    table_ = jobs.BatchLog(spark, f"{at}/positions", "user_id long, event_type string, ts timestamp, event_id long, value double")
     jobs.drain(_timed(spark, d).drop("props", "micros").writeStream.foreachBatch(jobs.upsert_latest(table_, ["user_id", "event_type"], ["ts", "event_id"])), f"{at}/checkpoint")
-    return table_.read().select("user_id", "event_type", "event_id", "value")
+    return jobs.latest(table_.read().drop("v"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
 def resumable_embedding(spark, d):
     """Vectors of all documents, of which those of the first half were there before."""
     at = _scratch(spark)
     schema = "doc_id long, hash string, model string, embedding array<float>"
-    table_ = jobs.VersionedTable(spark, f"{at}/vectors", schema)
+    table_ = jobs.BatchLog(spark, f"{at}/vectors", schema)
     docs = table(spark, d, "documents").select("doc_id", "text")
     step = jobs.add_vectors(table_, lambda rows: embed_by_hashing(rows, "doc_id"), ["doc_id", "hash", "model"])
     step(docs.filter("doc_id % 2 = 0"), 0)
     jobs.drain(_stream(spark, d, "documents").select("doc_id", "text").writeStream.foreachBatch(lambda rows, i: step(rows, i + 1)), f"{at}/checkpoint")
-    return table_.read().select("doc_id", "hash", F.size("embedding").alias("dim"))
+    return jobs.of_last_batch(table_.read(), "doc_id").select("doc_id", "hash", F.size("embedding").alias("dim"))
 
 
 def ingest_queue(spark, d):
     """Each row once, however many batches the files come in, and deleted users' rows not at all."""
     at = _scratch(spark)
-    table_ = jobs.VersionedTable(spark, f"{at}/rows", "event_id long, user_id long")
+    table_ = jobs.BatchLog(spark, f"{at}/rows", "event_id long, user_id long")
     deleted = lambda: table(spark, d, "events").filter("user_id % 7 = 0").select("user_id")
     jobs.drain(_stream(spark, d, "events").select("event_id", "user_id").writeStream.foreachBatch(jobs.drop_deleted(table_, deleted, "user_id")), f"{at}/checkpoint")
-    return table_.read()
+    return table_.read().drop("v")
 
 
 def _to_table(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streams of documents and events: what each micro-batch changes in a table, and what state decides.
 
-Tables that a batch rewrites are versioned folders in the shared file system: a batch writes version `batch_id` from the
-one before it, so a batch that runs again after a failure writes the same rows again.
+Tables are logs of batches in the shared file system: a batch writes its rows under its own number, so one that runs
+again after a failure writes the same rows again, and nothing else is rewritten.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -31,86 +31,117 @@ def drain(writer: DataStreamWriter, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-class VersionedTable:
-    """Rows in folders v=0, v=1, ...: the last complete one is the table."""
+class BatchLog:
+    """Rows of a table as batches left them, in folders v=0, v=1, ...; s=N holds what is current after batch N.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType | str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    A batch writes its own rows only, however large the table is. What is current is worked out when it is read; every
+    `fold` batches it is written as a whole, so that a read has that and fewer than `fold` batches to go through.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType | str, fold: int = 64):
+        self.spark, self.folder, self.fold = spark, folder.rstrip("/"), fold
         self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
-    def versions(self) -> list[int]:
-        """Complete versions, as the file system that Spark reads has them."""
+    def complete(self, kind: str) -> list[int]:
+        """Numbers of the complete folders of a kind, as the file system that Spark reads has them."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [int(n[2:]) for n in names if n.startswith("v=")]
-        return sorted(v for v in done if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v={v}/_SUCCESS")))
+        done = [int(n[2:]) for n in names if n.startswith(f"{kind}=")]
+        return sorted(v for v in done if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}={v}/_SUCCESS")))
 
     def read(self, before: int | None = None) -> DataFrame:
-        """The last version, or the last one below `before`."""
-        found = [v for v in self.versions() if before is None or v < before]
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={found[-1]}")
+        """All rows with v, the batch that wrote them, of batches below `before`, if given."""
+        ok = lambda v: before is None or v < before
+        folded = max(filter(ok, self.complete("s")), default=-1)
+        kinds = T.StructType([*self.schema.fields, T.StructField("v", T.IntegerType())])
+        out = self.spark.createDataFrame([], kinds)
+        if folded >= 0:
+            out = self.spark.read.schema(self.schema).parquet(f"{self.folder}/s={folded}").withColumn("v", F.lit(folded))
+        if paths := [f"{self.folder}/v={v}" for v in self.complete("v") if v > folded and ok(v)]:
+            out = out.unionByName(self.spark.read.option("basePath", self.folder).schema(kinds).parquet(*paths))
+        return out
+
+    def write(self, version: int, rows: DataFrame, current: Callable[[DataFrame], DataFrame]) -> None:
+        """What batch `version` adds; current picks the rows that count from those of read()."""
+        self._put(f"v={version}", rows)
+        if (version + 1) % self.fold == 0 and version not in self.complete("s"):
+            self._put(f"s={version}", current(self.read(before=version + 1)))
+
+    def _put(self, name: str, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
-    def write(self, version: int, rows: DataFrame) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+
+def of_last_batch(rows: DataFrame, *key: str) -> DataFrame:
+    """Of each key, the rows of the last batch that has it."""
+    last = F.max("v").over(Window.partitionBy(*key))
+    return rows.withColumn("_last", last).filter(F.col("v") == F.col("_last")).drop("_last")
 
 
 INDEX = "doc_id long, section int, sentence int, citation string, text string, title string, hash string"
 
 
-def update_index(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch on documents (doc_id, text): documents of the batch replace their earlier rows. Rows of passages that
-    didn't change are carried over as they are."""
+def update_index(table: BatchLog) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on documents (doc_id, text): documents of the batch replace their earlier rows; current_index reads
+    the result. A row without a section says that the batch has the document, also if it has no passages any more."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         fresh = with_hash(passages_of(batch)).select(*table.schema.names)
-        old = table.read(before=batch_id)
-        table.write(batch_id, old.join(batch.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh))
+        table.write(batch_id, fresh.unionByName(batch.select("doc_id").distinct(), allowMissingColumns=True), _passages)
 
     return run
 
 
+def _passages(rows: DataFrame) -> DataFrame:
+    return of_last_batch(rows, "doc_id").filter(F.col("section").isNotNull()).drop("v")
+
+
+def current_index(table: BatchLog, before: int | None = None) -> DataFrame:
+    """Passages as they are after the last batch, or the last one below `before`."""
+    return _passages(table.read(before))
+
+
 def index_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(change, n) between two versions of the index."""
     return index_diff(before, after, ["doc_id", "section", "sentence"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-def upsert_latest(table: VersionedTable, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the last row of each key, by order, of the table and the batch together."""
-    facts = [c for c in table.schema.names if c not in (*key, *order)]
+def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key, by order."""
+    facts = [c for c in rows.columns if c not in (*key, *order)]
+    last = rows.groupBy(*key).agg(F.max(F.struct(*order, *facts)).alias("_last"))
+    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in (*order, *facts)])
+
+
+def upsert_latest(table: BatchLog, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the last row of each key of the batch; latest(table.read(), ...) has that of all batches."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = table.read(before=batch_id).unionByName(batch.select(*table.schema.names))
-        last = rows.groupBy(*key).agg(F.max(F.struct(*order, *facts)).alias("_last"))
-        table.write(batch_id, last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in (*order, *facts)]))
+        table.write(batch_id, latest(batch.select(*table.schema.names), key, order), lambda rows: latest(rows.drop("v"), key, order))
 
     return run
 
 
-def add_vectors(table: VersionedTable, embed: Callable[[DataFrame], DataFrame], keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch on texts: vectors that are there for the same keys stay, and only the others are made."""
+def add_vectors(table: BatchLog, embed: Callable[[DataFrame], DataFrame], keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on texts: only vectors that aren't current for the same keys are added; those that
+    of_last_batch(table.read(), keys[0]) has are current."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = table.read(before=batch_id)
-        fresh = embed(batch)
-        known = old.join(fresh.select(keys[0]).distinct(), keys[0], "left_anti")
-        kept = old.join(fresh.select(*keys), keys, "left_semi")
-        table.write(batch_id, known.unionByName(kept).unionByName(fresh.join(old.select(*keys), keys, "left_anti").select(*table.schema.names)))
+        fresh, old = embed(batch), of_last_batch(table.read(before=batch_id), keys[0])
+        table.write(batch_id, fresh.join(old.select(*keys), keys, "left_anti"), lambda rows: of_last_batch(rows, keys[0]))
 
     return run
 
 
-def drop_deleted(table: VersionedTable, tombstones: Callable[[], DataFrame], key: str) -> Callable[[DataFrame, int], None]:
+def drop_deleted(table: BatchLog, tombstones: Callable[[], DataFrame], key: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: rows of the batch are added, but for keys that have been deleted."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.select(*table.schema.names).join(tombstones().select(key).distinct(), key, "left_anti")
-        table.write(batch_id, table.read(before=batch_id).unionByName(fresh))
+        table.write(batch_id, fresh, lambda rows: rows)
 
     return run
 
@@ -125,7 +156,6 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
 
 
-
 class UndoProcessor(StatefulProcessor):
     """Deletes that wait: a restore within the time undoes one, a timer makes it final, another delete changes nothing."""
 
