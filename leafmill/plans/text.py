@@ -202,6 +202,23 @@ def stems(spark, d):
 
 QUERIES = {f.__name__: f for f in (clean_text, fold_keep_enye, fold_all, token_counts, content_terms, word_stats, dehyphenate, margin_forms, page_lines, explode_passages, list_sentences, citations, citation_bundles, export_library, import_checks, admission_checks, fingerprints, work_to_do, needs_ocr, content_signatures, language_codes, highlights, excerpts, ordinals, context_window, turn_context, offset_rows, heading_sections, outline_as_of, repeated_margins, strip_margins, page_rollup, even_sample, language_scores, detect_language, split_sentences_exact, chunk_text, split_balanced, stems)}
 
+
+
+def _stem_sql(language: str) -> str:
+    """The stem of w in SQL: a case for each suffix, in their order."""
+    cases = []
+    for end, put in (rule.split(":") for rule in stem.SUFFIXES[language]):
+        base = f"w[1:length(w) - {len(end)}]"
+        fits = f"ends_with(w, '{end}') AND length(w) >= {len(end) + 3} AND regexp_matches({base}, '[aeiouyáéíóúü]')"
+        if end == "s":
+            fits += f" AND NOT regexp_matches({base}, '[sui]$')"
+        if end in ("ing", "ed"):
+            cases.append(f"WHEN {fits} AND length({base}) > 3 AND right({base}, 1) = {base}[-2] AND right({base}, 1) NOT IN ('l', 's', 'z') THEN {base}[1:-2]")
+        cases.append(f"WHEN {fits} THEN {base} || '{put}'")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+_STEM = f"CASE lang WHEN 'es' THEN {_stem_sql('es')} ELSE {_stem_sql('en')} END"
 _MARKERS = " UNION ALL ".join(f"SELECT '{lang}' AS language, unnest([{quoted(sorted(set(words)))}]) AS word" for lang, words in language.MARKERS.items())
 _SAMPLE = "CASE WHEN length(line) <= 6000 THEN line ELSE concat_ws(' ', line[1:2000], substring(line, CAST(floor(length(line) / 2) - 1000 + 1 AS BIGINT), 2000), substring(line, length(line) - 2000 + 1, 2000)) END"
 _SCORES = f"""{LINES}, markers AS ({_MARKERS}),
@@ -227,6 +244,12 @@ ORACLE_SQL = {
     "explode_passages": f"WITH {PASSAGES} SELECT * FROM passages",
     "split_sentences_exact": f"WITH {LINES}, {SENTENCES} SELECT doc_id, line_no, sentence, text FROM sentences",
     "list_sentences": f"WITH {PASSAGES} SELECT doc_id, citation, text FROM passages",
+    "citation_bundles": f"""WITH {PASSAGES}, s AS (SELECT doc_id, section AS chapter, min(title) AS title, list({{'sentence_id': citation, 'text': text, 'anchor': source || '#sentence=' || sentence}} ORDER BY citation) AS sentences FROM passages GROUP BY ALL)
+      SELECT doc_id, CAST(to_json(list({{'chapter': chapter, 'title': title, 'sentences': sentences}} ORDER BY chapter)) AS VARCHAR) AS sections FROM s GROUP BY ALL""",
+    "export_library": f"""WITH {PASSAGES}, s AS (SELECT doc_id, section, min(title) AS title, list(text ORDER BY sentence) AS sentences FROM passages GROUP BY ALL)
+      SELECT CAST(doc_id AS VARCHAR) AS id, 1 AS version, CAST(count(*) AS INTEGER) AS n_sections, CAST(to_json(list({{'title': title, 'sentences': sentences}} ORDER BY section)) AS VARCHAR) AS sections FROM s GROUP BY doc_id""",
+    "import_checks": f"WITH {PASSAGES} SELECT CASE doc_id % 10 WHEN 9 THEN 'bad id' WHEN 7 THEN 'section without a title' ELSE '' END AS errors, count(*) AS n FROM (SELECT DISTINCT doc_id FROM passages) GROUP BY ALL",
+    "stems": f"WITH w AS (SELECT lang, unnest({tokens('text')}) AS w FROM documents) SELECT lang, {_STEM} AS stem, count(*) AS n, count(DISTINCT w) AS n_terms FROM w GROUP BY ALL",
     "citations": f"WITH {PASSAGES} SELECT doc_id, citation AS sentence_id, section AS chapter, title, text, source || '#sentence=' || sentence AS anchor FROM passages",
     "admission_checks": "SELECT doc_id, concat_ws(',', CASE WHEN length(trim(text)) < 40 THEN 'empty' END, CASE WHEN octet_length(encode(text)) > 5000 THEN 'too large' END, CASE WHEN len(string_split(text, chr(10))) > 20 THEN 'too many lines' END, CASE WHEN contains(text, chr(65533)) THEN 'broken encoding' END) AS reasons FROM documents",
     "fingerprints": "SELECT doc_id, sha256(text) AS sha256, sha256(concat_ws(chr(1), sha256(text), lang, '4')) AS work_key FROM documents",

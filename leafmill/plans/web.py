@@ -12,7 +12,8 @@ from leafmill.functions.markup import narration_events as events_of
 from leafmill.functions.markup import sentence_rows as rows_of
 from leafmill.operators import passages as pg
 from leafmill.operators.vectors import embed_by_hashing
-from leafmill.plans.common import PASSAGES, lines, table
+from leafmill.plans.common import LINES, PASSAGES, lines, table
+from leafmill.plans.library import ORACLE_SQL as LIBRARY_SQL
 from leafmill.sources import html
 from leafmill.sources.layout import layout_lines as lines_of
 from leafmill.streaming import jobs
@@ -162,7 +163,24 @@ _BLOCKS = rf"""raw AS (SELECT page_id, unnest(b) AS raw, generate_subscripts(b,
 texts AS (SELECT page_id, i, lower(regexp_extract(raw, '^<(\w+)', 1)) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text FROM raw),
 blocks AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block_no, tag, text FROM texts WHERE text <> '')"""
 
+_HEADING = pg.HEADING.replace("(?iu)", "(?i)").replace("'", "''")
+#: When each user's first request passes, and then the first one later than the span after the last that passed.
+_PASSED = """e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+following AS (SELECT a.user_id, a.r, min(b.r) AS n FROM e AS a JOIN e AS b ON b.user_id = a.user_id AND b.t - a.t > 3600000000 GROUP BY ALL),
+passed AS (SELECT user_id, r FROM e WHERE r = 1 UNION ALL SELECT user_id, n FROM passed JOIN following USING (user_id, r))"""
+
 ORACLE_SQL = {
+    # one line of words for each input line: the words of a line are nearer than the gap, those of two lines are not
+    "layout_lines": rf"WITH {LINES} SELECT doc_id, CAST(line_no // 20 + 1 AS INTEGER) AS page, CAST(line_no % 20 AS INTEGER) AS line_no, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line, CAST(10 + line_no % 2 AS DOUBLE) AS height FROM lines",
+    "typographic_headings": rf"""WITH {LINES}, h AS (SELECT *, CASE WHEN length(line) < 12 THEN 18.0 ELSE 10.0 END AS h FROM lines),
+      m AS (SELECT doc_id, list_sort(list(h))[CAST(floor(count(*) / 2.0) AS BIGINT) + 1] AS m FROM h GROUP BY ALL)
+      SELECT doc_id, line_no, length(line) <= 100 AND (NOT regexp_matches(line, '[.!?,;:]$') AND h >= 1.45 * m OR regexp_matches(line, '{_HEADING}')) AS heading FROM h JOIN m USING (doc_id)""",
+    "streamed_limits": f"WITH RECURSIVE {_PASSED} SELECT user_id, event_id, passed.r IS NULL AS limited FROM e LEFT JOIN passed USING (user_id, r)",
+    # a delete is final once a later event of its user, or the watermark, is past its time
+    "streamed_undo": f"""WITH all_ AS ({LIBRARY_SQL["undo_ttl"]}), e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type IN ('error', 'click')),
+      ends AS (SELECT user_id, max(t) AS last FROM e GROUP BY ALL)
+      SELECT user_id, event_id, outcome FROM all_ JOIN e USING (user_id, event_id) JOIN ends USING (user_id)
+      WHERE outcome <> 'purged' OR last - t > 3600000000 OR t // 1000 + 3600001 <= (SELECT max(t) // 1000 FROM e) - 10000""",
     "html_blocks_plain": f"WITH {_BLOCKS} SELECT * FROM blocks",
     "html_sections": f"""WITH {_BLOCKS}, h AS (SELECT *, tag IN ('h1', 'h2', 'h3', 'h4') AS head, sum(CAST(tag IN ('h1', 'h2', 'h3', 'h4') AS INTEGER)) OVER (PARTITION BY page_id ORDER BY block_no) AS part FROM blocks),
       s AS (SELECT page_id, part, coalesce(min(CASE WHEN head THEN text END), 'Untitled') AS title, CASE WHEN bool_or(head) THEN 'heading' ELSE 'spine' END AS evidence, count(*) AS n_blocks, coalesce(string_agg(CASE WHEN NOT head THEN text END, ' ' ORDER BY block_no), '') AS text FROM h GROUP BY ALL)
