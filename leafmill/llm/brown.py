@@ -180,7 +180,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             if not t.num_rows:
                 return _rows(columns, [], t.schema.field("key").type)
             b = _Block(t, shard_bits)
-            of = {k: _side(told.filter(pc.equal(told["kind"], k))) for k in told["kind"].unique().to_pylist()}
+            of = {_COUNTS: {}} | {k: _side(told.filter(pc.equal(told["kind"], k))) for k in told["kind"].unique().to_pylist()}
             grids = {k // _ROUND: np.frombuffer(of[k][0], np.float64).reshape(end + 1, end + 1) for k in sorted(of) if k % _ROUND == _GRID}
             step = max(grids, key=lambda r: likelihood(grids[r])) if grids else max(k // _ROUND for k in of)
             of[_GRID] = grids.get(step)
