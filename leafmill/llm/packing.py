@@ -39,16 +39,19 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Tokenizer(dict):
-    """Token ids of texts as little-endian 32-bit numbers. Keeps the ids of each word it has met, up to a bound."""
+    """Token ids of texts as little-endian 32-bit numbers. Keeps the ids of each word it has met, up to a bound.
 
-    def __init__(self, vocabulary: bytes, most: int = 1 << 20):
+    With special=False the strings of special tokens are plain text.
+    """
+
+    def __init__(self, vocabulary: bytes, most: int = 1 << 20, special: bool = True):
         super().__init__()
         model = json.loads(vocabulary)
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.special}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if special and self.special else None
         self.most = most
 
     def __missing__(self, chunk: str) -> bytes:

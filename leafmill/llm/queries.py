@@ -91,6 +91,28 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.divergence import divergences
+
+    return divergences(_table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.suffixes import remove_shared
+
+    out = remove_shared(_table(spark, sf_dir, "documents"), size=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from leafmill.llm.alignment import align
+
+    out = align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_packing": op2_packing,
@@ -102,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -132,4 +157,17 @@ links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM sets AS a JOIN sets AS b ON a
   WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, e.v FROM reach JOIN (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) AS e ON e.u = reach.v)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(v) AS component_id, min(v) = d.doc_id AS kept FROM d JOIN reach ON u = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id, n""",
+    "op11_source_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce({_LOWER}, '') AS t FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+n AS (SELECT lang, source, term, count(*) AS c FROM w JOIN v USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*) AS v, sum(c) AS total FROM v GROUP BY lang),
+g AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS total FROM n GROUP BY lang, source) USING (lang, source)),
+shares AS (SELECT g.lang, g.source, v.term, coalesce(n.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 2)) // (g.total + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (v.c + 2)) // (l.total + 2 * l.v) AS q
+  FROM g JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = v.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }

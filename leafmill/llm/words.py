@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes that separate words made of ASCII letters and digits and of everything outside ASCII.
 NOT_ALNUM = bytes(b for b in range(128) if not chr(b).isalnum())
+#: Bytes that separate words made of ASCII letters and of everything outside ASCII.
+NOT_LETTER = bytes(b for b in range(128) if not chr(b).isalpha())
 #: Upper-case A-Z become lower case; all other bytes stay.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -71,6 +73,13 @@ class Words:
             at = at[size[at] > done]
         return h
 
+    def array(self) -> pa.Array:
+        """The words as an Arrow array of strings."""
+        size = self.ends - self.starts
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        data = self.data[np.repeat(self.starts - offsets[:-1], size) + np.arange(offsets[-1])]
+        return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
     def strings(self, at: np.ndarray) -> list[bytes]:
         raw = self.data.tobytes()
         return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]

@@ -21,6 +21,7 @@ LONG = "lorem vel " * 4000 + "password = correcthorse99 AKIA" + "Q" * 18
 ADDED = [
     None, "", " \n\t ", "one", "a b", "A B", "The MIT License and the Apache License: GNU General Public License, CC-BY", LONG, LONG,
     "token: 'deadbeefdeadbeefdeadbeef' secret=abc api_key = 12345x", "xé İ \U0001f600 password=é", "mit license mit license", "a a a a a a a", "q w e r t y\nq w e r t y\n\nq w e r t y",
+    "a \u2581 changed", "<0x41> <s> </s> <|endoftext|> <unk>", "tab\tand\x00 \U0001f468\u200d\U0001f469 \u00e9e\u0301   ", "\n\n  \n", "0123456789" * 90,
 ]
 
 
@@ -242,3 +243,83 @@ def test_op10_minhash_dedup(result, docs):
                     root[hi] = lo
     for i in docs:
         assert (rows[i]["n_shingles"], rows[i]["component_id"], rows[i]["kept"]) == (len(sets[i]), find(i), find(i) == i), i
+
+
+def test_op11_source_divergence(result, folder):
+    from compared import oracle_rows, rows_of
+
+    from leafmill.llm.queries import ORACLE_SQL
+
+    rows = result("op11_source_divergence")
+    columns = list(rows[0])
+    assert (sorted(columns), rows_of(columns, [[r[c] for c in columns] for r in rows])) == oracle_rows(ORACLE_SQL["op11_source_divergence"], folder)
+
+
+def tokens_of(text, coder, pieces):
+    """Ids and bytes of both sides, or nothing where one changes the text."""
+    if not text:
+        return [], []
+    letters = {}
+    for b in range(256):
+        letters[chr(b) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b else chr(256 + len([x for x in range(b) if not (0x21 <= x <= 0x7E or 0xA1 <= x <= 0xAC or 0xAE <= x)]))] = b
+    got = coder.encode(" " + text, add_special_tokens=False)
+    a = [(i, bytes(letters[c] for c in t)) for i, t in zip(got.ids, got.tokens)]
+    b = [(i, bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode()) for i in pieces.encode(text) for p in [pieces.id_to_piece(i)]]
+    want = (" " + text).encode()
+    return (a, b) if all(b"".join(x for _, x in side) == want for side in (a, b)) else ([], [])
+
+
+def spans_of(side):
+    at, out = 0, []
+    for i, x in side:
+        out.append((i, at, at + len(x)))
+        at += len(x)
+    return out
+
+
+def test_op13_tokenizer_alignment(result, docs):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coder.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows, links, spelled, sizes, counts = by_doc(result("op13_tokenizer_alignment"), docs), {}, {}, {}, Counter()
+    for i, text in docs.items():
+        a, b = map(spans_of, tokens_of(text, coder, pieces))
+        begin, found = 0, []
+        for x, s, e in a:  # b is sorted: those before begin end too early
+            while begin < len(b) and b[begin][2] <= s:
+                begin += 1
+            k = begin
+            while k < len(b) and b[k][1] < e:
+                found.append((x, b[k][0]))
+                k += 1
+        links[i], sizes[i] = found, (len(a), len(b))
+        counts.update(found)
+        ends = sorted({e for _, _, e in a} & {e for _, _, e in b})
+        spelled[i] = ";".join("|".join(",".join(str(x) for x, _, e in side if lo < e <= hi) for side in (a, b)) for lo, hi in zip([0, *ends], ends))
+    best = defaultdict(int)
+    for (_, b), n in counts.items():
+        best[b] = max(best[b], n)
+    for i in docs:
+        want = (*sizes[i], spelled[i].count("|") if spelled[i] else 0, len(links[i]), sum(counts[x] == best[x[1]] for x in links[i]), sum(counts[x] for x in links[i]), sha(spelled[i]) if spelled[i] else "")
+        r = rows[i]
+        assert tuple(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) == want, i
+    assert any(t and not sizes[i][0] for i, t in docs.items())  # a text that a tokenizer changes
+
+
+def test_op12_suffix_array_dedup(result, docs):
+    data = {i: (t or "").encode() for i, t in docs.items()}
+    seen = Counter(d[k : k + 400] for d in data.values() for k in range(len(d) - 399))
+    rows = by_doc(result("op12_suffix_array_dedup"), docs)
+    for i, d in data.items():
+        gone = bytearray(len(d))
+        for k in range(len(d) - 399):
+            if seen[d[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(d, gone) if not g)
+        want = (len(d), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest())
+        assert tuple(rows[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want, i
+    assert sum(r["n_removed"] for r in rows.values()) > 10_000
