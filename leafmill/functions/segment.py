@@ -6,13 +6,10 @@ All of it is built-in functions, so the index, the searches and the features sha
 
 from __future__ import annotations
 
-import re
-from functools import partial
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from leafmill.functions.text import SPACES, word_count
 
 #: Stands for an end mark that is part of an address or an abbreviation; in texts it is a private-use character.
 KEPT = "\ue000\ue001\ue002"
@@ -20,7 +17,8 @@ _CUT = "\ue003"
 MARKS = ".!?"
 
 # Titles before names, words that a lower-case word may follow, months before a day, abbreviations of two
-# parts (with a space between them or not), what ends a site's name, closing marks, and marks that don't belong to an address.
+# parts (with a space between them or not), what ends a site's name, closing marks, marks that don't belong to an address,
+# and marks that end a clause.
 TITLES = {
     "en": "mr mrs ms dr prof rev st jr sr vs no fig pp vol".split(),
     "es": "sr sra srta dr dra prof profa d dña ud uds núm num pág págs pag pags art arts vol fig aprox".split(),
@@ -31,12 +29,16 @@ PAIRS = (("e", "g", ""), ("i", "e", ""), ("p", "ej", " ?"), ("a", "m", ""), ("p"
 SITES = "com org net edu gov es io".split()
 CLOSERS = "”»\"'’)]"
 TRAILING = ".!?;,:”»\""
+CLAUSES = ",;:—"
 
 _CLOSING = "[" + CLOSERS.replace("]", "\\]") + "]*"
 PIECE = rf"[^.!?]*[.!?]+{_CLOSING}|[^.!?]+"
 PAIR = "(?i)" + "|".join(rf"{a}\.{gap}{b}\." for a, b, gap in PAIRS)
 SITE = rf"\.(?<=[\p{{L}}\p{{N}}_-]\.)({'|'.join(SITES)})"
-LINK, MAIL = r"https?://|www\.", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
+#: A link is led by a scheme or by www. In an e-mail address one @ stands between a name and a domain, whose last label has letters.
+SCHEMES = "http", "https", "ftp"
+LINK = "(?:" + "|".join(SCHEMES) + r")://|www\."
+MAIL = r"[^@]@[^@.]+(?:\.[^@.]+)*\.\p{L}{2}"
 
 
 def _let(value: Column, body) -> Column:
@@ -121,58 +123,81 @@ def sentences(clean: Column, language: Column | None = None) -> Column:
     return F.filter(F.when(clean.rlike(rf"[.!?]{_CLOSING}[^.!?]"), split).when(clean.isNotNull(), F.array(F.trim(clean))), lambda s: s != "")
 
 
-def chunk(text: str | None, most: int) -> list[str] | None:
-    """Parts of at most so many UTF-8 bytes, cut behind the last clause mark in the second half, else at the last space;
-    joined by spaces they give the clean text. None for null, or if a word alone is too long."""
-    if text is None:
-        return None
-    rest, out = " ".join(text.split()), []
-    while len(rest.encode()) > most:
-        head = rest.encode()[:most].decode(errors="ignore")
-        clauses = [m.end() for m in re.finditer(r"[,;:—]\s", head) if m.end() > len(head) // 2]
-        cut = clauses[-1] if clauses else head.rfind(" ")
-        if cut < 1:
-            return None
-        out.append(rest[:cut].strip())
-        rest = rest[cut:].strip()
-    return [*out, rest] if rest else out
+def chunks(text: Column, most: int) -> Column:
+    """Parts of at most `most` UTF-8 bytes (16 at least), as an array; joined by spaces they give the clean text.
 
+    A part is cut from what fits: behind its last clause mark, if that and the space after it lie in the second half of its
+    characters, else at its last space. Null for null, and where a word alone doesn't fit; empty for a text of white space.
+    """
+    if most < 16:
+        raise ValueError("chunks need 16 bytes at least")
+    kind = "struct<at:int,parts:array<string>>"
 
-def chunks(text: Column, most: int) -> Column:
-    """chunk() of each text, as an array."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(partial(chunk, most=most))
-
-    return run(text)
-
-
-def halve(text: str | None, most: int, deepest: int = 8) -> list[str] | None:
-    """Parts of at most so many words, by halving at the clause mark, else the space, nearest to the middle. None for
-    null, and for texts that are not done after `deepest` halvings."""
-    if text is None:
-        return None
-    todo, out = [(text.strip(), 0)], []
-    while todo:
-        part, depth = todo.pop()
-        if len(part.split()) <= most:
-            out.append(part)
-            continue
-        n = len(part)
-        cuts = [m.end() for m in re.finditer(r"[,:;—–]\s+", part) if n / 4 < m.end() < 3 * n / 4] or [m.start() for m in re.finditer(r"\s+", part)]
-        at = min(cuts, key=lambda c: abs(c - n / 2), default=0)
-        if not at or depth >= deepest:
-            return None
-        todo += [(part[at:].strip(), depth + 1), (part[:at].strip(), depth + 1)]
-    return [p for p in out if p]
+    def fitting(view: Column) -> Column:
+        """The longest beginning of view within the bytes; a character that is cut in two doesn't count."""
+        n = F.length(F.substring(view.cast("binary"), 1, most).cast("string"))
+        return _let(F.left(view, n), lambda x: F.when(F.octet_length(x) > most, F.left(view, n - 1)).otherwise(x))
 
+    def cut(head: Column) -> Column:
+        """(part, used): the part that ends in head, and the characters that it takes, the space after it among them."""
+        clause = F.length(F.regexp_extract(head, f"^.*[{CLAUSES}] ", 0))
+        space = F.length(head) - F.length(F.substring_index(head, " ", -1))
+        return _let(F.when(clause > F.floor(F.length(head) / 2), clause).otherwise(space), lambda used: F.struct(F.left(head, used - 1).alias("part"), used.alias("used")))
 
-def halves(text: Column, most: int, deepest: int = 8) -> Column:
-    """halve() of each text, as an array."""
+    def step(clean: Column, done: Column) -> Column:
+        def with_view(view: Column) -> Column:
+            put = lambda at, part: F.struct(at.alias("at"), F.concat(done["parts"], F.array(part)).alias("parts")).cast(kind)
+            more = _let(cut(fitting(view)), lambda c: F.when(c["used"] > 1, put(done["at"] + c["used"], c["part"])).otherwise(F.lit(None).cast(kind)))
+            return F.when(F.octet_length(view) <= most, F.when(view == "", done).otherwise(put(done["at"] + F.length(view), view))).otherwise(more)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(partial(halve, most=most, deepest=deepest))
+        return F.when(done.isNull(), done).otherwise(_let(F.substring(clean, done["at"], F.lit(most + 1)), with_view))
 
-    return run(text)
+    def run(clean: Column) -> Column:
+        # Two parts in a row have half of `most` in all, a part cut at a clause an eighth: so many steps are enough.
+        steps = F.sequence(F.lit(1), F.lit(16) + F.floor(F.octet_length(clean) * 16 / most).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(1).alias("at"), F.array().alias("parts")).cast(kind), lambda done, _: step(clean, done), lambda done: done["parts"])
+
+    return F.when(text.isNotNull(), _let(F.trim(F.regexp_replace(text, SPACES, " ")), run))
+
+
+def halves(text: Column, most: int, deepest: int = 8) -> Column:
+    """Parts of at most `most` words, as an array: a tree that grows by a level at a time, each part that is too long being
+    cut in two. The cut is behind the clause mark nearest to the middle, of those in the middle half, else at the nearest
+    white space; the earlier one of two that are as near. Null for null, and where parts are too long after `deepest`
+    levels or have no place to cut.
+    """
+    space, solid = SPACES, SPACES.replace("[", "[^", 1).removesuffix("+")
+    bare = lambda x: F.regexp_replace(x, f"^{space}|{space}$", "")
+    fits = lambda x: word_count(x) <= most
+
+    def nearest(n: Column, left: Column, right: Column) -> Column:
+        """The one of two places, or null, that is nearest to the middle of n."""
+        return F.when(right.isNull() | (n - 2 * left <= 2 * right - n), left).otherwise(right)
+
+    def places(part: Column, wanted: str, begin: str) -> Column:
+        """(left, right): the last place up to the middle and the first one behind it, as characters ahead of it, or null.
+        A place is where a match of `wanted` ends that is followed by `begin`."""
+        found = lambda x, pattern: F.length(F.regexp_extract(x, pattern, 1))
+        left = found(F.left(part, F.floor(F.length(part) / 2).cast("int") + 1), f"(?s)^(.*{wanted}){begin}")
+
+        def both(at: Column) -> Column:
+            right = found(F.substring(part, at + 1, F.length(part)), f"(?s)^(.+?{wanted}){begin}")
+            return F.struct(F.nullif(at, F.lit(0)).alias("left"), F.when(right > 0, at + right).alias("right"))
+
+        return _let(left, both)
+
+    def place(part: Column) -> Column:
+        n = F.length(part)
+        middle = lambda x: F.when((4 * x > n) & (4 * x < 3 * n), x)
+        clause = _let(places(part, f"[{CLAUSES}–]{space}", f"(?={solid})"), lambda p: nearest(n, middle(p["left"]), middle(p["right"])))
+        return F.coalesce(clause, _let(places(part, solid, f"(?={space})"), lambda p: nearest(n, p["left"], p["right"])))
+
+    def split(part: Column) -> Column:
+        cut = lambda at: F.when(at.isNotNull(), F.array(bare(F.left(part, at)), bare(F.substring(part, at + 1, F.length(part))))).otherwise(F.array(part))
+        return F.when(fits(part), F.array(part)).otherwise(_let(place(part), cut))
+
+    parts = F.array(bare(text))
+    for _ in range(deepest):
+        parts = _let(parts, lambda level: F.when(F.forall(level, fits), level).otherwise(F.flatten(F.transform(level, split))))
+    done = _let(parts, lambda last: F.when(F.forall(last, fits), F.filter(last, lambda p: p != "")))
+    return F.when(text.isNotNull(), done)

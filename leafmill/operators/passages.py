@@ -59,8 +59,14 @@ def heading_sections(lines: DataFrame, is_heading: Column, key: str = "doc_id")
     return marked.groupBy(key, "section").agg(F.coalesce(F.min(F.when(F.col("heading"), F.col("line"))), F.lit("Page 1")).alias("title"), F.min("line_no").alias("start_line"), F.count(F.lit(1)).alias("n_lines"))
 
 
-# Lines that are headings, in letters of any case, accented ones too.
-HEADING = r"(?iu)^(?:[IVXLCDM]+\.?|(?:chapter|capítulo|capitulo|part|parte)\s+(?:\d+|[IVXLCDM]+|one|two|three|four|five|six|seven|eight|nine|ten|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez)(?:[^\p{L}\p{N}].*)?|prologue|epilogue|prólogo|prologo|epílogo|epilogo|preface|introduction|introducción|biografía|author biography)$"
+# Words that lead a heading, numbers in words that may follow, and headings of their own.
+LEADING = "chapter capítulo capitulo part parte".split()
+NUMBERS = "one two three four five six seven eight nine ten uno dos tres cuatro cinco seis siete ocho nueve diez".split()
+ALONE = ["prologue", "epilogue", "prólogo", "prologo", "epílogo", "epilogo", "preface", "introduction", "introducción", "biografía", "author biography"]
+_ROMAN = "[IVXLCDM]+"
+_NUMBERED = rf"(?:{'|'.join(LEADING)})\s+(?:{'|'.join([r'\d+', _ROMAN, *NUMBERS])})(?:[^\p{{L}}\p{{N}}].*)?"
+#: Lines that are headings, in letters of any case, accented ones too.
+HEADING = rf"(?iu)^(?:{'|'.join([_ROMAN + r'\.?', _NUMBERED, *ALONE])})$"
 
 
 def is_heading(line: Column) -> Column:

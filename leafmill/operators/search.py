@@ -6,7 +6,6 @@ phrases (an array of strings of folded tokens). Queries travel to the postings;
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,29 +111,25 @@ def rank_hits(candidates: DataFrame, key: str = "doc_id", most: int = 8) -> Data
 
 
 def diverse_hits(ranked: DataFrame, key: str = "doc_id", most: int = 8, penalty: float = 0.08, span: int = 1) -> DataFrame:
-    """The `most` hits of each query picked one by one: each pick lowers what is left of its section, and takes its
-    neighbours with it.
+    """(query_id, pick, key, section, sentence, score): `most` hits of each query, picked so that they spread.
 
-    The picks depend on one another, so a query's ranked hits, a bounded list, are gone through in one call.
+    Each pick is the hit that costs least: its score, negated, plus a penalty for each pick that its section already has.
+    Sentences up to `span` from a pick are out. Ties go by score, then by place. ranked holds a bounded list for each query.
     """
-    kind = ranked.schema[key].dataType.simpleString()
-
-    def pick(hits: pd.DataFrame) -> pd.DataFrame:
-        left = hits.sort_values(["score", key, *_PLACE], ascending=[False, True, True, True])[[key, *_PLACE, "score"]].values.tolist()
-        taken: set[tuple] = set()
-        seen: dict[tuple, int] = {}
-        out: list[tuple] = []
-        while left and len(out) < most:
-            i = max(range(len(left)), key=lambda i: left[i][3] - penalty * seen.get(tuple(left[i][:2]), 0))
-            doc, section, sentence, score = left.pop(i)
-            if (doc, section, sentence) in taken:
-                continue
-            taken |= {(doc, section, sentence + d) for d in range(-span, span + 1)}
-            seen[doc, section] = seen.get((doc, section), 0) + 1
-            out.append((hits["query_id"].iloc[0], len(out) + 1, doc, int(section), int(sentence), score))
-        return pd.DataFrame(out, columns=["query_id", "pick", key, *_PLACE, "score"])
-
-    return ranked.groupBy("query_id").applyInPandas(pick, f"query_id {ranked.schema['query_id'].dataType.simpleString()}, pick int, {key} {kind}, section int, sentence int, score double")
+    place = [key, *_PLACE]
+    kind = f"array<struct<cost:double,low:double,{','.join(f'{c}:{ranked.schema[c].dataType.simpleString()}' for c in place)}>>"
+    section = lambda p, c: (p[key] == c[key]) & (p["section"] == c["section"])
+    near = lambda p, c: section(p, c) & (F.abs(p["sentence"] - c["sentence"]) <= span)
+
+    def pick(picks: Column, hits: Column) -> Column:
+        free = F.filter(hits, lambda c: ~F.exists(picks, lambda p: near(p, c)))
+        rated = F.transform(free, lambda c: F.struct((c["low"] + penalty * F.size(F.filter(picks, lambda p: section(p, c)))).alias("cost"), c["low"], *[c[x] for x in place]))
+        return F.concat(picks, F.slice(F.array_sort(rated), 1, 1)).cast(kind)
+
+    lists = ranked.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score").cast("double")).alias("low"), *place)).alias("hits"))
+    picks = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array().cast(kind), lambda done, _: pick(done, F.col("hits")))
+    out = lists.select("query_id", F.posexplode(picks).alias("at", "p"))
+    return out.select("query_id", (F.col("at") + 1).alias("pick"), *[F.col(f"p.{c}").alias(c) for c in place], (-F.col("p.low")).alias("score"))
 
 
 def search_tiered(passages: DataFrame, queries: DataFrame, key: str = "doc_id", most: int = 8, language: Column | str = "en", pool: int = 800) -> DataFrame:

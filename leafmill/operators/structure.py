@@ -6,6 +6,8 @@ heading_ratio are optional. Everything is one pass of expressions and windows ov
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -33,8 +35,36 @@ TITLES = {
         "glossary": ("glossary", "glosario"),
     },
 }
+CHAPTERS, PARTS, FIRSTS = ("chapter", "capitulo"), ("part", "parte"), ("1", "i", "one", "uno", "primero")
+
 _END = r"(?:$|[^\p{L}\p{N}_])"
-_FIRST = rf"^(?:(?:chapter|capitulo)\s+(?:1|i|one|uno|primero){_END}|i[.]?$)"
+_ROMAN, _DIGITS, _NAME = "[ivxlcdm]+", "[0-9]+", r"\S+"
+
+
+def _any(options: Iterable[str]) -> str:
+    return f"(?:{'|'.join(options)})"
+
+
+def _led(words: Iterable[str], then: str) -> str:
+    """One of the words, and then something."""
+    return rf"{_any(words)}\s+{then}"
+
+
+def _alone(numeral: str) -> str:
+    return f"{numeral}[.]?$"
+
+
+#: What a folded title begins with.
+SHAPES = {
+    "chapter": "^" + _led(CHAPTERS, _NAME),
+    "chapter or numeral": "^" + _any([_led(CHAPTERS, _NAME), _alone(_ROMAN)]),
+    "first chapter": "^" + _any([_led(CHAPTERS, _any(FIRSTS) + _END), _alone(FIRSTS[1])]),
+    "number": rf"^{_DIGITS}[.)]\s+{_NAME}",
+    "part": "^" + _led(PARTS, _NAME),
+    "label": rf"^{_any([_led(CHAPTERS, '')])}?({_DIGITS}|{_ROMAN})(?:[.]|$|\s)",
+}
+#: A line of a table of contents.
+CONTENTS_LINE = _any([rf"\.{{3,}}\s*{_DIGITS}", _led(CHAPTERS, rf"{_DIGITS}\s+{_DIGITS}")])
 
 
 def _book() -> WindowSpec:
@@ -87,11 +117,9 @@ def votes(sections: DataFrame) -> DataFrame:
     late = (F.col("keyword.key") == "indice") & (F.col("place") > F.col("n_sections") * 0.75)
     df = df.withColumn("keyword", _keyword(title))
     df = df.withColumns({"kw_kind": F.when(late, "back_matter").otherwise(F.col("keyword.kind")), "kw_sub": F.when(late, "index").otherwise(F.col("keyword.subkind"))})
-    explicit = title.rlike(r"^(?:chapter|capitulo)\s+\S+")
-    chapter_like = title.rlike(r"^(?:(?:chapter|capitulo)\s+\S+|[ivxlcdm]+[.]?$)")
-    numbered = chapter_like | title.rlike(r"^[0-9]+[.)]\s+\S+")
-    part = title.rlike(r"^(?:part|parte)\s+\S+")
-    first = F.min(F.when(title.rlike(_FIRST) & (evidence != "spine"), F.col("place"))).over(_book())
+    explicit, chapter_like, part = (title.rlike(SHAPES[k]) for k in ("chapter", "chapter or numeral", "part"))
+    numbered = chapter_like | title.rlike(SHAPES["number"])
+    first = F.min(F.when(title.rlike(SHAPES["first chapter"]) & (evidence != "spine"), F.col("place"))).over(_book())
     signals = F.array_compact(F.array(
         _signal(F.col("kw_kind"), 6, "section_title", F.col("keyword").isNotNull()),
         _signal("chapter", 3, "structural_boundary", evidence.isin("table-of-contents", "outline", "manual")),
@@ -120,7 +148,7 @@ def numbering_gaps(voted: DataFrame) -> DataFrame:
 
     Numbers start anew at each part heading, and only numbered chapters carry them on.
     """
-    label = F.regexp_extract("folded", r"^(?:(?:chapter|capitulo)\s+)?([0-9]+|[ivxlcdm]+)(?:[.]|$|\s)", 1)
+    label = F.regexp_extract("folded", SHAPES["label"], 1)
     df = voted.withColumn("number", F.when((F.col("kind") == "chapter") & (label != ""), ordinal(label)))
     df = df.withColumn("part_no", F.sum(F.col("is_part").cast("int")).over(_order()))
     before = Window.partitionBy("doc_id", "part_no").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,7 +159,7 @@ def numbering_gaps(voted: DataFrame) -> DataFrame:
 def classify_by_votes(sections: DataFrame, removed_margins: DataFrame | None = None) -> DataFrame:
     """votes() with flags and review. removed_margins (doc_id, source) names sections whose page lost a margin."""
     df = numbering_gaps(votes(sections))
-    toc = F.exists(F.slice("sentences", 1, 30), lambda s: fold_keep_enye(s).rlike(r"\.{3,}\s*[0-9]+|(?:chapter|capitulo)\s+[0-9]+\s+[0-9]+"))
+    toc = F.exists(F.slice("sentences", 1, 30), lambda s: fold_keep_enye(s).rlike(CONTENTS_LINE))
     leaks = F.size(F.filter("sentences", lambda s: F.btrim(fold_keep_enye(s), F.lit(" .")) == F.col("folded"))) > 1
     if removed_margins is None:
         df = df.withColumn("margin_gone", F.lit(False))

@@ -327,6 +327,12 @@ ORACLE_SQL = {
     "tier_union": f"WITH {_TIERS} SELECT query_id, match_type, tier, count(*) AS n, CAST(sum(m) AS BIGINT) AS n_matched FROM capped GROUP BY ALL",
     "ranked_tiers": f"WITH {_TIERS} SELECT query_id, rank, doc_id, section, sentence, match_type, coverage, score FROM best",
     "match_type_filter": f"WITH {_TIERS} SELECT query_id, rank, doc_id, section, sentence FROM best WHERE match_type = 'exact'",
+    "greedy_diversity": f"""WITH RECURSIVE {_TIERS},
+      cands AS (SELECT query_id, list({{'doc_id': doc_id, 'section': section, 'sentence': sentence, 'score': score, 'rank': rank}} ORDER BY rank) AS c FROM ranked WHERE rank <= 100 GROUP BY query_id),
+      picked AS (SELECT query_id, 0 AS pick, c AS c, c[1:0] AS p FROM cands UNION ALL SELECT query_id, pick + 1, c, list_append(p, best.x) FROM (SELECT query_id, pick, c, p, list_reverse_sort(list_transform(
+        list_filter(c, lambda x: len(list_filter(p, lambda y: y.doc_id = x.doc_id AND y.section = x.section AND abs(y.sentence - x.sentence) <= 1)) = 0),
+        lambda x: {{'value': x.score - 0.08::DOUBLE * len(list_filter(p, lambda y: y.doc_id = x.doc_id AND y.section = x.section)), 'early': -x.rank, 'x': x}}))[1] AS best FROM picked WHERE pick < 8) WHERE best IS NOT NULL)
+      SELECT query_id, pick, x.doc_id AS doc_id, x.section AS section, x.sentence AS sentence, x.score AS score FROM (SELECT query_id, unnest(p) AS x, generate_subscripts(p, 1) AS pick FROM (SELECT query_id, p FROM picked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pick DESC) = 1))""",
     "answer_passages": f"WITH {_TIERS} SELECT query_id, CASE WHEN n > 0 THEN 'supported' ELSE 'no supporting passage found' END AS status, n AS n_passages FROM (SELECT query_id, CAST(sum(CAST(coverage >= 0.8 AND match_type = 'exact' AND rank <= 5 AS INTEGER)) AS BIGINT) AS n FROM best GROUP BY ALL)",
     "fuzzy_blocks": f"WITH {_FUZZY} SELECT term, count(*) AS n FROM blocks GROUP BY ALL",
     "closest_terms": f"WITH {_FUZZY}, near AS (SELECT *, round(1 - CAST(levenshtein({_single("term")}, {_single("candidate")}) AS DOUBLE) / greatest(length(term), length(candidate)), 6) AS similarity FROM blocks) SELECT term, candidate, similarity FROM near WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, candidate) = 1",

@@ -231,7 +231,39 @@ edges AS (SELECT * FROM (SELECT source, doc_id, 'top' AS edge, a AS line_no, top
 pages AS (SELECT source, count(DISTINCT doc_id) AS pages FROM books GROUP BY ALL),
 repeated AS (SELECT source, edge, margin, n FROM (SELECT source, edge, margin, count(*) AS n FROM edges GROUP BY ALL) JOIN pages USING (source) WHERE n >= greatest(3, ceil(pages * 0.02::DOUBLE)))"""
 
+_SOLID = SPACES.replace("[", "[^", 1)
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^' || {SPACES}, ''), {SPACES} || '$', '')"
+
+
+def _halving(k: int) -> str:
+    """Level k + 1 of the tree of parts: those of more than 120 words cut in two, at the place that comes first."""
+    own = "PARTITION BY doc_id, path"
+    pieces = lambda pattern: f"(SELECT doc_id, path, n, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(part, {pattern}) AS l FROM long{k}))"
+    ends = lambda pattern: f"(SELECT doc_id, path, n, x, sum(length(x)) OVER ({own} ORDER BY i) AS e FROM {pieces(pattern)})"
+    return f"""long{k} AS (SELECT doc_id, path, part, length(part) AS n FROM level{k} WHERE len(regexp_extract_all(part, {_SOLID})) > 120),
+at{k} AS (SELECT doc_id, path, n, e, 0 AS late FROM {ends("'(?s).*?[,:;—–]' || " + SPACES)} WHERE 4 * e > n AND 4 * e < 3 * n
+  UNION ALL SELECT doc_id, path, n, e - length(regexp_extract(x, {SPACES} || '$')), 1 FROM {ends(_SOLID + " || " + SPACES)}),
+cut{k} AS (SELECT doc_id, path, e FROM at{k} QUALIFY row_number() OVER ({own} ORDER BY late, abs(2 * e - n), e) = 1),
+level{k + 1} AS (SELECT doc_id, path, part FROM level{k} ANTI JOIN cut{k} USING (doc_id, path)
+  UNION ALL SELECT doc_id, path || '0', {_bare('left(part, CAST(e AS BIGINT))')} FROM long{k} JOIN cut{k} USING (doc_id, path)
+  UNION ALL SELECT doc_id, path || '1', {_bare('substring(part, CAST(e AS BIGINT) + 1)')} FROM long{k} JOIN cut{k} USING (doc_id, path))"""
+
+
+_FITS = "list_max(list_filter(range(100, 401), lambda n: strlen(left(rest, n)) <= 400))"
+
 ORACLE_SQL = {
+    "chunk_text": f"""WITH RECURSIVE base AS (SELECT doc_id, trim(regexp_replace(text, {SPACES}, ' ', 'g')) AS rest FROM documents WHERE text IS NOT NULL),
+      views AS (SELECT doc_id, -1 AS chunk, CAST(NULL AS VARCHAR) AS text, rest FROM base UNION ALL
+        SELECT doc_id, chunk + 1, left(rest, used - 1), substring(rest, used + 1) FROM (SELECT doc_id, chunk, rest, CASE WHEN strlen(rest) <= 400 THEN length(rest) + 1 WHEN clause > length(head) // 2 THEN clause ELSE length(head) - length(string_split(head, ' ')[-1]) END AS used
+          FROM (SELECT *, length(regexp_extract(head, '^.*[,;:—] ')) AS clause FROM (SELECT doc_id, chunk, rest, left(rest, {_FITS}) AS head FROM views WHERE rest <> ''))) WHERE used > 1),
+      whole AS (SELECT doc_id FROM views WHERE rest = '' GROUP BY doc_id)
+      SELECT doc_id, chunk, text FROM views JOIN whole USING (doc_id) WHERE chunk >= 0""",
+    "split_balanced": f"""WITH level0 AS (SELECT doc_id, '' AS path, {_bare('text')} AS part FROM documents WHERE text IS NOT NULL), {", ".join(_halving(k) for k in range(8))},
+      done AS (SELECT *, max(len(regexp_extract_all(part, {_SOLID}))) OVER (PARTITION BY doc_id) AS most FROM level8)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS part, part AS text FROM done WHERE most <= 120 AND part <> ''""",
     "clean_text": f"SELECT doc_id, {clean('nfc_normalize(text)')} AS clean FROM documents",
     "fold_keep_enye": f"SELECT doc_id, {fold('text')} AS folded FROM documents",
     "fold_all": "SELECT doc_id, regexp_replace(strip_accents(lower(text)), '\\p{M}', '', 'g') AS folded FROM documents",
