@@ -53,23 +53,6 @@ def hinted(queries: DataFrame, most: int = 100_000) -> Callable[[DataFrame], Dat
     return F.broadcast if queries.limit(most + 1).count() <= most else lambda rows: rows
 
 
-def bm25(passages: DataFrame, index: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, section, sentence, bm25) for passages with a term of a query (query_id, term).
-
-    Statistics are those of each document; larger is better. Rare terms' weight has a small positive floor.
-    """
-    hint = hinted(queries)
-    n, df, length = F.col("n_passages"), F.col("df"), F.col("length")
-    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("column")], F.lit(1.0))
-    hits = index.join(hint(queries.select("query_id", "term").distinct()), "term")
-    tf = hits.groupBy("query_id", key, "section", "sentence", "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
-    asked = index.join(hint(queries.select("term").distinct()), "term", "left_semi")
-    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / F.col("mean_length")))
-    rows = tf.join(document_frequencies(asked, key), [key, "term"]).join(statistics(passages, key), key).join(lengths(passages, key), [key, "section", "sentence"])
-    return rows.groupBy("query_id", key, "section", "sentence").agg(F.round(F.sum(score), 6).alias("bm25"))
-
-
 def index_diff(stored: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, change) of passages with a hash in either table: insert, update, delete or unchanged."""
     old, new = stored.select(*keys, F.col("hash").alias("old")), current.select(*keys, F.col("hash").alias("new"))
@@ -103,9 +86,48 @@ def fuzzy_blocks(terms: DataFrame, vocabulary: DataFrame, term: str = "term", le
     return wide.join(ends(known, "candidate", F.length("candidate")), ["letter", "size"]).select("term", "candidate").distinct()
 
 
-def closest_terms(blocks: DataFrame, least: float = 0.7) -> DataFrame:
-    """(term, candidate, similarity): the best candidate of each term by 1 - edit distance / longer length."""
-    similarity = F.round(1 - F.levenshtein("term", "candidate") / F.greatest(F.length("term"), F.length("candidate")), 6)
-    ranked = blocks.withColumn("similarity", similarity).filter(F.col("similarity") >= least)
-    first = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "candidate"))
-    return ranked.withColumn("_rank", first).filter("_rank = 1").drop("_rank")
+def block_similarity(a: Column, b: Column) -> Column:
+    """2 M / (length of a + length of b), M being the letters in matching blocks: the longest run that both words have, then
+    likewise in what stands before it in both, and behind it in both. Of runs of that length it is the first one in a, and
+    there the first in b. Words of some dozens of letters are meant.
+    """
+    pair = "array<struct<a:string,b:string>>"
+    kind = f"struct<todo:{pair},same:int>"
+
+    def longest(x: Column) -> Column:
+        """(size, a, b): the longest common run of x.a and x.b, and where it begins in each, from 1; null without one."""
+        most = F.least(F.length(x["a"]), F.length(x["b"]))
+        of_size = lambda n: F.transform(F.sequence(F.lit(1), F.length(x["a"]) - n + 1), lambda i: F.struct(n.alias("size"), i.alias("a"), F.instr(x["b"], F.substring(x["a"], i, n)).alias("b")))
+        runs = F.flatten(F.transform(F.sequence(most, F.lit(1), F.lit(-1)), of_size))
+        return F.when(most > 0, F.get(F.filter(runs, lambda r: r["b"] > 0), F.lit(0)))
+
+    def split(done: Column, x: Column, r: Column) -> Column:
+        behind = lambda w, at: F.substring(x[w], at + r["size"], F.length(x[w]))
+        parts = F.array(F.struct(F.left(x["a"], r["a"] - 1).alias("a"), F.left(x["b"], r["b"] - 1).alias("b")), F.struct(behind("a", r["a"]).alias("a"), behind("b", r["b"]).alias("b")))
+        more = F.filter(parts, lambda p: (p["a"] != "") & (p["b"] != ""))
+        rest = F.slice(done["todo"], 2, F.size(done["todo"]))
+        return F.when(r.isNull(), F.struct(rest.alias("todo"), done["same"].alias("same")).cast(kind)).otherwise(F.struct(F.concat(more, rest).alias("todo"), (done["same"] + r["size"]).alias("same")).cast(kind))
+
+    def step(done: Column) -> Column:
+        x = done["todo"][0]
+        return F.when(F.size(done["todo"]) == 0, done).otherwise(F.element_at(F.transform(F.array(longest(x)), lambda r: split(done, x, r)), 1))
+
+    start = F.struct(F.array(F.struct(a.alias("a"), b.alias("b"))).alias("todo"), F.lit(0).alias("same")).cast(kind)
+    steps = F.sequence(F.lit(1), 2 * F.least(F.length(a), F.length(b)) + 1)  # each run leaves two parts at most
+    return 2 * F.aggregate(steps, start, lambda done, _: step(done), lambda done: done["same"]) / (F.length(a) + F.length(b))
+
+
+def closest_terms(blocks: DataFrame, least: float = 0.78) -> DataFrame:
+    """(term, candidate, similarity): of the candidates of each term that are at least so similar by matching blocks the
+    most similar one, and of several the last in the order of letters.
+
+    Each letter matches as often as both words have it at most; pairs that this keeps below the bound aren't compared.
+    """
+    of = lambda word, letter: F.length(word) - F.length(F.replace(F.col(word), letter, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split("candidate", "")), F.lit(0), lambda n, x: n + F.least(of("candidate", x), of("term", x)))
+    # A quicker bound goes first: letters that only one of the words has.
+    common = lambda x, y: F.length(x) - F.length(F.call_function("translate", F.col(x), F.col(y), F.lit("")))
+    most = 2 * F.least(common("candidate", "term"), common("term", "candidate")) / (F.length("term") + F.length("candidate"))
+    close = blocks.filter((most >= least) & (2 * shared / (F.length("term") + F.length("candidate")) >= least)).withColumn("similarity", block_similarity(F.col("candidate"), F.col("term"))).filter(F.col("similarity") >= least)
+    best = F.max(F.struct("similarity", "candidate"))
+    return close.groupBy("term").agg(best.alias("_best")).select("term", "_best.candidate", F.round("_best.similarity", 6).alias("similarity"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from leafmill.functions.stem import with_stems
 from leafmill.functions.text import content_terms, tokens
 from leafmill.operators.filters import all_terms, any_terms
-from leafmill.operators.index import bm25, closest_terms, fuzzy_blocks, hinted, postings
+from leafmill.operators.index import closest_terms, fuzzy_blocks, hinted
 from leafmill.operators.passages import with_context
+from leafmill.operators.stored import hits_of, known_terms, term_lists
 
 #: Points of a tier.
 TIERS = {"phrase": 40, "exact": 40, "stem": 30, "partial": 20, "fuzzy": 10}
@@ -46,61 +47,94 @@ def search_overlap(passages: DataFrame, queries: DataFrame, key: str = "doc_id",
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+_OPERATORS = ("required", "excluded", "prefixes", "phrases")
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _with_defaults(queries: DataFrame) -> DataFrame:
-    empty = F.array().cast("array<string>")
-    names = ("terms", "required", "excluded", "prefixes", "phrases")
-    return queries.select("query_id", *[(F.coalesce(F.col(c), empty) if c in queries.columns else empty).alias(c) for c in names])
+    return queries.select("query_id", "terms", *[(F.col(c) if c in queries.columns else _none()).alias(c) for c in _OPERATORS])
 
 
-def tier_candidates(passages: DataFrame, queries: DataFrame, key: str = "doc_id", stems: bool = True, fuzzy: bool = True, cap: int = 160, language: Column | str = "en") -> DataFrame:
+def _expanded(asked: DataFrame, terms: DataFrame, stems: bool, language: Column | str) -> DataFrame:
+    """(query_id, term, asked, surface, own): the index's terms that answer each asked one: itself, what a prefix leads, and
+    those of its stem. own marks the term itself, which counts for BM25."""
+    pairs = asked.select("query_id", F.explode(F.array_distinct(F.concat("terms", "required"))).alias("term"))
+    flags = lambda surface, own: (F.lit(surface).alias("surface"), F.lit(own).alias("own"))
+    out = pairs.select("query_id", "term", F.col("term").alias("asked"), *flags(True, True))
+    if "prefixes" in asked.columns:
+        starts = asked.select("query_id", F.explode("prefixes").alias("start"))
+        led = terms.join(starts, (F.left("term", F.lit(1)) == F.left("start", F.lit(1))) & F.col("term").startswith(F.col("start")))
+        out = out.unionByName(led.select("query_id", "term", F.col("start").alias("asked"), *flags(True, False)))
+    if stems:
+        of_stem = with_stems(terms, language=language).join(with_stems(pairs, language=language).withColumnRenamed("term", "asked"), "stem")
+        out = out.unionByName(of_stem.select("query_id", "term", "asked", *flags(False, False)))
+    return out
+
+
+def _fulfilled(rows: DataFrame, passages: DataFrame, key: str) -> DataFrame:
+    """rows without those of queries whose phrases or excluded terms the passage lacks or has; only these are looked up."""
+    if not {"phrases", "excluded"} & set(rows.columns):
+        return rows
+    has = lambda c: F.size(c) > 0 if c in rows.columns else F.lit(False)
+    strict = has("phrases") | has("excluded")
+    words = passages.select(key, *_PLACE, tokens(F.concat_ws(" ", "text", "title")).alias("tokens"))
+    spaced = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    ok = F.lit(True)
+    if "phrases" in rows.columns:
+        ok = ok & F.forall("phrases", lambda p: F.contains(spaced(F.array_join("tokens", " ")), spaced(p)))
+    if "excluded" in rows.columns:
+        ok = ok & ~any_terms(F.col("tokens"), F.col("excluded"))
+    return rows.filter(~strict).unionByName(rows.filter(strict).join(words, [key, *_PLACE]).filter(ok).drop("tokens"))
+
+
+def tier_candidates(passages: DataFrame, queries: DataFrame, key: str = "doc_id", stems: bool = True, fuzzy: bool = True, cap: int = 160, language: Column | str = "en", lists: DataFrame | None = None) -> DataFrame:
     """(query_id, key, section, sentence, match_type, tier, matched, coverage, bm25), the best tier of each passage.
 
     exact: all terms; stem: all stems; partial: some terms or, a point lower, some stems; fuzzy: where a query without
     operators has no hit at all, with each term of four letters or more changed into the closest one. Required terms and
-    phrases must be there and excluded terms mustn't. The `cap` best of a tier by BM25 go on, for each query.
+    phrases must be there and excluded terms mustn't. The `cap` best of a tier by BM25 go on, for each query. lists is the
+    index of the passages, stored or not; without it one is made. Hits are summed up and ranked in their buckets.
     """
-    asked, hint = _with_defaults(queries).filter(F.size("terms") > 0), hinted(queries)
-    index = postings(passages, key)
-    pairs = asked.select("query_id", F.explode(F.array_distinct(F.concat("terms", "required"))).alias("term"))
-    starts = asked.select("query_id", F.explode("prefixes").alias("start"))
-    if stems:
-        index_stems = with_stems(index.select("term").distinct(), language=language)
-        pair_stems = with_stems(pairs, language=language).withColumnRenamed("term", "asked")
-    places = index.select(key, *_PLACE, "term").distinct()
-    plain = places.join(hint(pairs), "term").select("query_id", key, *_PLACE, F.col("term").alias("asked"), F.lit(True).alias("surface"))
-    led = places.join(hint(starts), (F.left("term", F.lit(1)) == F.left("start", F.lit(1))) & F.col("term").startswith(F.col("start"))).select("query_id", key, *_PLACE, F.col("start").alias("asked"), F.lit(True).alias("surface"))
-    hits = plain.unionByName(led)
-    if stems:
-        of_stem = places.join(index_stems, "term").join(hint(pair_stems), "stem").select("query_id", key, *_PLACE, "asked", F.lit(False).alias("surface"))
-        hits = hits.unionByName(of_stem)
-    best = hits.groupBy("query_id", key, *_PLACE).agg(F.collect_set(F.when(F.col("surface"), F.col("asked"))).alias("plain"), F.collect_set("asked").alias("any"))
-    tokens_of = passages.select(key, *_PLACE, tokens(F.concat_ws(" ", "text", "title")).alias("tokens"))
-    rows = best.join(hint(asked), "query_id").join(tokens_of, [key, *_PLACE])
-    has_phrases = F.forall("phrases", lambda p: F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" "))))
-    rows = rows.filter(~any_terms(F.col("tokens"), F.col("excluded")) & has_phrases & all_terms(F.col("any"), F.col("required")))
-    all_plain = all_terms(F.col("plain"), F.col("terms")) & all_terms(F.col("plain"), F.col("required"))
-    some_plain = any_terms(F.col("plain"), F.col("terms")) & all_terms(F.col("plain"), F.col("required"))
-    match = F.when(all_plain & (F.size("phrases") > 0), "phrase").when(all_plain, "exact").when(all_terms(F.col("any"), F.col("terms")), "stem").otherwise("partial")
-    rows = rows.withColumns({"match_type": match, "matched": F.array_intersect("terms", F.when(match.isin("phrase", "exact") | (match == "partial") & some_plain, F.col("plain")).otherwise(F.col("any")))})
+    lists = term_lists(passages, key) if lists is None else lists
+    given, hint = [c for c in _OPERATORS if c in queries.columns], hinted(queries)
+    asked = queries.select("query_id", *[F.coalesce(c, _none()).alias(c) for c in ("terms", *given)]).filter(F.size("terms") > 0)
+    whole = _with_defaults(asked)
+    found_by = hits_of(lists, hint(_expanded(whole.select("query_id", "terms", "required", *[c for c in given if c == "prefixes"]), known_terms(lists), stems, language)), key)
+    place = ["bucket", "query_id", key, *_PLACE]
+    best = found_by.groupBy(*place).agg(F.collect_set(F.when(F.col("surface"), F.col("asked"))).alias("plain"), F.collect_set("asked").alias("any"), F.round(F.coalesce(F.sum(F.when(F.col("own"), F.col("impact"))), F.lit(0.0)), 6).alias("bm25"))
+    rows = _fulfilled(best.join(hint(asked), "query_id"), passages, key)
+    must = F.col("required") if "required" in given else _none()
+    phrases = F.size("phrases") if "phrases" in given else F.lit(0)
+    has = lambda c: all_terms(F.col(c), must) if "required" in given else F.lit(True)
+    all_plain, some_plain = all_terms(F.col("plain"), F.col("terms")) & has("plain"), any_terms(F.col("plain"), F.col("terms")) & has("plain")
+    match = F.when(all_plain & (phrases > 0), "phrase").when(all_plain, "exact").when(all_terms(F.col("any"), F.col("terms")), "stem").otherwise("partial")
+    rows = rows.filter(has("any")).withColumn("match_type", match)
+    by_surface = F.col("match_type").isin("phrase", "exact") | (F.col("match_type") == "partial") & some_plain
     tier = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.col("match_type")] - F.when((F.col("match_type") == "partial") & ~some_plain, 1).otherwise(0)
-    found = rows.select("query_id", key, *_PLACE, "match_type", tier.alias("tier"), "matched", F.size("terms").alias("n"), F.size("phrases").alias("n_phrases"))
+    matched = F.array_intersect("terms", F.when(by_surface, F.col("plain")).otherwise(F.col("any")))
+    found = rows.select(*place, "match_type", tier.alias("tier"), matched.alias("matched"), F.size("terms").alias("n"), phrases.alias("n_phrases"), "bm25")
     if fuzzy:
-        found = found.unionByName(_fuzzy(asked, found, index, places, key))
-    ranks = bm25(passages, index, pairs, key)
-    coverage = F.round(F.size("matched") / F.col("n"), 6)
-    scored = found.join(ranks, ["query_id", key, *_PLACE], "left").withColumns({"bm25": F.coalesce("bm25", F.lit(0.0)), "coverage": coverage})
-    order = Window.partitionBy("query_id", "tier").orderBy(F.desc("bm25"), key, *_PLACE)
-    return scored.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank", "n")
-
-
-def _fuzzy(asked: DataFrame, found: DataFrame, index: DataFrame, places: DataFrame, key: str) -> DataFrame:
-    """Hits of corrected queries, for queries without operators and without hits."""
-    plain = asked.filter((F.size("required") == 0) & (F.size("excluded") == 0) & (F.size("prefixes") == 0) & (F.size("phrases") == 0))
-    lost = plain.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    close = closest_terms(fuzzy_blocks(lost, index.select("term")), least=0.78)
-    fixed = lost.join(close, "term").select("query_id", "n", F.col("term").alias("asked"), F.col("candidate").alias("term"))
-    hits = places.join(fixed, "term").groupBy("query_id", "n", key, *_PLACE).agg(F.collect_set("asked").alias("matched"))
-    return hits.filter(F.size("matched") == F.col("n")).select("query_id", key, *_PLACE, F.lit("fuzzy").alias("match_type"), F.lit(TIERS["fuzzy"]).alias("tier"), "matched", "n", F.lit(0).alias("n_phrases"))
+        found = found.unionByName(_fuzzy(whole, found, lists, key))
+    scored = found.withColumn("coverage", F.round(F.size("matched") / F.col("n"), 6))
+    best_of = lambda *within: F.row_number().over(Window.partitionBy(*within, "query_id", "tier").orderBy(F.desc("bm25"), key, *_PLACE)) <= cap
+    for within in (["bucket"], []):  # the best of each bucket, then of all
+        scored = scored.withColumn("_good", best_of(*within)).filter("_good").drop("_good")
+    return scored.select("query_id", key, *_PLACE, "match_type", "tier", "matched", "n_phrases", "bm25", "coverage")
+
+
+def _fuzzy(asked: DataFrame, found: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """Hits of corrected queries, for queries without operators and without hits. Corrected terms are none of the query's
+    own, so they count nothing for BM25."""
+    plain = asked.filter(F.size(F.concat(*_OPERATORS)) == 0)
+    lost = plain.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("asked"))
+    close = closest_terms(fuzzy_blocks(lost.withColumnRenamed("asked", "term"), known_terms(lists)))
+    fixed = lost.join(close.withColumnRenamed("term", "asked"), "asked").select("query_id", "n", "asked", F.col("candidate").alias("term"))
+    place = ["bucket", "query_id", key, *_PLACE]
+    hits = hits_of(lists, fixed, key).groupBy(*place, "n").agg(F.collect_set("asked").alias("matched"))
+    return hits.filter(F.size("matched") == F.col("n")).select(*place, F.lit("fuzzy").alias("match_type"), F.lit(TIERS["fuzzy"]).alias("tier"), "matched", "n", F.lit(0).alias("n_phrases"), F.lit(0.0).alias("bm25"))
 
 
 def rank_hits(candidates: DataFrame, key: str = "doc_id", most: int = 8) -> DataFrame:
@@ -132,9 +166,9 @@ def diverse_hits(ranked: DataFrame, key: str = "doc_id", most: int = 8, penalty:
     return out.select("query_id", (F.col("at") + 1).alias("pick"), *[F.col(f"p.{c}").alias(c) for c in place], (-F.col("p.low")).alias("score"))
 
 
-def search_tiered(passages: DataFrame, queries: DataFrame, key: str = "doc_id", most: int = 8, language: Column | str = "en", pool: int = 800) -> DataFrame:
+def search_tiered(passages: DataFrame, queries: DataFrame, key: str = "doc_id", most: int = 8, language: Column | str = "en", pool: int = 800, lists: DataFrame | None = None) -> DataFrame:
     """Diverse hits of each query with text, context, match_type, matched and coverage. Queries without terms have none."""
-    ranked = rank_hits(tier_candidates(passages, queries, key, language=language), key, pool)
+    ranked = rank_hits(tier_candidates(passages, queries, key, language=language, lists=lists), key, pool)
     picked = diverse_hits(ranked, key, most)
     facts = ranked.select("query_id", key, *_PLACE, "match_type", "matched", "coverage", "bm25")
     shown = with_context(passages, key).select(key, *_PLACE, "citation", "text", "context", "context_start", "context_end")

@@ -25,11 +25,40 @@ def rolling_eta(rows: DataFrame, key: str, order: list[str], duration: Column, r
     return rows.withColumn("rate", F.round(F.avg(duration).over(recent), 6)).withColumn("eta", F.round(F.avg(duration).over(recent) * remaining, 4))
 
 
-def rate_limit(rows: DataFrame, key: str, time: Column, limit: int, seconds: int = 60) -> DataFrame:
-    """rows with recent, the key's rows in the last seconds, this one among them, and limited, whether they are more than
-    the limit. Rows that a limiter rejected count here; streaming.limits doesn't count them."""
-    span = Window.partitionBy(key).orderBy("_micros").rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("_micros", F.unix_micros(time)).withColumn("recent", F.count(F.lit(1)).over(span)).withColumn("limited", F.col("recent") > limit).drop("_micros")
+def rate_limit(rows: DataFrame, key: str, time: Column, order: str, limit: int, seconds: int = 60) -> DataFrame:
+    """(key, order, limited): whether a limiter rejects each of a key's requests.
+
+    A request passes if fewer than `limit` passed within the last seconds, both ends included; rejected ones don't count, as
+    in streaming.rate_limited. Requests of a key are taken by time, then by `order`.
+
+    A key's requests are cut where it is calm: with at most `limit` requests in the last two spans, all those of the last
+    span have passed, whatever came before. A part starts from these and is replayed by itself, so the history of a busy key
+    is spread over as many rows as it has parts. Only a key that asks for more than its limit all the time is one part.
+    """
+    span = seconds * 1_000_000
+    kind = rows.schema[order].dataType.simpleString()
+    ordered = Window.partitionBy(key).orderBy("_t", order)
+    within = lambda low, high: Window.partitionBy(key).orderBy("_t").rangeBetween(low, high)
+    timed = rows.select(key, order, F.unix_micros(time).alias("_t"))
+    calm = F.coalesce(F.lag("_t").over(ordered) != F.col("_t"), F.lit(True)) & (F.count(F.lit(1)).over(within(-2 * span, 0)) <= limit)
+    parts = timed.withColumn("_calm", calm).withColumn("_part", F.sum(F.col("_calm").cast("int")).over(ordered))
+    # A request also stands ahead of each part that begins within a span after it.
+    ahead = F.collect_list(F.when(F.col("_calm"), F.col("_part"))).over(within(1, span))
+    roles = F.concat(F.array(F.struct(F.col("_part").alias("part"), F.lit(True).alias("own"))), F.transform("_ahead", lambda p: F.struct(p.alias("part"), F.lit(False).alias("own"))))
+    spread = parts.withColumn("_ahead", ahead).select(key, order, "_t", F.explode(roles).alias("_r"))
+    own = F.col("_r.own")
+    lists = spread.groupBy(key, F.col("_r.part").alias("_part")).agg(F.sort_array(F.collect_list(F.when(own, F.struct("_t", order)))).alias("_own"), F.collect_list(F.when(~own, F.col("_t"))).alias("_before"))
+    state = "struct<passed:array<bigint>,out:string>"
+
+    def step(done: Column, t: Column) -> Column:
+        recent = F.filter(done["passed"], lambda p: p >= t - span)
+        full = F.size(recent) >= limit
+        return F.struct(F.when(full, recent).otherwise(F.concat(recent, F.array(t))).alias("passed"), F.concat(done["out"], F.when(full, "1").otherwise("0")).alias("out")).cast(state)
+
+    start = F.struct(F.col("_before").alias("passed"), F.lit("").alias("out")).cast(state)
+    told = lists.withColumn("_told", F.aggregate(F.transform("_own", lambda x: x["_t"]), start, step, lambda done: done["out"]))
+    out = told.select(key, "_told", F.posexplode("_own").alias("_i", "_x"))
+    return out.select(key, F.col(f"_x.{order}").cast(kind).alias(order), (F.substring("_told", F.col("_i") + 1, F.lit(1)) == "1").alias("limited"))
 
 
 def change_snapshots(rows: DataFrame, key: str, order: list[str], *payload: Column) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.functions import segment
 from leafmill.functions.text import STOPWORDS
 from leafmill.operators.passages import passages_of
 from leafmill.operators.search import as_queries
+from leafmill.operators.stored import store_lists, term_lists
 from leafmill.sources.corpus import page_lines
 
 
@@ -29,6 +33,38 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="leafmill-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def files_of(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, size and time of the files of a table, as the file system that Spark reads has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
+
+
+_INDEXES: dict[tuple, DataFrame] = {}
+#: Bytes of the documents' files for each bucket of the index, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
+
+
+def passage_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the documents' passages. The first query of a session that needs it writes it; it is written anew where
+    the documents' files have changed since."""
+    files = files_of(spark, f"{sf_dir}/documents.parquet")
+    name = (spark.sparkContext.applicationId, sf_dir, files)
+    if name not in _INDEXES:
+        buckets = max(LEAST_BUCKETS, -(-sum(size for _, size, _ in files) // BUCKET_BYTES))
+        _INDEXES[name] = store_lists(term_lists(passages(spark, sf_dir), buckets=buckets), scratch(spark, "index"), buckets)
+    return _INDEXES[name]
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_queries(table(spark, sf_dir, "benchmark"), "item_id", "text")
 

@@ -235,7 +235,7 @@ def rolling_eta(spark, d):
 
 
 def rate_limit(spark, d):
-    return series.rate_limit(table(spark, d, "events"), "event_type", F.col("ts").cast("timestamp"), 3, 600).select("event_id", "recent", "limited")
+    return series.rate_limit(table(spark, d, "events"), "user_id", F.col("ts").cast("timestamp"), "event_id", 3, 4 * 3600)
 
 
 def change_snapshots(spark, d):
@@ -350,7 +350,10 @@ ORACLE_SQL = {
     "signal_stats": "SELECT user_id, count(value) AS n, round(sqrt(sum((value - 25) * (value - 25)) / count(value)), 6) AS rms, max(abs(value - 25)) AS peak FROM events GROUP BY ALL",
     "active_bounds": "SELECT user_id, coalesce(greatest(min(event_id), min(CASE WHEN value > 60 THEN event_id END) - 100), min(event_id)) AS first, coalesce(least(max(event_id), max(CASE WHEN value > 60 THEN event_id END) + 100), max(event_id)) AS last FROM events GROUP BY ALL",
     "rolling_eta": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM events",
-    "rate_limit": "SELECT event_id, n AS recent, n > 3 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events)",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+      s AS (SELECT user_id, 0 AS r, CAST([] AS BIGINT[]) AS passed, CAST(NULL AS BIGINT) AS event_id, false AS limited FROM (SELECT DISTINCT user_id FROM e)
+        UNION ALL SELECT user_id, r, CASE WHEN len(recent) >= 3 THEN recent ELSE list_append(recent, t) END, event_id, len(recent) >= 3 FROM (SELECT s.user_id, e.r, e.t, e.event_id, list_filter(s.passed, lambda p: p >= e.t - 14400000000) AS recent FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1))
+      SELECT user_id, event_id, limited FROM s WHERE r > 0""",
     "change_snapshots": "SELECT event_id, user_id, event_type FROM events QUALIFY coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type, true)",
     "undo_ttl": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS gone, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('error', 'click')),
 back AS (SELECT d.user_id, d.r, d.t, min(b.r) AS back FROM e AS d LEFT JOIN e AS b ON b.user_id = d.user_id AND NOT b.gone AND b.r > d.r AND b.t - d.t <= 3600000000 WHERE d.gone GROUP BY ALL),

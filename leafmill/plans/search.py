@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import vectors as fv
 from leafmill.functions.text import tokens as text_tokens
-from leafmill.operators import evaluate, features, filters, index, search
+from leafmill.operators import evaluate, features, filters, index, search, stored
 from leafmill.operators import vectors as ov
-from leafmill.plans.common import PASSAGES, QUERIES_CTE, STOP, benchmark_queries, content, passages, quoted, table, tokens
+from leafmill.plans.common import PASSAGES, QUERIES_CTE, STOP, benchmark_queries, content, passage_lists, passages, quoted, table, tokens
 
 _HIT = ["doc_id", "section", "sentence"]
 # Words that the conditions below ask for.
@@ -41,8 +41,7 @@ def _asked(spark, d):
 
 
 def bm25(spark, d):
-    rows = passages(spark, d)
-    return index.bm25(rows, index.postings(rows), _asked(spark, d))
+    return stored.bm25(passage_lists(spark, d), _asked(spark, d))
 
 
 def all_terms_filter(spark, d):
@@ -84,7 +83,7 @@ def search_overlap(spark, d):
 
 
 def _plain_tiers(spark, d):
-    return search.tier_candidates(passages(spark, d), benchmark_queries(spark, d), stems=False, fuzzy=False)
+    return search.tier_candidates(passages(spark, d), benchmark_queries(spark, d), stems=False, fuzzy=False, lists=passage_lists(spark, d))
 
 
 def tier_union(spark, d):
@@ -102,7 +101,7 @@ def match_type_filter(spark, d):
 
 def search_tiered(spark, d):
     """Stems, fuzzy terms and diverse picks included."""
-    return search.search_tiered(passages(spark, d), benchmark_queries(spark, d)).select("query_id", "pick", *_HIT, "match_type", "coverage", "score", "context")
+    return search.search_tiered(passages(spark, d), benchmark_queries(spark, d), lists=passage_lists(spark, d)).select("query_id", "pick", *_HIT, "match_type", "coverage", "score", "context")
 
 
 def greedy_diversity(spark, d):
@@ -277,9 +276,10 @@ distinct_words AS (SELECT doc_id, section, sentence, citation, unnest(list_disti
 overlap AS (SELECT query_id, n, doc_id, section, sentence, citation, count(*) AS matched FROM distinct_words JOIN asked USING (term) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, section, sentence, citation, CASE WHEN matched = n THEN 'exact' ELSE 'partial' END AS match, matched, CASE WHEN matched = n THEN CAST(100 + matched AS DOUBLE) ELSE round(20 + CAST(matched AS DOUBLE) / n, 6) END AS score FROM overlap),
 found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, section, sentence) AS rank FROM scored)"""
-def _single(x: str) -> str:
-    """x with letters outside ASCII that folding leaves as one byte each, since the SQL engine's edit distance counts bytes."""
-    return f"translate({x}, 'ñßæœøłđðþ', '#$%&*+<=>')"
+def _RUN(a: str, b: str) -> str:  # noqa: N802
+    """The longest common run of two words: its size, and its places, negated, as the earliest of several counts."""
+    runs = f"list_transform(range(1, length({a}) - n + 2), lambda i: {{'size': n, 'a': -i, 'b': -instr({b}, substring({a}, i, n))}})"
+    return f"list_reverse_sort(list_filter(flatten(list_transform(range(1, least(length({a}), length({b})) + 1), lambda n: {runs})), lambda x: x.b < 0))[1]"
 
 
 _FUZZY = f"""{PASSAGES}, {QUERIES_CTE},
@@ -335,7 +335,11 @@ ORACLE_SQL = {
       SELECT query_id, pick, x.doc_id AS doc_id, x.section AS section, x.sentence AS sentence, x.score AS score FROM (SELECT query_id, unnest(p) AS x, generate_subscripts(p, 1) AS pick FROM (SELECT query_id, p FROM picked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pick DESC) = 1))""",
     "answer_passages": f"WITH {_TIERS} SELECT query_id, CASE WHEN n > 0 THEN 'supported' ELSE 'no supporting passage found' END AS status, n AS n_passages FROM (SELECT query_id, CAST(sum(CAST(coverage >= 0.8 AND match_type = 'exact' AND rank <= 5 AS INTEGER)) AS BIGINT) AS n FROM best GROUP BY ALL)",
     "fuzzy_blocks": f"WITH {_FUZZY} SELECT term, count(*) AS n FROM blocks GROUP BY ALL",
-    "closest_terms": f"WITH {_FUZZY}, near AS (SELECT *, round(1 - CAST(levenshtein({_single("term")}, {_single("candidate")}) AS DOUBLE) / greatest(length(term), length(candidate)), 6) AS similarity FROM blocks) SELECT term, candidate, similarity FROM near WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, candidate) = 1",
+    "closest_terms": f"""WITH RECURSIVE {_FUZZY},
+      parts AS (SELECT term, candidate, candidate AS a, term AS b, {_RUN("candidate", "term")} AS r FROM blocks UNION ALL SELECT term, candidate, p.a, p.b, {_RUN("p.a", "p.b")} FROM (
+        SELECT term, candidate, unnest([{{'a': left(a, r.a - 1), 'b': left(b, r.b - 1)}}, {{'a': substring(a, r.a + r.size), 'b': substring(b, r.b + r.size)}}]) AS p FROM (SELECT term, candidate, a, b, {{'size': r.size, 'a': -r.a, 'b': -r.b}} AS r FROM parts WHERE r IS NOT NULL)) WHERE p.a <> '' AND p.b <> ''),
+      rated AS (SELECT term, candidate, CAST(2 * sum(coalesce(r.size, 0)) AS DOUBLE) / (length(term) + length(candidate)) AS s FROM parts GROUP BY term, candidate)
+      SELECT term, candidate, round(s, 6) AS similarity FROM rated WHERE s >= 0.78::DOUBLE QUALIFY row_number() OVER (PARTITION BY term ORDER BY s DESC, candidate DESC) = 1""",
     "summaries": f"""WITH {_TOKENED}, base AS (SELECT *, {content('w')} AS terms FROM tokened), s AS (SELECT doc_id, section, count(*) AS s FROM base GROUP BY ALL),
       f AS (SELECT doc_id, section, sentence, term, count(*) AS f FROM (SELECT doc_id, section, sentence, unnest(terms) AS term FROM base) GROUP BY ALL),
       c AS (SELECT doc_id, section, term, count(*) AS c FROM f GROUP BY ALL),

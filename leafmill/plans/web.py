@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +9,13 @@ from leafmill.functions.markup import narration_events as events_of
 from leafmill.functions.markup import sentence_rows as rows_of
 from leafmill.operators import passages as pg
 from leafmill.operators.vectors import embed_by_hashing
-from leafmill.plans.common import LINES, PASSAGES, lines, table
+from leafmill.plans.common import LINES, PASSAGES, clean, files_of, lines, scratch, table
 from leafmill.plans.library import ORACLE_SQL as LIBRARY_SQL
+from leafmill.plans.search import ORACLE_SQL as SEARCH_SQL
 from leafmill.sources import html
 from leafmill.sources.layout import layout_lines as lines_of
 from leafmill.streaming import jobs
+from leafmill.streaming.incremental import IncrementalIndex
 
 
 def html_blocks(spark, d):
@@ -70,14 +69,6 @@ def typographic_headings(spark, d):
 # ---- streams: each reads the table's folder as a stream, in the shared folder of spark.checkpoint.dir
 
 
-def _scratch(spark: SparkSession) -> str:
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="leafmill-")
-    return f"{folder}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     """The table's file or folder as a stream of files."""
     rows = table(spark, d, name)
@@ -88,16 +79,51 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("micros", F.unix_micros("ts"))
 
 
+_FOLLOWED: dict[tuple, IncrementalIndex] = {}
+
+
+def _followed(spark: SparkSession, d: str) -> IncrementalIndex:
+    """An index that has followed the documents through three drops, a stream of files. The first has two documents of three,
+    one of them without its last line; the second the third one, and one that hasn't changed; the last one all of them."""
+    name = (spark.sparkContext.applicationId, d, files_of(spark, f"{d}/documents.parquet"))
+    if name in _FOLLOWED:  # another query of the session has run the stream
+        return _FOLLOWED[name]
+    at = scratch(spark, "stream")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    part, parts = F.pmod("doc_id", F.lit(3)), F.split("text", "\n")
+    cut = F.when((part == 1) & (F.size(parts) > 1), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "\n")).otherwise(F.col("text"))
+    drops = docs.filter(part != 0).withColumn("text", cut), docs.filter(part != 1), docs
+    index = IncrementalIndex(spark, f"{at}/index")
+    for n, rows in enumerate(drops):
+        rows.write.parquet(f"{at}/drops/{n}")
+        stream = jobs.new_files(spark, f"{at}/drops/*", docs.schema, per_batch=1_000_000)
+        jobs.drain(stream.writeStream.foreachBatch(index.update()), f"{at}/checkpoint")
+    _FOLLOWED[name] = index
+    return index
+
+
 def incremental_index(spark, d):
-    """The index that a stream of the documents leaves behind."""
-    at = _scratch(spark)
-    table_ = jobs.BatchLog(spark, f"{at}/index", jobs.INDEX)
-    jobs.drain(_stream(spark, d, "documents").select("doc_id", "text", "lang").writeStream.foreachBatch(jobs.update_index(table_)), f"{at}/checkpoint")
-    return jobs.current_index(table_).select("doc_id", "section", "sentence", "citation", "text")
+    return _followed(spark, d).passages().select("doc_id", "section", "sentence", "citation", "text")
+
+
+def incremental_postings(spark, d):
+    return _followed(spark, d).postings().withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
+
+
+def incremental_frequencies(spark, d):
+    return _followed(spark, d).frequencies()
+
+
+def incremental_statistics(spark, d):
+    return _followed(spark, d).statistics().withColumn("mean_length", F.round("mean_length", 6))
+
+
+def incremental_changes(spark, d):
+    return _followed(spark, d).changes()
 
 
 def position_upserts(spark, d):
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     table_ = jobs.BatchLog(spark, f"{at}/positions", "user_id long, event_type string, ts timestamp, event_id long, value double")
     jobs.drain(_timed(spark, d).drop("props", "micros").writeStream.foreachBatch(jobs.upsert_latest(table_, ["user_id", "event_type"], ["ts", "event_id"])), f"{at}/checkpoint")
     return jobs.latest(table_.read().drop("v"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
@@ -105,7 +131,7 @@ def position_upserts(spark, d):
 
 def resumable_embedding(spark, d):
     """Vectors of all documents, of which those of the first half were there before."""
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     schema = "doc_id long, hash string, model string, embedding array<float>"
     table_ = jobs.BatchLog(spark, f"{at}/vectors", schema)
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -117,7 +143,7 @@ def resumable_embedding(spark, d):
 
 def ingest_queue(spark, d):
     """Each row once, however many batches the files come in, and deleted users' rows not at all."""
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     table_ = jobs.BatchLog(spark, f"{at}/rows", "event_id long, user_id long")
     deleted = lambda: table(spark, d, "events").filter("user_id % 7 = 0").select("user_id")
     jobs.drain(_stream(spark, d, "events").select("event_id", "user_id").writeStream.foreachBatch(jobs.drop_deleted(table_, deleted, "user_id")), f"{at}/checkpoint")
@@ -125,7 +151,7 @@ def ingest_queue(spark, d):
 
 
 def _to_table(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     jobs.drain(stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/out"), f"{at}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -154,7 +180,7 @@ def streamed_changes(spark, d):
     return _to_table(spark, jobs.change_feed(_timed(spark, d).select("user_id", "event_id", "ts", "micros", F.col("event_type").alias("payload"))))
 
 
-QUERIES = {f.__name__: f for f in (html_blocks, html_blocks_plain, html_sections, html_links, narration_events, markup_sentences, layout_lines, typographic_headings, incremental_index, position_upserts, resumable_embedding, ingest_queue, streamed_dedupe, streamed_undo, streamed_limits, streamed_changes)}
+QUERIES = {f.__name__: f for f in (html_blocks, html_blocks_plain, html_sections, html_links, narration_events, markup_sentences, layout_lines, typographic_headings, incremental_index, incremental_postings, incremental_frequencies, incremental_statistics, incremental_changes, position_upserts, resumable_embedding, ingest_queue, streamed_dedupe, streamed_undo, streamed_limits, streamed_changes)}
 
 _BODY = "html"
 for _name in sorted(html.DROPPED):
@@ -191,6 +217,15 @@ ORACLE_SQL = {
       joined AS (SELECT *, url_decode(CASE WHEN r = '' THEN base WHEN starts_with(r, '/') THEN r ELSE regexp_replace(base, '[^/]*$', '') || r END) AS f, NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT starts_with(href, '//') AS ok FROM full_)
       SELECT page_id, link_no, href, label, CASE WHEN ok THEN '/' || array_to_string(list_filter(string_split(f, '/'), lambda x: x <> '' AND x <> '.'), '/') END AS path, ok FROM joined""",
     "incremental_index": f"WITH {PASSAGES} SELECT doc_id, section, sentence, citation, text FROM passages",
+    "incremental_postings": SEARCH_SQL["postings"],
+    "incremental_frequencies": SEARCH_SQL["document_frequencies"],
+    "incremental_statistics": SEARCH_SQL["index_stats"],
+    # a line is a section: the first drop lacks the passages of the last line of a document in three, the last one brings them
+    "incremental_changes": f"""WITH {PASSAGES}, cut AS (SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10))[:-2], lambda l: {clean("l")}), lambda l: l <> '')) AS n FROM documents WHERE doc_id % 3 = 1 AND contains(text, chr(10))),
+      p AS (SELECT doc_id % 3 AS part, doc_id, coalesce(section >= n, false) AS late, n IS NOT NULL AS cut FROM passages LEFT JOIN cut USING (doc_id)),
+      rows_ AS (SELECT CASE WHEN part = 0 THEN 1 WHEN late THEN 2 ELSE 0 END AS batch, 'insert' AS change FROM p
+        UNION ALL SELECT 2, 'unchanged' FROM p WHERE cut AND NOT late AND doc_id IN (SELECT doc_id FROM cut))
+      SELECT batch, change, count(*) AS n FROM rows_ GROUP BY batch, change""",
     "position_upserts": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "resumable_embedding": "SELECT doc_id, sha256(text) AS hash, 64 AS dim FROM documents",
     "ingest_queue": "SELECT event_id, user_id FROM events WHERE user_id % 7 <> 0",

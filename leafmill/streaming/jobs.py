@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from leafmill.operators.index import index_diff, with_hash
-from leafmill.operators.passages import passages_of
-
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -65,6 +62,10 @@ class BatchLog:
             out = out.unionByName(self.spark.read.option("basePath", self.folder).schema(kinds).parquet(*paths))
         return out
 
+    def batch(self, version: int) -> DataFrame:
+        """The rows that one batch has written."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={version}")
+
     def write(self, version: int, rows: DataFrame, current: Callable[[DataFrame], DataFrame]) -> None:
         """What batch `version` adds; current picks the rows that count from those of read()."""
         self._put(f"v={version}", rows)
@@ -81,34 +82,6 @@ def of_last_batch(rows: DataFrame, *key: str) -> DataFrame:
     return rows.withColumn("_last", last).filter(F.col("v") == F.col("_last")).drop("_last")
 
 
-INDEX = "doc_id long, section int, sentence int, citation string, text string, title string, hash string"
-
-
-def update_index(table: BatchLog) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch on documents (doc_id, text): documents of the batch replace their earlier rows; current_index reads
-    the result. A row without a section says that the batch has the document, also if it has no passages any more."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        fresh = with_hash(passages_of(batch)).select(*table.schema.names)
-        table.write(batch_id, fresh.unionByName(batch.select("doc_id").distinct(), allowMissingColumns=True), _passages)
-
-    return run
-
-
-def _passages(rows: DataFrame) -> DataFrame:
-    return of_last_batch(rows, "doc_id").filter(F.col("section").isNotNull()).drop("v")
-
-
-def current_index(table: BatchLog, before: int | None = None) -> DataFrame:
-    """Passages as they are after the last batch, or the last one below `before`."""
-    return _passages(table.read(before))
-
-
-def index_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(change, n) between two versions of the index."""
-    return index_diff(before, after, ["doc_id", "section", "sentence"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
-
-
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by order."""
     facts = [c for c in rows.columns if c not in (*key, *order)]

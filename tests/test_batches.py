@@ -4,25 +4,43 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import library
+from leafmill.operators.index import document_frequencies, postings, statistics, with_hash
+from leafmill.operators.passages import passages_of
 from leafmill.streaming import jobs
+from leafmill.streaming.incremental import IncrementalIndex
+
+
+TEXTS = "doc_id long, text string, lang string"
 
 
 @pytest.mark.parametrize("fold", [1, 2, 64])
 def test_an_index_is_that_of_the_last_texts(spark, tmp_path, fold):
-    batches = [{1: "One is here. It stays.", 2: "Two is here.", 3: "Three goes."}, {2: "Two was changed. And grew.", 3: ""}, {4: None, 1: "One again."}, {3: "Three is back."}]
-    table = jobs.BatchLog(spark, str(tmp_path / "index"), jobs.INDEX, fold)
-    run, now = jobs.update_index(table), {}
+    batches = [{1: "One is here. It stays.", 2: "Two is here.", 3: "Three goes."}, {2: "Two was changed. And grew.", 3: ""}, {4: None, 1: "One again. One title."}, {3: "Three is back.", 2: "Two was changed. And grew."}]
+    index, now = IncrementalIndex(spark, str(tmp_path / "index"), fold), {}
     for i, texts in enumerate(batches):
-        batch = spark.createDataFrame([(k, v, "en") for k, v in texts.items()], "doc_id long, text string, lang string")
+        batch = spark.createDataFrame([(k, v, "en") for k, v in texts.items()], TEXTS)
         for _ in range(2):  # as after a failure
-            run(batch, i)
+            index.update()(batch, i)
         now |= texts
-        whole = jobs.BatchLog(spark, str(tmp_path / f"whole{i}"), jobs.INDEX)
-        jobs.update_index(whole)(spark.createDataFrame([(k, v, "en") for k, v in now.items()], "doc_id long, text string, lang string"), 0)
-        got, want = jobs.current_index(table), jobs.current_index(whole)
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-        assert {r[0] for r in got.select("doc_id").collect()} == {k for k, v in now.items() if v}
-    assert spark.read.parquet(str(tmp_path / "index" / "v=3")).select("doc_id").distinct().count() == 1  # the batch's own rows only
+        want = with_hash(passages_of(spark.createDataFrame([(k, v, "en") for k, v in now.items()], TEXTS)))
+        same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+        assert same(index.passages(), want)
+        assert same(index.postings(), postings(want))
+        assert same(index.frequencies(), document_frequencies(postings(want)))
+        assert same(index.statistics(), statistics(want))
+    assert {tuple(r) for r in index.changes().collect()} == {(0, "insert", 4), (1, "update", 1), (1, "insert", 1), (1, "delete", 1), (2, "update", 2), (3, "insert", 1)}
+    written = lambda v: spark.read.parquet(str(tmp_path / "index" / "passages" / f"v={v}"))
+    assert {r["doc_id"] for r in written(3).collect()} == {3}  # an unchanged document isn't written again
+
+
+def test_one_row_of_a_document_counts_in_a_batch(spark, tmp_path):
+    rows = [(1, "First text. More.", "en", 5), (1, "A later one.", "en", 7), (None, "No id.", "en", 1), (1, "First text. More.", "en", 6)]
+    batch = spark.createDataFrame(rows, f"{TEXTS}, at long")
+    index = IncrementalIndex(spark, str(tmp_path / "index"))
+    index.update(order=[F.col("at")])(batch, 0)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in index.passages().collect()) == [(0, "No id."), (1, "A later one.")]
+    index.update()(batch.filter("doc_id IS NULL"), 1)
+    assert [r for r in index.changes().collect() if r["batch"] == 1] == []
 
 
 def test_upserts_and_additions(spark, tmp_path):
