@@ -59,7 +59,7 @@ def test_stored_lists_answer_as_those_made_at_once(spark, tmp_path):
     lists = term_lists(passages, buckets=4)
     saved = store_lists(lists, str(tmp_path), buckets=4)
     assert sorted(map(tuple, bm25(saved, queries).collect())) == sorted(map(tuple, bm25(lists, queries).collect()))
-    hits = hits_of(saved, queries)
+    hits = hits_of(saved, F.broadcast(queries))
     plan = hits.groupBy("bucket", "query_id", "doc_id", "section", "sentence").agg(F.sum("impact").alias("s"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(bucket" not in plan and "hashpartitioning(query_id" not in plan  # hits are summed up where they are
     assert {r["query_id"] for r in hits.collect()} == {1, 2}
