@@ -98,12 +98,12 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
                     owner.append(i)
                     rows.append((piece, begin, stop - begin, zlib.crc32(part), part))
                     begin = stop
-            columns = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))]
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[k] for r in rows], pa.int64() if k else pa.int32()) for k in range(4))]
             if ids:
                 columns.append(pa.array([np.frombuffer(r[4], "<u4").astype(np.int32) for r in rows], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids_crc32", *["ids"] * ids])
 
-    fields = [T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32"))]
+    fields = [T.StructField(key, kind), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))]
     return docs.select(key, text).mapInArrow(run, T.StructType([*fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids]))
 
 
