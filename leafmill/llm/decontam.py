@@ -26,13 +26,16 @@ SIZE = 10
 
 @dataclass
 class Tests:
-    """Test items as numbers of words, from 1; suffix[k] is (item, start) and size[k] the words of its window."""
+    """Test items as numbers of words, from 1. suffix[k] is (item, start) of the first of all windows with the same words and
+    size[k] is their number; owners[edges[k]:edges[k + 1]] are the items that have such a window."""
 
     names: list[str]
     vocabulary: np.ndarray
     items: list[np.ndarray]
     suffix: np.ndarray
     size: np.ndarray
+    owners: np.ndarray
+    edges: np.ndarray
 
     @property
     def bits(self) -> int:
@@ -48,7 +51,17 @@ def prepare(names: list[str], texts: list[str | None], size: int = SIZE) -> Test
     items = [number[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
     pairs = [(i, j) for i, item in enumerate(items) for j in range(max(1, len(item) - size + 1) if len(item) else 0)]
     suffix = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-    return Tests(names, vocabulary, items, suffix, np.array([min(size, len(items[i])) for i, _ in pairs], dtype=np.int64))
+    sizes = np.array([min(size, len(items[i])) for i, _ in pairs], dtype=np.int64)
+    flat = np.concatenate([*items, np.zeros(1, np.int64)])
+    base = np.concatenate([[0], np.cumsum([len(x) for x in items])])[suffix[:, 0]] + suffix[:, 1]
+    windows = np.stack([np.where(j < sizes, flat[np.minimum(base + j, len(flat) - 1)], 0).astype(np.int32) for j in range(size)])
+    order = np.lexsort(windows[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (windows[:, order[1:]] != windows[:, order[:-1]]).any(axis=0)
+    owned = np.unique((np.cumsum(new) - 1) * max(1, len(items)) + suffix[order, 0])
+    edges = np.searchsorted(owned, np.arange(int(new.sum()) + 1) * max(1, len(items)))
+    first = order[new]  # the order is stable, so it is the first item of each that has the window
+    return Tests(names, vocabulary, items, suffix[first], sizes[first], owned % max(1, len(items)), edges)
 
 
 def _keys(sequence: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
@@ -113,8 +126,9 @@ def search(sequence: np.ndarray, array: np.ndarray, tests: Tests) -> tuple[np.nd
     return low, high
 
 
-def match(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and rows (text, start, item, start there, words) of longest verbatim matches, sorted."""
+def match(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Words of each text, rows (text, start, item, start there, words) of longest verbatim matches, sorted, and the items
+    of each text. A window of several items makes matches of the first one only, so a place has one for each size at most."""
     words = find_words(texts, NOT_ALNUM, lower=True)
     h, n = words.hashes(), len(texts)
     at = np.minimum(np.searchsorted(tests.vocabulary, h), max(0, len(tests.vocabulary) - 1))
@@ -131,16 +145,21 @@ def match(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
     k = np.repeat(np.arange(len(hits)), hits)
     p = array[np.repeat(low, hits) + np.arange(len(k)) - np.repeat(np.cumsum(hits) - hits, hits)]
     item, there = tests.suffix[k, 0], tests.suffix[k, 1]
+    starts = words.first[:-1] + np.arange(n)  # of texts in the sequence
+    pairs = np.unique((np.searchsorted(starts, p, side="right") - 1) * max(1, len(tests.suffix)) + k)
+    owners = [[] for _ in range(n)]
+    for text, window in zip((pairs // max(1, len(tests.suffix))).tolist(), (pairs % max(1, len(tests.suffix))).tolist(), strict=True):
+        owners[text].append(tests.owners[tests.edges[window] : tests.edges[window + 1]])
+    found = [np.unique(np.concatenate(x)).tolist() if x else [] for x in owners]
     order = np.lexsort((there, p - there, item))
     item, there, p, size = item[order], there[order], p[order], tests.size[k][order]
     new = np.ones(len(p), bool)
     new[1:] = (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (there[1:] != there[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1 if len(p) else first
-    starts = words.first[:-1] + np.arange(n)  # of texts in the sequence
     text = np.searchsorted(starts, p[first], side="right") - 1
     rows = np.stack([text, p[first] - starts[text] if n else text, item[first], there[first], last - first + size[first]], axis=1)
-    return words.counts(), rows[np.lexsort(rows.T[::-1])]
+    return words.counts(), rows[np.lexsort(rows.T[::-1])], found
 
 
 _MATCH = ("item", "item_start", "start", "words")
@@ -156,7 +175,8 @@ def with_matches(docs: DataFrame, tests: DataFrame, text: str = "text", item: st
 
     A window is `size` consecutive words of an item, or all words of a shorter one. n_hit counts the words inside any
     place where a window stands, items lists the items that own these windows, as distinct sorted strings, and matches
-    has the longest verbatim matches as (item, item_start, start, words), counted in words from 0. Words are runs of
+    has the longest verbatim matches as (item, item_start, start, words), counted in words from 0; of items that share a
+    window the first one of a part is named there, so a text has no more of them than places times sizes. Words are runs of
     ASCII letters and digits and of characters outside ASCII, A-Z in lower case. Null texts and items have none; items
     without a name or words match nothing. Test texts of more than part_bytes are searched for in several parts.
     A column of the new one's name is replaced.
@@ -181,14 +201,14 @@ def _with_part(docs: DataFrame, shared, text: str, into: str, first: bool) -> Da
         for whole in batches:
             for a, b in slices(whole.column(at), 1 << 22):
                 batch = whole.slice(a, b - a)
-                counts, rows = match(batch.column(at), tests)
-                found: list[list[dict]] = [[] for _ in counts] if first else [x["matches"] for x in batch.column(batch.schema.names.index(into)).to_pylist()]
+                counts, rows, owners = match(batch.column(at), tests)
+                before = [] if first else batch.column(batch.schema.names.index(into)).to_pylist()
+                found: list[list[dict]] = [x["matches"] for x in before] or [[] for _ in counts]
+                items = [{tests.names[k] for k in x} for x in owners]
                 for i, start, item, there, size in rows.tolist():
                     found[i].append({"item": tests.names[item], "item_start": there, "start": start, "words": size})
-                values = [
-                    {"n_words": n, "n_hit": _union([(m["start"], m["words"]) for m in f]), "items": sorted({m["item"] for m in f}), "matches": f}
-                    for n, f in zip(counts.tolist(), found, strict=True)
-                ]
+                items = [x.union(y["items"]) for x, y in zip(items, before, strict=True)] if before else items
+                values = [{"n_words": n, "n_hit": _union([(m["start"], m["words"]) for m in f]), "items": sorted(x), "matches": f} for n, f, x in zip(counts.tolist(), found, items, strict=True)]
                 kept = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if first or n != into]
                 yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), pa.array(values, _ARROW)], names=[*(n for _, n in kept), into])
 
