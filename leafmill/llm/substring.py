@@ -124,14 +124,14 @@ def remove_repeats(docs: DataFrame, size: int = 20, key: str = "doc_id", text: s
 
     Null or empty texts have no words and give an empty text; texts shorter than a window stay whole. Rows with a null
     key come after all others. Rows that repeat a key count as one document written again: they don't make each other's
-    windows earlier at the same start. Keys that aren't whole numbers are first ranked by a sort; rows that repeat one of
-    them count as documents one after the other. Other columns are ignored.
+    windows earlier at the same start. Keys that aren't whole numbers are first ranked, each once, by a sort. Other columns
+    are ignored.
     """
     if not isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        ranked = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).orderBy(F.col("_key").asc_nulls_last())
-        ranked = stored(ranked.withColumn("_rank", F.monotonically_increasing_id()), "ranked")
-        out = remove_repeats(ranked, size, "_rank", "text", depth, load, block_chars)
-        return out.join(ranked.select("_rank", "_key"), "_rank").select(F.col("_key").alias(key), "n_words", "n_removed", "kept_text")
+        keys = stored(docs.select(F.col(key).alias("_key")).distinct().orderBy(F.col("_key").asc_nulls_last()).withColumn("_rank", F.monotonically_increasing_id()), "ranked")
+        numbered = docs.select(F.col(key).alias("_own"), F.col(text).alias("text")).join(keys, F.col("_own").eqNullSafe(F.col("_key"))).select("_rank", "text")
+        out = remove_repeats(numbered, size, "_rank", "text", depth, load, block_chars)
+        return out.join(keys, "_rank").select(F.col("_key").alias(key), "n_words", "n_removed", "kept_text")
     chars = text_size(docs, text)
     blocks = block_count(chars, block_chars)
     shard_bits = max(5, (blocks - 1).bit_length())

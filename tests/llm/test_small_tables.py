@@ -80,3 +80,30 @@ def test_matching_statistics_equal_brute_force():
             longest = max(n for n in range(k + 2) if not n or has(text[k + 1 - n : k + 1], seq))
             n, _ = auto.reach[state].get(s, (0, 0))
             assert (size if n is None else n) == longest
+
+
+def test_rows_that_repeat_a_key_are_one_document_whatever_its_type(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [("b", text), ("b", text), ("c", f"x {text}"), (None, text), (None, text)]
+    for kind, keys in (("string", "bbc"), ("bigint", (2, 2, 3))):
+        docs = spark.createDataFrame([(k, t) for k, (_, t) in zip([*keys, None, None], rows, strict=True)], f"doc_id {kind}, text string")
+        got = sorted((r["doc_id"] is None, str(r["doc_id"]), r["n_removed"]) for r in substring.remove_repeats(docs, size=20).collect())
+        assert [n for *_, n in got] == [0, 0, 30, 30, 30]
+
+
+def test_windows_that_items_share_make_no_product(spark):
+    items = spark.createDataFrame([(f"i{k:03}", "same") for k in range(300)] + [("z", "same same"), ("q", "other")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "same " * 300), (2, "an other one"), (3, None)], "doc_id long, text string")
+    for part_bytes in (32 << 20, 200):
+        got = {r["doc_id"]: r["contamination"] for r in decontam.with_matches(docs, items, part_bytes=part_bytes).collect()}
+        assert got[1]["n_hit"] == 300 and got[1]["items"] == sorted([*(f"i{k:03}" for k in range(300)), "z"])
+        assert got[2]["items"] == ["q"] and [tuple(m) for m in got[2]["matches"]] == [("q", 0, 1, 1)] and got[3]["n_hit"] == 0
+    one = decontam.with_matches(docs, items).filter("doc_id = 1").first()["contamination"]
+    assert len(one["matches"]) <= 600
+
+
+def test_pieces_have_the_columns_asked_for(spark):
+    import public_tokenizers
+
+    out = packing.pack_documents(table(spark, KEYS["bigint"], "bigint"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert dict(out.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
