@@ -35,7 +35,7 @@ class ByteTokens:
     """A byte-level BPE vocabulary: ids of texts, and the bytes of each id."""
 
     def __init__(self, vocabulary: bytes):
-        self.coder = Tokenizer(vocabulary, special=False)
+        self.coder = Tokenizer(vocabulary, most=1 << 18, special=False)
         entries = {i: bytes(b) for b, i in self.coder.encoding._mergeable_ranks.items()}
         entries |= {i: s.encode() for s, i in self.coder.special.items()}
         self.bytes = _table(entries)
@@ -56,6 +56,12 @@ class PieceTokens:
         return [np.array(x, np.int64) for x in self.coder.encode(texts, num_threads=1)]
 
 
+def _joined(entries: pa.Array, ids: np.ndarray) -> bytes:
+    """The bytes of tokens, one after another."""
+    found = entries.take(pa.array(ids))
+    return found.buffers()[2].to_pybytes()[: np.frombuffer(found.buffers()[1], np.int64)[len(ids)]] if len(ids) else b""
+
+
 def _table(entries: dict[int, bytes]) -> pa.Array:
     return pa.array([entries.get(i, b"") for i in range(max(entries) + 1)], pa.large_binary())
 
@@ -111,7 +117,7 @@ def _large(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[:1].decode()}", offset=1).astype(np.int64)
 
 
-def align(docs: DataFrame, bytes_vocabulary: str, pieces_model: str, key: str = "doc_id", text: str = "text", digest: bool = False, block_bytes: int = 1 << 22) -> DataFrame:
+def align(docs: DataFrame, bytes_vocabulary: str, pieces_model: str, key: str = "doc_id", text: str = "text", digest: bool = False, block_bytes: int = 1 << 21) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups): each text under two tokenizers.
 
     A is the byte-level BPE of bytes_vocabulary on a space and the text, B the sentencepiece model of pieces_model on the
@@ -138,8 +144,7 @@ def align(docs: DataFrame, bytes_vocabulary: str, pieces_model: str, key: str =
             for first, last in slices(batch.column(1), block_bytes):
                 texts = [x or "" for x in batch.column(1).slice(first, last - first).to_pylist()]
                 ids = [c.ids(texts) for c in coders]
-                same = [bool(x) and all((b" " + x.encode()) == b"".join(c.bytes.take(pa.array(i[k])).to_pylist()) for c, i in zip(coders, ids, strict=True)) for k, x in enumerate(texts)]
-                kept = [k for k, ok in enumerate(same) if ok]
+                kept = [k for k, x in enumerate(texts) if x and all(_joined(c.bytes, i[k]) == b" " + x.encode() for c, i in zip(coders, ids, strict=True))]
                 a, b = (_Side(i, kept, s) for i, s in zip(ids, sizes, strict=True))
                 left, right = links(a, b)
                 common = np.intersect1d(a.ends, b.ends, assume_unique=True)
