@@ -119,6 +119,12 @@ class Scanner:
         for words, label in self.phrases:
             self.starts[words[0]].append((words, label))
         self.least, self.gap, self.share = least, gap, share
+        self.at: list[dict[tuple[bytes, ...], list[int]]] = []
+        for own in self.words:
+            places: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
+            for t in range(len(own) - least + 1):
+                places[tuple(own[t : t + least])].append(t)
+            self.at.append(places)
 
     def base(self, words: list[bytes]) -> list[tuple[int, str]]:
         """(start, label) of each place where a phrase's words stand."""
@@ -156,22 +162,50 @@ class Scanner:
             i = j
         return out
 
+    def places(self, template: int, run: list[bytes]) -> list[int]:
+        """All places where a run of words stands in a template."""
+        own, n = self.words[template], len(run)
+        return [t for t in self.at[template].get(tuple(run[: self.least]), ()) if own[t : t + n] == run]
+
+    def _chain(self, found: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
+        """Of matches (place, place in the template, words), sorted, the chain that covers the most of the template: places
+        ascend on both sides, and no more than `gap` words lie between one match and the next."""
+        best: list[tuple[int, int]] = []  # words covered by the best chain that ends here, and the match before
+        longest = max(size for *_, size in found)
+        for k, (here, there, size) in enumerate(found):
+            value, before = size, -1
+            for q in range(k - 1, -1, -1):
+                h, t, n = found[q]
+                if here - h > longest + self.gap:
+                    break
+                if h < here <= h + n + self.gap and t < there and (more := best[q][0] + size - max(0, t + n - there)) > value:
+                    value, before = more, q
+            best.append((value, before))
+        k = max(range(len(best)), key=lambda k: best[k][0])
+        value, chain = best[k][0], []
+        while k >= 0:
+            chain.append(found[k])
+            k = best[k][1]
+        return value, chain[::-1]
+
     def spans(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, share of the template covered) of chains that cover at least `share` of one."""
+        """(label, first word, end, share of the template covered) of chains that cover at least `share` of one. What stands
+        before and behind a chain is looked through likewise."""
         by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for template, there, here, size in self.matches(words):
-            by[template].append((here, there, size))
+        for template, _, here, size in self.matches(words):
+            by[template] += [(here, there, size) for there in self.places(template, words[here : here + size])]
         out = []
         for template, found in by.items():
-            chain: list[tuple[int, int, int]] = []
-            for here, there, size in [*sorted(found), (1 << 60, -1, 0)]:
-                if chain and (there < chain[-1][1] or here - chain[-1][0] - chain[-1][2] > self.gap):
-                    covered = {t + i for _, t, s in chain for i in range(s)}
-                    part = len(covered) / len(self.words[template])
-                    if part >= self.share:
-                        out.append((self.names[template], chain[0][0], chain[-1][0] + chain[-1][2], part))
-                    chain = []
-                chain.append((here, there, size))
+            todo = [sorted(found)]
+            while todo:
+                if not (part := todo.pop()):
+                    continue
+                covered, chain = self._chain(part)
+                if (share := min(1.0, covered / len(self.words[template]))) < self.share:
+                    continue
+                begin, end = chain[0][0], max(h + n for h, _, n in chain)
+                out.append((self.names[template], begin, end, share))
+                todo += [[m for m in part if m[0] + m[2] <= begin], [m for m in part if m[0] >= end]]
         return sorted(out, key=lambda s: s[1:3])
 
 
