@@ -10,10 +10,11 @@ from __future__ import annotations
 import json
 import re
 from base64 import b64decode
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import cache
 from math import log10
 from pathlib import Path
+from types import MappingProxyType
 
 import public_tokenizers
 import pyarrow as pa
@@ -21,6 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: log10 of the guesses that make a value a secret: more than two words of the vocabularies take, and less than eight
+#: characters of all kinds.
+LEAST_COST = 9.0
 #: Kinds of spans, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -50,23 +54,40 @@ _WORD_MOST, _PART_LEAST = 24, 4
 
 
 @cache
-def known_words() -> frozenset[str]:
-    """Words of three letters and more that the tokenizers' vocabularies, English and multilingual, hold with a space
-    before them, that is the frequent words of large corpora; in lower case. No value of the scanned texts gets in."""
+def known_words() -> dict[str, int]:
+    """Ranks of words of three letters and more that the tokenizers' vocabularies, English and multilingual, hold with a
+    space before them, that is the frequent words of large corpora; in lower case. A vocabulary lists the more frequent
+    ones first, and a word has the better of its ranks. No value of the scanned texts gets in."""
     vocabulary = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text("utf-8"))["model"]["vocab"]
-    held = [" " + t[1:] for t in vocabulary if t[0] == "Ġ" and t[1:].isascii()]
-    for line in Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_text("ascii").splitlines():
-        held.append(b64decode(line.partition(" ")[0]).decode("utf-8", "replace"))
-    return frozenset(t[1:].lower() for t in held if 3 < len(t) <= _WORD_MOST + 1 and t[0] == " " and _PROSE.fullmatch(t, 1) and "\ufffd" not in t)
-
-
-def guess_cost(value: str, words: frozenset[str] = frozenset()) -> float:
+    english = [" " + t[1:] for t in sorted(vocabulary, key=vocabulary.get) if t[0] == "Ġ" and t[1:].isascii()]
+    lines = (line.split() for line in Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_text("ascii").splitlines())
+    every = [b64decode(token).decode("utf-8", "replace") for token, _ in sorted(lines, key=lambda x: int(x[1]))]
+    ranks: dict[str, int] = {}
+    for tokens in (english, every):
+        words = [t[1:].lower() for t in tokens if 3 < len(t) <= _WORD_MOST + 1 and t[0] == " " and _PROSE.fullmatch(t, 1) and "\ufffd" not in t]
+        for rank, word in enumerate(dict.fromkeys(words), 1):
+            ranks[word] = min(rank, ranks.get(word, rank))
+    return ranks
+
+
+def _single_costs(value: str) -> list[float]:
+    """log10 of the guesses for each character on its own: as many as its kind has, marks that join words being one. A letter
+    that goes on in the case of the one before takes ten, as runs of letters can mostly be spoken."""
+    sizes, out, before = {"lower": 26, "upper": 26, "digit": 10, "joint": 4, "other": 29}, [], ""
+    for c in value:
+        kind = "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "joint" if c in "._-/" else "other"
+        out.append(1.0 if kind == before and kind in ("lower", "upper") else log10(sizes[kind]))
+        before = kind
+    return out
+
+
+def guess_cost(value: str, words: Mapping[str, int] = MappingProxyType({})) -> float:
     """log10 of the guesses that the cheapest segmentation of value takes. Linear in its length but for short words.
 
-    A letter costs fewer guesses in one of words, in one case, than on its own. Other runs of letters are brute force.
+    A word of `words` in one case takes as many guesses as its rank, a hundred at least. Other runs of letters are brute force.
     """
     n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-    plain = low.translate(LEET)
+    plain, single = low.translate(LEET), _single_costs(value)
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by start: (end, cost)
     for m in _DATE.finditer(value):
         ends[m.start()].append((m.end(), log10(365 * 120)))
@@ -74,8 +95,8 @@ def guess_cost(value: str, words: frozenset[str] = frozenset()) -> float:
         a, b = m.span()
         for i in range(a, b):
             for j in range(i + 3, min(b, i + _WORD_MOST) + 1):
-                if (j - i >= _PART_LEAST or (i, j) == (a, b)) and low[i:j] in words and (value[i + 1 : j].islower() or value[i:j].isupper()):
-                    ends[i].append((j, 1.0 + 0.45 * (j - i)))
+                if (j - i >= _PART_LEAST or (i, j) == (a, b)) and (rank := words.get(low[i:j])) and (value[i + 1 : j].islower() or value[i:j].isupper()):
+                    ends[i].append((j, log10(max(100, rank))))
     i = 0
     while i < n:  # repeats of one character, and walks
         j = i + 1
@@ -96,15 +117,15 @@ def guess_cost(value: str, words: frozenset[str] = frozenset()) -> float:
     best = [float("inf")] * (n + 1)
     best[0] = 0.0
     for i in range(n):
-        if best[i] + 1.0 < best[i + 1]:  # brute force: ten guesses a character
-            best[i + 1] = best[i] + 1.0
+        if best[i] + single[i] < best[i + 1]:  # brute force
+            best[i + 1] = best[i] + single[i]
         for end, cost in ends[i]:
             if best[i] + cost < best[end]:
                 best[end] = best[i] + cost
     return best[n]
 
 
-def find_spans(text: str, least_cost: float, words: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
+def find_spans(text: str, least_cost: float, words: Mapping[str, int] = MappingProxyType({})) -> list[tuple[int, int, int]]:
     """(start, kind as a place in KINDS, end), sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
@@ -117,7 +138,7 @@ def find_spans(text: str, least_cost: float, words: frozenset[str] = frozenset()
 _ITEM = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def with_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", least_cost: float = 10.0) -> DataFrame:
+def with_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", least_cost: float = LEAST_COST) -> DataFrame:
     """docs with an array of (kind, start, end) in one more column: code points from 0, end exclusive, by start and kind.
 
     assign, access and hex are fixed patterns; guess is a credential value that takes 10**least_cost guesses or more.
@@ -142,7 +163,7 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_cost: float = 10.0) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_cost: float = LEAST_COST) -> DataFrame:
     """docs with each secret in text replaced by mark. Overlapping spans become one. Texts without secrets stay as they are."""
     at = docs.columns.index(text)
     words = docs.sparkSession.sparkContext.broadcast(known_words())

@@ -107,3 +107,17 @@ def test_pieces_have_the_columns_asked_for(spark):
 
     out = packing.pack_documents(table(spark, KEYS["bigint"], "bigint"), public_tokenizers.path("byte_bpe_50k.json"))
     assert dict(out.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+
+
+def test_wording_that_a_template_repeats_is_laid_where_the_chain_goes_on():
+    """The second half of a template begins with words that its first half has too."""
+    again = "as is without any warranty"
+    template = f"alpha beta gamma {again} delta epsilon zeta eta {again} theta iota kappa lambda mu nu"
+    n = len(template.split())
+    scan = licenses.Scanner({"t": template}, {}, least=4, gap=12, share=0.2)
+    text = f"x {again} theta iota kappa lambda y"
+    assert scan.spans(licenses.words_of(text)) == [("t", 1, 10, 9 / n)]
+    parted = f"x {again} z theta iota kappa lambda y"
+    assert scan.spans(licenses.words_of(parted)) == [("t", 1, 11, 9 / n)]
+    twice = f"{template} {'far ' * 20} {template}"
+    assert [s[1:] for s in scan.spans(licenses.words_of(twice))] == [(0, n, 1.0), (n + 20, 2 * n + 20, 1.0)]

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from leafmill.llm import quality
-from leafmill.llm.secrets import known_words, find_spans
+from leafmill.llm.secrets import LEAST_COST, find_spans, known_words
 
 FOLDER = "/root/testdata/sf0.001"
 SOLID = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,7 +92,7 @@ def test_secret_scans(stages):
     assert set(given) == set(kept)
     words = known_words()
     for i, text in given.items():
-        spans, want, at = find_spans(text or "", 10.0, words), "", 0
+        spans, want, at = find_spans(text or "", LEAST_COST, words), "", 0
         inside = bytearray(len(text or ""))
         for a, _, b in spans:
             inside[a:b] = b"\1" * (b - a)
