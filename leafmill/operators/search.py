@@ -21,11 +21,20 @@ TIERS = {"phrase": 40, "exact": 40, "stem": 30, "partial": 20, "fuzzy": 10}
 _PLACE = ["section", "sentence"]
 
 
+def question_checks(rows: DataFrame, key: str, text: str, letters: int = 500) -> DataFrame:
+    """(query_id, n_letters, status) of each question: asked, without terms, or refused, as one of more than so many letters
+    is; it isn't cut. Null counts as empty."""
+    n = F.coalesce(F.length(text), F.lit(0))
+    found = F.size(content_terms(tokens(F.coalesce(text, F.lit(""))), least=2))
+    return rows.select(F.col(key).alias("query_id"), n.alias("n_letters"), F.when(n > letters, "refused").when(found == 0, "without terms").otherwise("asked").alias("status"))
+
+
 def as_queries(rows: DataFrame, key: str, text: str, letters: int = 500, terms: int = 24, least: int = 2) -> DataFrame:
-    """(query_id, terms): the distinct content terms of a question. A question has at most so many letters and terms; what
-    is longer is not asked for."""
-    found = content_terms(tokens(F.substring(F.col(text), 1, letters)), least=least)
-    return rows.select(F.col(key).alias("query_id"), F.slice(F.array_distinct(found), 1, terms).alias("terms")).filter(F.size("terms") > 0)
+    """(query_id, terms): the distinct content terms of a question, the first 24 of them. Questions of more than `letters`
+    are refused, and those without terms ask for nothing; question_checks tells both."""
+    found = content_terms(tokens(F.col(text)), least=least)
+    asked = rows.filter(F.length(text) <= letters)
+    return asked.select(F.col(key).alias("query_id"), F.slice(F.array_distinct(found), 1, terms).alias("terms")).filter(F.size("terms") > 0)
 
 
 def embedded(passages: DataFrame, vectors: DataFrame, model: str, key: str = "doc_id") -> DataFrame:

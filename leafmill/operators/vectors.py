@@ -1,60 +1,62 @@
-"""Nearest vectors, in blocks of queries, and the work of making vectors."""
+"""Nearest vectors, by tiles of queries and vectors, and the work of making vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
-
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", k: int = 20, least: float = 0.45, block: int = 4096) -> DataFrame:
-    """(query, key, cosine, rank): the k nearest vectors of each query, of those with a cosine of `least` or more.
 
-    Queries, a stated and bounded set, travel to the vectors in blocks; each batch of vectors gives its k best of each
-    query by one matrix product, and only these are shuffled. Null and zero vectors, and other sizes, match nothing.
-    """
-    kind, query_kind = vectors.schema[key].dataType, queries.schema[query].dataType
-    at = [vectors.columns.index(key), vectors.columns.index(vector)]
-    rows = queries.select(query, vector).dropna().collect()
-    parts = [rows[i : i + block] for i in range(0, len(rows), block)]
-    schema = T.StructType([T.StructField(query, query_kind), T.StructField(key, kind), T.StructField("cosine", T.DoubleType())])
-    names, arrow, out = schema.names, [to_arrow_type(query_kind), to_arrow_type(kind)], None
+def _rows_of(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By size: places and unit vectors of those that aren't null or zero and have no nulls."""
+    lists = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        m = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        norm = np.linalg.norm(m, axis=1)
+        ok = norm > 0  # not of those with nulls either, which come as NaN
+        out[size] = at[ok], m[ok] / norm[ok, None]
+    return out
 
-    def unit(values: list) -> np.ndarray:
-        m = np.array(values, dtype=np.float64).reshape(len(values), -1)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    for part in parts:
-        held = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in part], [list(r[1]) for r in part]))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, values = held.value
-            size = len(values[0])
-            asked = unit(values)
-            for batch in batches:
-                keys, rows = batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist()
-                ok = [i for i, r in enumerate(rows) if r is not None and len(r) == size and None not in r and any(r)]
-                if not ok:
-                    continue
-                close = asked @ unit([rows[i] for i in ok]).T
-                n = min(k, len(ok))
-                bound = np.partition(close, len(ok) - n, axis=1)[:, len(ok) - n : len(ok) - n + 1]
-                q, i = np.nonzero((close >= np.maximum(bound, least)))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in q], arrow[0]), pa.array([keys[ok[b]] for b in i], arrow[1]), pa.array(close[q, i])], names=names)
+def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", k: int = 20, least: float = 0.45, asked_rows: int = 1024, tile_rows: int = 8192) -> DataFrame:
+    """(query, key, cosine, rank): the k nearest vectors of each query, of those with a cosine of `least` or more.
 
-        near = vectors.mapInArrow(run, schema)
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], schema)
-    rounded = out.withColumn("cosine", F.round("cosine", 6))
+    Both sides are dealt into tiles of about so many rows, and each pair of tiles meets in one task, which gives its k best
+    of each query by one matrix product; only these are merged. Vectors are read once, and nothing passes through the driver
+    but two counts. Null and zero vectors, and other sizes, match nothing.
+    """
+    tiles = lambda df, rows: max(1, -(-df.count() // rows))
+    across, down = tiles(queries, asked_rows), tiles(vectors, tile_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tile = lambda c, v, n: F.pmod(F.xxhash64(c, v), F.lit(n)).cast("int")
+    asked = queries.select(F.col(query).alias("id"), F.col(vector).alias("v")).dropna().select("id", "v", tile("id", "v", across).alias("q"), every(down).alias("t"))
+    known = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL").select("id", "v", tile("id", "v", down).alias("t"), every(across).alias("q"))
+
+    def near(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ours, others = _rows_of(mine["v"]), _rows_of(theirs["v"])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for size in ours.keys() & others.keys():
+            (a, x), (b, y) = ours[size], others[size]
+            if len(a) and len(b):
+                close = x @ y.T
+                n = min(k, len(b))
+                bound = np.partition(close, len(b) - n, axis=1)[:, len(b) - n : len(b) - n + 1]
+                q, i = np.nonzero(close >= np.maximum(bound, least))
+                found.append((a[q], b[i], close[q, i]))
+        q, i, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({query: mine["id"].take(pa.array(q)), key: theirs["id"].take(pa.array(i)), "cosine": pa.array(cosine)})
+
+    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
+    out = asked.groupBy("q", "t").cogroup(known.groupBy("q", "t")).applyInArrow(near, schema)
     order = Window.partitionBy(query).orderBy(F.desc("cosine"), key)
-    return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return out.withColumn("cosine", F.round("cosine", 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def embed_by_hashing(texts: DataFrame, key: str, text: str = "text", size: int = 64) -> DataFrame:

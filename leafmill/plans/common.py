@@ -148,5 +148,5 @@ passages AS (SELECT doc_id, line_no AS section, sentence, printf('%04d-%05d', li
 
 QUERIES_CTE = f"""queries AS (SELECT query_id, terms, len(terms) AS n FROM (
   SELECT query_id, list_filter(t, lambda w, i: list_position(t, w) = i)[1:24] AS terms FROM (
-    SELECT item_id AS query_id, {content(tokens("substring(text, 1, 500)"), 2)} AS t FROM benchmark)) WHERE len(terms) > 0),
+    SELECT item_id AS query_id, {content(tokens("text"), 2)} AS t FROM benchmark WHERE length(text) <= 500)) WHERE len(terms) > 0),
 asked AS (SELECT query_id, n, unnest(terms) AS term FROM queries)"""

@@ -82,6 +82,13 @@ def search_overlap(spark, d):
     return search.search_overlap(passages(spark, d), benchmark_queries(spark, d)).select("query_id", "rank", *_HIT, "citation", "match", "matched", "score")
 
 
+def question_checks(spark, d):
+    """Each benchmark text, and all of those of a passage of it as one, as a question."""
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    whole = items.groupBy((-F.floor(F.col("item_id") / 10) - 1).alias("item_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return search.question_checks(items.unionByName(whole), "item_id", "text").withColumn("n_letters", F.col("n_letters").cast("long"))
+
+
 def _plain_tiers(spark, d):
     return search.tier_candidates(passages(spark, d), benchmark_queries(spark, d), stems=False, fuzzy=False, lists=passage_lists(spark, d))
 
@@ -251,7 +258,7 @@ def metrics_by_category(spark, d):
     return evaluate.retrieval_metrics(_scored_queries(spark, d), "category").select("category", "n", "recall_5", "mrr")
 
 
-QUERIES = {f.__name__: f for f in (postings, index_stats, document_frequencies, vocabulary, bm25, all_terms_filter, any_terms_filter, excluded_terms, phrase_search, prefix_search, near_search, scoped_passages, find_substring, search_overlap, tier_union, ranked_tiers, match_type_filter, search_tiered, greedy_diversity, answer_passages, fuzzy_blocks, closest_terms, summaries, entities, keywords, quotes, repetitions, corpus_repetitions, speakers, character_counts, distinct_terms, cosine_topk, normalized_vectors, pooled_vectors, rrf_fusion, hybrid_ranks, confusion, class_scores, overall_scores, calibration, retrieval_metrics, metrics_by_category)}
+QUERIES = {f.__name__: f for f in (postings, index_stats, document_frequencies, vocabulary, bm25, all_terms_filter, any_terms_filter, excluded_terms, phrase_search, prefix_search, near_search, scoped_passages, find_substring, search_overlap, question_checks, tier_union, ranked_tiers, match_type_filter, search_tiered, greedy_diversity, answer_passages, fuzzy_blocks, closest_terms, summaries, entities, keywords, quotes, repetitions, corpus_repetitions, speakers, character_counts, distinct_terms, cosine_topk, normalized_vectors, pooled_vectors, rrf_fusion, hybrid_ranks, confusion, class_scores, overall_scores, calibration, retrieval_metrics, metrics_by_category)}
 
 _TOKENED = f"{PASSAGES}, tokened AS (SELECT *, {tokens('text')} AS w FROM passages)"
 _WORDS = f"""{PASSAGES}, words AS (
@@ -324,6 +331,8 @@ ORACLE_SQL = {
     "scoped_passages": f"WITH {PASSAGES} SELECT doc_id, citation FROM passages WHERE section = 1",
     "find_substring": f"WITH {PASSAGES} SELECT doc_id, citation FROM passages WHERE contains(strip_accents(lower(text)), 'nasta') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY section, sentence) <= 5000",
     "search_overlap": f"WITH {_OVERLAP} SELECT query_id, rank, doc_id, section, sentence, citation, match, matched, score FROM found WHERE rank <= 100",
+    "question_checks": f"""WITH q AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT CAST(-floor(item_id / 10.0) - 1 AS BIGINT), string_agg(text, ' ' ORDER BY item_id) FROM benchmark GROUP BY 1)
+      SELECT query_id, length(text) AS n_letters, CASE WHEN length(text) > 500 THEN 'refused' WHEN len({content(tokens("text"), 2)}) = 0 THEN 'without terms' ELSE 'asked' END AS status FROM q""",
     "tier_union": f"WITH {_TIERS} SELECT query_id, match_type, tier, count(*) AS n, CAST(sum(m) AS BIGINT) AS n_matched FROM capped GROUP BY ALL",
     "ranked_tiers": f"WITH {_TIERS} SELECT query_id, rank, doc_id, section, sentence, match_type, coverage, score FROM best",
     "match_type_filter": f"WITH {_TIERS} SELECT query_id, rank, doc_id, section, sentence FROM best WHERE match_type = 'exact'",
