@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.stem import with_stems
+from leafmill.functions.snowball import with_stems
 from leafmill.functions.text import content_terms, tokens
 from leafmill.operators.filters import all_terms, any_terms
 from leafmill.operators.index import closest_terms, fuzzy_blocks, hinted

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import segment, stem
+from leafmill.functions import segment, snowball, stem
 from leafmill.functions import text as tx
 from leafmill.operators import language, margins, passages as pg
 from leafmill.plans.common import LINES, PASSAGES, SENTENCES, SPACES, clean, content, fold, lines, passages, quoted, table, tokens
@@ -200,7 +200,12 @@ def stems(spark, d):
     return stem.with_stems(rows, language=F.col("lang")).groupBy("lang", "stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, fold_keep_enye, fold_all, token_counts, content_terms, word_stats, dehyphenate, margin_forms, page_lines, explode_passages, list_sentences, citations, citation_bundles, export_library, import_checks, admission_checks, fingerprints, work_to_do, needs_ocr, content_signatures, language_codes, highlights, excerpts, ordinals, context_window, turn_context, offset_rows, heading_sections, outline_as_of, repeated_margins, strip_margins, page_rollup, even_sample, language_scores, detect_language, split_sentences_exact, chunk_text, split_balanced, stems)}
+def snowball_stems(spark, d):
+    rows = _docs(spark, d).select("lang", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    return snowball.with_stems(rows, language=F.col("lang")).groupBy("lang", "stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms"))
+
+
+QUERIES = {f.__name__: f for f in (clean_text, fold_keep_enye, fold_all, token_counts, content_terms, word_stats, dehyphenate, margin_forms, page_lines, explode_passages, list_sentences, citations, citation_bundles, export_library, import_checks, admission_checks, fingerprints, work_to_do, needs_ocr, content_signatures, language_codes, highlights, excerpts, ordinals, context_window, turn_context, offset_rows, heading_sections, outline_as_of, repeated_margins, strip_margins, page_rollup, even_sample, language_scores, detect_language, split_sentences_exact, chunk_text, split_balanced, stems, snowball_stems)}
 
 
 
