@@ -361,22 +361,33 @@ class _Block:
             self.answers.setdefault(kind, []).append((bucket, bits))
         self.depth = np.frombuffer(self.answers.get(0, [(0, b"")])[0][1], np.uint8).astype(np.int64)
 
-    def __iter__(self) -> Iterator[tuple[Places, np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of each slice, and of those with windows that may repeat: which, first and last start."""
+        self.slices: list[tuple[Places, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def __iter__(self) -> Iterator[tuple[Places, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of each slice; of those with windows that may repeat which, first and last start; windows without a place.
+        Places are looked for once; the sums behind their hashes are kept for one slice at a time."""
+        if self.slices:
+            for part in self.slices:
+                yield part
+                part[0].bytes.sums.clear()
+            return
         done = 0
         for i, j in slices(self.texts):
             found = Places(self.texts.slice(i, j - i), self.size)
             low, high = found.spans(self.depth[done : done + len(found.at)])
             done += len(found.at)
             at = np.flatnonzero(high >= low)
-            yield found, at, low[at], high[at]
+            part = found, at, low[at], high[at], found.without_place()
+            yield part
+            found.bytes.sums.clear()
+            self.slices.append(part)
         if done != len(self.depth):
             raise ValueError("a block's texts are not those that were parsed")
 
     def extents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Group and 96-bit hash of each extent of the block."""
         out = []
-        for found, at, low, high in self:
+        for found, at, low, high, _ in self:
             place, r = found.at[at], found.radius
             group = found.bytes.hashes(place - r, place + found.gram + r)
             ends = high + self.size
@@ -396,12 +407,12 @@ class _Block:
     def windows(self, verdicts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """96-bit hashes of the windows that this block sends, and their starts for each slice."""
         hashes, seconds, starts, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [], 0
-        for found, at, low, high in self:
+        for found, at, low, high, free in self:
             own = verdicts[done : done + len(at)] >= 2
             done += len(at)
             n = (high - low + 1)[own]
             each = np.repeat(low[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            each = np.concatenate([each, found.without_place()])
+            each = np.concatenate([each, free])
             starts.append(each)
             if len(each):
                 hashes.append(found.bytes.hashes(each, each + self.size))
@@ -464,7 +475,7 @@ def remove_shared(docs: DataFrame, size: int = 400, key: str = "doc_id", text: s
             repeated = np.zeros(len(first), bool)
             repeated[order] = np.concatenate([np.zeros(0, np.uint8), *marked]).astype(bool)[np.cumsum(new) - 1]
             seen, sent = 0, 0
-            for (found, at, low, high), each in zip(block, starts, strict=True):
+            for (found, at, low, high, _), each in zip(block, starts, strict=True):
                 data, edges = found.bytes.data, found.bytes.edges
                 twice = verdicts[seen : seen + len(at)] & 1 == 1
                 change = np.zeros(len(data) + 1, np.int32)
