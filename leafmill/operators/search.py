@@ -67,6 +67,11 @@ def _with_defaults(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "terms", *[(F.col(c) if c in queries.columns else _none()).alias(c) for c in _OPERATORS])
 
 
+def _bit(position: Column) -> Column:
+    """The bit of a place in an array, from 1; none for 0."""
+    return F.when(position > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (position - 1).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+
 def _expanded(asked: DataFrame, terms: DataFrame, stems: bool, language: Column | str) -> DataFrame:
     """(query_id, term, asked, surface, own): the index's terms that answer each asked one: itself, what a prefix leads, and
     those of its stem. own marks the term itself, which counts for BM25."""
@@ -111,26 +116,35 @@ def tier_candidates(passages: DataFrame, queries: DataFrame, key: str = "doc_id"
     given, hint = [c for c in _OPERATORS if c in queries.columns], hinted(queries)
     asked = queries.select("query_id", *[F.coalesce(c, _none()).alias(c) for c in ("terms", *given)]).filter(F.size("terms") > 0)
     whole = _with_defaults(asked)
-    found_by = hits_of(lists, hint(_expanded(whole.select("query_id", "terms", "required", *[c for c in given if c == "prefixes"]), known_terms(lists), stems, language)), key)
+    # A bit for each asked word of a query: what a passage has of them is one number, by the words themselves and by all means.
+    wanted = F.array_distinct(F.concat("terms", "required"))
+    mask = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, w: n.bitwiseOR(_bit(F.array_position("wanted", w))))
+    masks = whole.withColumn("wanted", wanted).select("query_id", "wanted", mask(F.col("terms")).alias("all_terms"), mask(F.col("required")).alias("must"), F.size("terms").alias("n"))
+    masks = masks.withColumn("wanted", F.when(F.size("wanted") <= 62, F.col("wanted")).otherwise(F.raise_error(F.lit("a query has at most 62 terms"))))
+    ways = _expanded(whole.select("query_id", "terms", "required", *[c for c in given if c == "prefixes"]), known_terms(lists), stems, language)
+    ways = ways.join(masks.select("query_id", "wanted"), "query_id").select("query_id", "term", "surface", "own", _bit(F.array_position("wanted", F.col("asked"))).alias("bit"))
     place = ["bucket", "query_id", key, *_PLACE]
-    best = found_by.groupBy(*place).agg(F.collect_set(F.when(F.col("surface"), F.col("asked"))).alias("plain"), F.collect_set("asked").alias("any"), F.round(F.coalesce(F.sum(F.when(F.col("own"), F.col("impact"))), F.lit(0.0)), 6).alias("bm25"))
-    rows = _fulfilled(best.join(hint(asked), "query_id"), passages, key)
-    must = F.col("required") if "required" in given else _none()
+    best = hits_of(lists, hint(ways), key).groupBy(*place).agg(F.bit_or(F.when(F.col("surface"), F.col("bit")).otherwise(0)).alias("plain"), F.bit_or("bit").alias("any"), F.round(F.sum(F.when(F.col("own"), F.col("impact")).otherwise(0.0)), 6).alias("bm25"))
+    rows = _fulfilled(best.join(hint(masks.select("query_id", "all_terms", "must", "n").join(asked.select("query_id", *[c for c in given if c in ("phrases", "excluded")]), "query_id")), "query_id"), passages, key)
     phrases = F.size("phrases") if "phrases" in given else F.lit(0)
-    has = lambda c: all_terms(F.col(c), must) if "required" in given else F.lit(True)
-    all_plain, some_plain = all_terms(F.col("plain"), F.col("terms")) & has("plain"), any_terms(F.col("plain"), F.col("terms")) & has("plain")
-    match = F.when(all_plain & (phrases > 0), "phrase").when(all_plain, "exact").when(all_terms(F.col("any"), F.col("terms")), "stem").otherwise("partial")
-    rows = rows.filter(has("any")).withColumn("match_type", match)
+    has = lambda bits, c: F.col(bits).bitwiseAND(F.col(c)) == F.col(c)
+    all_plain = has("plain", "all_terms") & has("plain", "must")
+    some_plain = (F.col("plain").bitwiseAND(F.col("all_terms")) != 0) & has("plain", "must")
+    match = F.when(all_plain & (phrases > 0), "phrase").when(all_plain, "exact").when(has("any", "all_terms"), "stem").otherwise("partial")
+    rows = rows.filter(has("any", "must")).withColumn("match_type", match)
     by_surface = F.col("match_type").isin("phrase", "exact") | (F.col("match_type") == "partial") & some_plain
     tier = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.col("match_type")] - F.when((F.col("match_type") == "partial") & ~some_plain, 1).otherwise(0)
-    matched = F.array_intersect("terms", F.when(by_surface, F.col("plain")).otherwise(F.col("any")))
-    found = rows.select(*place, "match_type", tier.alias("tier"), matched.alias("matched"), F.size("terms").alias("n"), phrases.alias("n_phrases"), "bm25")
+    bits = F.when(by_surface, F.col("plain")).otherwise(F.col("any")).bitwiseAND(F.col("all_terms"))
+    found = rows.select(*place, "match_type", tier.alias("tier"), bits.alias("bits"), "n", phrases.alias("n_phrases"), "bm25")
     if fuzzy:
         found = found.unionByName(_fuzzy(whole, found, lists, key))
-    scored = found.withColumn("coverage", F.round(F.size("matched") / F.col("n"), 6))
+    scored = found.withColumn("coverage", F.round(F.bit_count("bits") / F.col("n"), 6))
     best_of = lambda *within: F.row_number().over(Window.partitionBy(*within, "query_id", "tier").orderBy(F.desc("bm25"), key, *_PLACE)) <= cap
     for within in (["bucket"], []):  # the best of each bucket, then of all
         scored = scored.withColumn("_good", best_of(*within)).filter("_good").drop("_good")
+    terms = F.array_distinct("terms")  # they come first among what is wanted, so their bits are the first ones
+    matched = F.filter(F.col("terms"), lambda w: F.col("bits").bitwiseAND(_bit(F.array_position(terms, w))) != 0)
+    scored = scored.join(hint(whole.select("query_id", "terms")), "query_id").withColumn("matched", F.array_distinct(matched))
     return scored.select("query_id", key, *_PLACE, "match_type", "tier", "matched", "n_phrases", "bm25", "coverage")
 
 
@@ -142,8 +156,9 @@ def _fuzzy(asked: DataFrame, found: DataFrame, lists: DataFrame, key: str) -> Da
     close = closest_terms(fuzzy_blocks(lost.withColumnRenamed("asked", "term"), known_terms(lists)))
     fixed = lost.join(close.withColumnRenamed("term", "asked"), "asked").select("query_id", "n", "asked", F.col("candidate").alias("term"))
     place = ["bucket", "query_id", key, *_PLACE]
-    hits = hits_of(lists, fixed, key).groupBy(*place, "n").agg(F.collect_set("asked").alias("matched"))
-    return hits.filter(F.size("matched") == F.col("n")).select(*place, F.lit("fuzzy").alias("match_type"), F.lit(TIERS["fuzzy"]).alias("tier"), "matched", "n", F.lit(0).alias("n_phrases"), F.lit(0.0).alias("bm25"))
+    hits = hits_of(lists, fixed, key).groupBy(*place, "n").agg(F.countDistinct("asked").alias("has"))
+    every = (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1).alias("bits")
+    return hits.filter(F.col("has") == F.col("n")).select(*place, F.lit("fuzzy").alias("match_type"), F.lit(TIERS["fuzzy"]).alias("tier"), every, "n", F.lit(0).alias("n_phrases"), F.lit(0.0).alias("bm25"))
 
 
 def rank_hits(candidates: DataFrame, key: str = "doc_id", most: int = 8) -> DataFrame:

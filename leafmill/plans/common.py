@@ -51,7 +51,7 @@ def files_of(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]
 
 _INDEXES: dict[tuple, DataFrame] = {}
 #: Bytes of the documents' files for each bucket of the index, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 
 
 def passage_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
