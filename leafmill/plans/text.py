@@ -200,12 +200,16 @@ def stems(spark, d):
     return stem.with_stems(rows, language=F.col("lang")).groupBy("lang", "stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms"))
 
 
+def read_corpus(spark, d):
+    return corpus.read_corpus(spark, f"{d}/documents.parquet").select("doc_id", "lang", F.length("text").alias("n"))
+
+
 def snowball_stems(spark, d):
     rows = _docs(spark, d).select("lang", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     return snowball.with_stems(rows, language=F.col("lang")).groupBy("lang", "stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, fold_keep_enye, fold_all, token_counts, content_terms, word_stats, dehyphenate, margin_forms, page_lines, explode_passages, list_sentences, citations, citation_bundles, export_library, import_checks, admission_checks, fingerprints, work_to_do, needs_ocr, content_signatures, language_codes, highlights, excerpts, ordinals, context_window, turn_context, offset_rows, heading_sections, outline_as_of, repeated_margins, strip_margins, page_rollup, even_sample, language_scores, detect_language, split_sentences_exact, chunk_text, split_balanced, stems, snowball_stems)}
+QUERIES = {f.__name__: f for f in (clean_text, fold_keep_enye, fold_all, token_counts, content_terms, word_stats, dehyphenate, margin_forms, page_lines, explode_passages, list_sentences, citations, citation_bundles, export_library, import_checks, admission_checks, fingerprints, work_to_do, needs_ocr, content_signatures, language_codes, highlights, excerpts, ordinals, context_window, turn_context, offset_rows, heading_sections, outline_as_of, repeated_margins, strip_margins, page_rollup, even_sample, language_scores, detect_language, split_sentences_exact, chunk_text, split_balanced, stems, snowball_stems, read_corpus)}
 
 
 
@@ -260,6 +264,7 @@ level{k + 1} AS (SELECT doc_id, path, part FROM level{k} ANTI JOIN cut{k} USING
 _FITS = "list_max(list_filter(range(100, 401), lambda n: strlen(left(rest, n)) <= 400))"
 
 ORACLE_SQL = {
+    "read_corpus": "SELECT doc_id, lang, length(text) AS n FROM documents WHERE length(trim(text)) > 0",
     "chunk_text": f"""WITH RECURSIVE base AS (SELECT doc_id, trim(regexp_replace(text, {SPACES}, ' ', 'g')) AS rest FROM documents WHERE text IS NOT NULL),
       views AS (SELECT doc_id, -1 AS chunk, CAST(NULL AS VARCHAR) AS text, rest FROM base UNION ALL
         SELECT doc_id, chunk + 1, left(rest, used - 1), substring(rest, used + 1) FROM (SELECT doc_id, chunk, rest, CASE WHEN strlen(rest) <= 400 THEN length(rest) + 1 WHEN clause > length(head) // 2 THEN clause ELSE length(head) - length(string_split(head, ' ')[-1]) END AS used
