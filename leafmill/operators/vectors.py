@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,9 +62,33 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec
     return out.withColumn("cosine", F.round("cosine", 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def embed_text(texts: DataFrame, key: str, load: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]], model: str, text: str = "text", batch: int = 64) -> DataFrame:
+    """(key, hash, model, embedding): the vectors that an encoder makes of texts, at length 1.
+
+    load() is called once in each Python worker and gives the encoder: from a list of texts to the vectors of their tokens
+    (texts x tokens x size) and a mask (texts x tokens). An embedding is the mean of the vectors that the mask keeps; it is
+    zero for a text without any. Null texts are encoded as empty ones.
+    """
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        encode = load()
+
+        def predict(values: np.ndarray) -> np.ndarray:
+            vectors, mask = encode(values.tolist())
+            kept = mask[..., None].astype(np.float64)
+            mean = (vectors * kept).sum(axis=1) / np.maximum(kept.sum(axis=1), 1.0)
+            return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+        return predict
+
+    run = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    plain = F.coalesce(text, F.lit(""))
+    return texts.select(key, F.sha2(plain, 256).alias("hash"), F.lit(model).alias("model"), run(plain).alias("embedding"))
+
+
 def embed_by_hashing(texts: DataFrame, key: str, text: str = "text", size: int = 64) -> DataFrame:
     """(key, hash, model, embedding): a vector of signed word counts at hashed places, at length 1. It stands for a model
-    where there is none; the vectors of a model come from predict_batch_udf or a table of the same columns."""
+    where there is none; those of a model come from embed_text or a table of the same columns."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(values: pd.Series) -> pd.Series:
